@@ -21,10 +21,45 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS keep_id, count(*) OVER (PART
 FROM t
 """
 
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_shards import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import chat_digest, chat_examples
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digest(chat_examples(turns.unionByName(probe)))
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) AS tc,
+         4 + length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) + 2 + 8 AS hc
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c AS (SELECT *, sum(tc + hc) OVER (PARTITION BY conv_id ORDER BY i) AS through FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(through) FILTER (role = 'assistant' OR i = n)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 QUERIES = {
+    "op8_kd_shards": op8_kd_shards,
+    "op9_chat_format": op9_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op9_chat_format": OP9_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
