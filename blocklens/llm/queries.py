@@ -41,6 +41,22 @@ mixed AS (SELECT doc_id, size, source_size, target,
 OP1_SQL = "WITH RECURSIVE " + PARETO_SQL.format(docs="documents") + " SELECT * FROM mixed"
 
 
+def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -88,6 +104,8 @@ FROM c GROUP BY conv_id
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op3_piece_bpe": op3_piece_bpe,
+    "op6_token_counts": op6_token_counts,
     "op8_kd_shards": op8_kd_shards,
     "op9_chat_format": op9_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
