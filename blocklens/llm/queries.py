@@ -102,7 +102,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), n=5, threshold=(4, 5))
+
+
+#: {docs}: the table to join; ends in a CTE ``joined`` of the query's columns.
+NGRAM_SQL = r"""
+jw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+js AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM jw),
+je AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM js),
+jl AS (SELECT a.doc_id AS a, b.doc_id AS b FROM je a JOIN je b ON a.g = b.g AND a.doc_id <> b.doc_id
+       GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+jr AS (SELECT a AS node, a AS seen FROM jl UNION SELECT jr.node, jl.b FROM jr JOIN jl ON jl.a = jr.seen),
+joined AS (SELECT js.doc_id, len(s)::BIGINT AS n_shingles, coalesce(c.least, js.doc_id) AS component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+           FROM js LEFT JOIN (SELECT node, min(seen) AS least FROM jr GROUP BY 1) c ON c.node = js.doc_id
+           LEFT JOIN (SELECT a, count(*) AS n_links FROM jl GROUP BY 1) k ON k.a = js.doc_id)"""
+
+OP10_SQL = "WITH RECURSIVE " + NGRAM_SQL.format(docs="documents") + " SELECT * FROM joined"
+
 QUERIES = {
+    "op10_ngram_join": op10_ngram_join,
     "op1_pareto_mix": op1_pareto_mix,
     "op3_piece_bpe": op3_piece_bpe,
     "op6_token_counts": op6_token_counts,
@@ -112,6 +134,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op10_ngram_join": OP10_SQL,
     "op1_pareto_mix": OP1_SQL,
     "op9_chat_format": OP9_SQL,
     "op7_exact_dedup": OP7_SQL,
