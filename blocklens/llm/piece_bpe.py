@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Chunks a worker remembers, and UTF-8 bytes of text handled at a time.
-_MEMORY, _SLICE_BYTES = 1 << 19, 4 << 20
+_MEMORY, _SLICE_BYTES = 1 << 20, 4 << 20
 
 
 class PieceBpe:
@@ -49,7 +50,17 @@ class PieceBpe:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece):
             raise ValueError("a piece holds a space mark after another character; chunks would not be independent")
         self.chunks = re.compile(self._borders())
-        self.known: dict[str, tuple[int, ...]] = {}
+        encode_chunk = self.encode_chunk
+
+        class Known(dict):
+            def __missing__(self, chunk):
+                found = np.array(encode_chunk(chunk), "<u4").tobytes()
+                if len(chunk) < 64:
+                    self[chunk] = found
+                return found
+
+        self.known = Known()
+        self.ends = np.array([self.begin], "<u4").tobytes(), np.array([self.end], "<u4").tobytes()
 
     def _borders(self) -> str:
         """The pattern of a chunk: no piece crosses from one chunk to the next.
@@ -68,7 +79,7 @@ class PieceBpe:
                 return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
             odd += "".join(map(re.escape, sorted(found)))
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+    def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of one chunk: the agenda."""
         symbols, cost = list(chunk), self.cost.get
         n = len(symbols)
@@ -99,22 +110,13 @@ class PieceBpe:
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
             at = after[at]
-        return tuple(ids)
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text between the begin and end ids."""
-        ids = [self.begin]
-        known = self.known
-        for chunk in self.chunks.findall(self.library.normalize(text)):
-            found = known.get(chunk)
-            if found is None:
-                found = self.encode_chunk(chunk)
-                if len(chunk) < 64:
-                    known[chunk] = found
-            ids += found
-        ids.append(self.end)
         return ids
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text between the begin and end ids, as little-endian 32-bit integers."""
+        chunks = self.chunks.findall(self.library.normalize(text))
+        return b"".join((self.ends[0], *map(self.known.__getitem__, chunks), self.ends[1]))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte runs become characters, one leading space mark goes."""
         out, run, first = [], bytearray(), True
@@ -138,6 +140,17 @@ class PieceBpe:
         return "".join(out)
 
 
+_MODELS: dict[bytes, PieceBpe] = {}
+
+
+def shared(content: bytes) -> PieceBpe:
+    """The vocabulary of a worker, which keeps its chunks from task to task."""
+    key = hashlib.sha256(content).digest()
+    if key not in _MODELS:
+        _MODELS[key] = PieceBpe(content)
+    return _MODELS[key]
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, a row per input row.
 
@@ -149,9 +162,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     extra = ", ids array<int>, decoded string" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from blocklens.llm.piece_bpe import shared
         from blocklens.llm.token_counts import by_bytes
 
-        own = PieceBpe(content)
+        own = shared(content)
         for batch in batches:
             at = 0
             for texts in by_bytes(batch.column(1).to_pylist(), _SLICE_BYTES):
@@ -159,16 +173,16 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                     own.known.clear()
                 lengths, shas, back, kept = [], [], [], []
                 library = own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                for text, checked in zip(texts, library, strict=True):
+                decoded = own.library.decode(library, num_threads=1)
+                for text, checked, plain in zip(texts, library, decoded, strict=True):
                     ids = own.encode(text)
-                    if ids != checked:
+                    if ids != array("I", checked).tobytes():
                         raise ValueError(f"encoding differs from the library's in a text of {len(text)} characters")
-                    lengths.append(len(ids))
-                    shas.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
-                    decoded = own.library.decode(ids)
-                    back.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    lengths.append(len(checked))
+                    shas.append(hashlib.sha256(ids).hexdigest())
+                    back.append(hashlib.sha256(plain.encode()).hexdigest())
                     if keep_ids:
-                        kept.append((ids, decoded))
+                        kept.append((checked, plain))
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(lengths, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())]
                 if keep_ids:
                     columns += [pa.array([k[0] for k in kept], pa.list_(pa.int32())), pa.array([k[1] for k in kept], pa.string())]

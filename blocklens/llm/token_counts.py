@@ -11,6 +11,8 @@ that is not known to be safe (``split=False``) whole texts are encoded.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 #: UTF-8 bytes of text handled at a time, and of pieces in one encoding call.
 SLICE_BYTES, CALL_BYTES = 8 << 20, 256 << 10
 #: Pieces whose counts a worker remembers from slice to slice.
-_MEMORY = 1 << 18
+_MEMORY = 1 << 20
 
 
 def load(path: str) -> tuple[str, bytes]:
@@ -46,6 +48,17 @@ def counter(kind: str, content: bytes):
     raise ValueError(f"no library for a .{kind} vocabulary")
 
 
+_COUNTERS: dict[bytes, tuple] = {}
+
+
+def shared(kind: str, content: bytes) -> tuple:
+    """A worker's counting function and the counts it remembers from task to task."""
+    key = hashlib.sha256(content).digest()
+    if key not in _COUNTERS:
+        _COUNTERS[key] = (counter(kind, content), {})
+    return _COUNTERS[key]
+
+
 def by_bytes(items: list[str], limit: int) -> Iterator[list[str]]:
     """Consecutive runs of at most ``limit`` UTF-8 bytes (one longer item stands alone)."""
     run, held = [], 0
@@ -65,11 +78,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     kind, content = load(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = counter(kind, content)
-        known: dict[str, int] = {}
+        from blocklens.llm.token_counts import shared
+
+        count, known = shared(kind, content)
 
         def learn(pieces) -> None:
             fresh = [x for x in pieces if x not in known]
