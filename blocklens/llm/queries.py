@@ -41,6 +41,13 @@ mixed AS (SELECT doc_id, size, source_size, target,
 OP1_SQL = "WITH RECURSIVE " + PARETO_SQL.format(docs="documents") + " SELECT * FROM mixed"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import sample, score_texts, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs, train(*sample(docs, table(spark, sf_dir, "labels"))))
+
+
 def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -124,6 +131,7 @@ joined AS (SELECT js.doc_id, len(s)::BIGINT AS n_shingles, coalesce(c.least, js.
 OP10_SQL = "WITH RECURSIVE " + NGRAM_SQL.format(docs="documents") + " SELECT * FROM joined"
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op10_ngram_join": op10_ngram_join,
     "op1_pareto_mix": op1_pareto_mix,
     "op3_piece_bpe": op3_piece_bpe,
