@@ -56,6 +56,21 @@ def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivot_topk import pivot_topk
+
+    return pivot_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -131,6 +146,7 @@ joined AS (SELECT js.doc_id, len(s)::BIGINT AS n_shingles, coalesce(c.least, js.
 OP10_SQL = "WITH RECURSIVE " + NGRAM_SQL.format(docs="documents") + " SELECT * FROM joined"
 
 QUERIES = {
+    "op5_pivot_topk": op5_pivot_topk,
     "op2_toxicity": op2_toxicity,
     "op10_ngram_join": op10_ngram_join,
     "op1_pareto_mix": op1_pareto_mix,
@@ -142,6 +158,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_pivot_topk": OP5_SQL,
     "op10_ngram_join": OP10_SQL,
     "op1_pareto_mix": OP1_SQL,
     "op9_chat_format": OP9_SQL,
