@@ -9,10 +9,12 @@ the set).  All sets are kept in one global order, rare n-grams first:
    frequent ones (at most ``_HEAVY``) are sent to all workers and come last in
    the order; the others are ordered by hash.  The order steers only the work.
 2. *Prefixes.*  Two sets that reach the threshold share an n-gram among the
-   first ``n - ceil(t * n) + 1`` of each.  These are dealt out by hash range.
-   Nodes under a common prefix n-gram are compared: as pairs where few nodes
-   share it (at most ``_SMALL``), else as a cluster, so that no pair within a
-   large group is ever written out.  Clusters are dealt as pairs of blocks.
+   first ``n - ceil(t * n) + 1`` of each.  These are dealt out by hash range,
+   40 bits wide, and nodes under a common prefix n-gram are candidates.  Nodes
+   that candidates connect go to one task where they are at most ``_WHOLE``.
+   Larger such sets are compared pair by pair where few nodes share an n-gram
+   (at most ``_SMALL``), else as clusters, dealt as pairs of blocks, so that
+   the pairs within a large group are never written out.
 3. *Tries.*  The sets to compare are stored in a trie; a set walks down it once,
    all sets below a node share the overlap found so far, and a subtree is left
    as soon as the lengths that remain cannot reach the overlap it needs.
@@ -40,7 +42,12 @@ _HEAVY, _HEAVY_FROM = 1 << 19, 8
 _SMALL, _BLOCK = 8, 256
 #: n-grams of one hash range, pairs of one verification group, candidates that may be broadcast.
 _RANGE_GRAMS, _GROUP_PAIRS, _BROADCAST_ROWS = 4_000_000, 4_000, 1_000_000
-_WORDS_KNOWN = 1 << 19
+#: Nodes of a connected set of candidates that one task compares at once, and nodes of a task.
+_WHOLE, _TASK_NODES = 512, 2_000
+#: UTF-8 bytes of texts that a worker handles at a time.
+_PART_BYTES = 8 << 20
+#: Words a worker remembers, and characters whose words are in memory at a time.
+_WORDS_KNOWN, _SLICE_CHARS = 1 << 18, 2_000_000
 _LOW = 23  # 63-bit hash = 40 bits that are counted, 23 low bits
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _TOP = np.uint64(1 << 63)
@@ -69,25 +76,35 @@ class Grams:
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All 63-bit hashes in text order, and the border of each text in them."""
+        hashes, sizes, part, held = [], [], [], 0
+        for text in texts:  # the words of a few megabytes at a time
+            part.append(text)
+            held += len(text or "")
+            if held > _SLICE_CHARS:
+                self._some(part, hashes, sizes)
+                part, held = [], 0
+        self._some(part, hashes, sizes)
+        return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
+
+    def _some(self, texts: list[str | None], hashes: list[np.ndarray], sizes: list[int]) -> None:
         if len(self.known) > _WORDS_KNOWN:
             self.known.clear()
         words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]  # bytes: ASCII rules
         counts = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
-        ends = np.cumsum(counts)
-        n, size = self.n, len(flat)
-        full = np.zeros(max(0, size - n + 1), np.uint64)
+        n, ends = self.n, np.cumsum(counts)
+        full = np.zeros(max(0, len(flat) - n + 1), np.uint64)
         for k in range(n):
             full += flat[k : k + len(full)] * _ODD[k % 8] * np.uint64(2 * (k // 8) + 1)
-        parts, borders = [], [0]
+        parts = []
         for start, count in zip((ends - counts).tolist(), counts.tolist(), strict=True):
             if count >= n:
                 parts.append(full[start : start + count - n + 1])
             elif count:  # too short: the whole sequence is its one n-gram
-                parts.append(np.array([(flat[start : start + count] * _ODD[:count]).sum(dtype=np.uint64) + np.uint64(count)], np.uint64))
-            borders.append(borders[-1] + (max(1, count - n + 1) if count else 0))
-        joined = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        return _mixed(joined) >> np.uint64(1), np.array(borders, np.int64)
+                parts.append(np.array([(flat[start : start + count] * _ODD[np.arange(count) % 8]).sum(dtype=np.uint64) + np.uint64(count)], np.uint64))
+            sizes.append(max(1, count - n + 1) if count else 0)
+        if parts:
+            hashes.append(_mixed(np.concatenate(parts)) >> np.uint64(1))
 
 
 class Order:
@@ -263,17 +280,24 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     ranges = max(12, -(-(total // 6) // _RANGE_GRAMS))  # a word of 5 letters and a space has one n-gram
     order = spark.sparkContext.broadcast(_frequent(rows, n, ranges))
-    nodes, posted = _prefixes(rows, n, threshold, ranges, order, scratch)
+    nodes, posted = _prefixes(rows, n, threshold, max(12, ranges // 4), order, scratch)
     near = scratch.save(_neighbours(posted, threshold), "near")
-    scratch.drop("prefixes-posted")
-    sets = _sets(rows, nodes, near, n, order, scratch)
-
-    hot = near.filter("kind = 1").select("a", "b").distinct()
-    cluster = components(hot, scratch, "clusters").withColumnRenamed("root", "cluster")
-    pairs = near.filter("kind = 0").select("a", "b").distinct()
+    scratch.drop("prefixes")
+
+    linked = components(near.select("a", "b"), scratch, "candidates")
+    whole = linked.groupBy("root").agg(F.count("*").alias("_size"))
+    whole = scratch.save(linked.join(whole, "root").select("node", "root", (F.col("_size") <= _WHOLE).alias("small")), "whole")
+    small = whole.filter("small")
+    found = _compare_whole(_sets(rows, nodes, small, n, order, scratch, "small"), threshold, small.count())
+
+    large = whole.filter("NOT small")
+    rest = scratch.save(near.join(large.select(F.col("node").alias("a")), "a"), "rest")  # both ends are in the same connected set
+    sets = scratch.save(_sets(rows, nodes, large, n, order, scratch, "large"), "sets")
+    cluster = components(rest.filter("kind = 1").select("a", "b"), scratch, "clusters").withColumnRenamed("root", "cluster")
+    pairs = rest.filter("kind = 0").select("a", "b").distinct()
     ca, cb = cluster.select(F.col("node").alias("a"), F.col("cluster").alias("_ca")), cluster.select(F.col("node").alias("b"), F.col("cluster").alias("_cb"))
     pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").filter(~F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False))).select("a", "b")
-    found = _compare_pairs(scratch.save(pairs, "pairs"), sets, threshold).union(_compare_clusters(cluster, sets, threshold, scratch))
+    found = found.union(_compare_pairs(scratch.save(pairs, "pairs"), sets, threshold)).union(_compare_clusters(cluster, sets, threshold, scratch))
     found = scratch.save(found, "found")
 
     joined = components(found.filter("b IS NOT NULL").select("a", "b"), scratch, "links")
@@ -282,7 +306,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     label = joined.join(least, "root").select(F.col("node").alias("_d2"), "_least")
     known = nodes.join(counts, F.col("_digest") == F.col("_d"), "left").join(label, F.col("_digest") == F.col("_d2"), "left")
     known = known.select("_digest", F.coalesce("_least", "_first").alias("_component"), (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"))
-    each = spark.read.parquet(scratch.path("prefixes-docs"))
+    each = spark.read.parquet(scratch.path("docs"))
     out = each.join(known, "_digest", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -292,40 +316,37 @@ def _frequent(rows: DataFrame, n: int, ranges: int) -> tuple[bytes, bytes]:
     bits = 63 - _LOW
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from blocklens.llm.token_counts import by_bytes
+
         grams = Grams(n)
-        for batch in batches:
-            hashes, borders = grams.of(batch.column(0).to_pylist())
+        for part in (part for batch in batches for part in by_bytes(batch.column(0).to_pylist(), _PART_BYTES)):
+            hashes, borders = grams.of(part)
             sets = [np.unique(hashes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
             keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(_LOW), return_counts=True)
             edges = np.searchsorted(keys, np.array([(r << bits) // ranges for r in range(ranges + 1)], np.uint64))
             out = []
             for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if a < b:
-                    steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                    width = max(1, (int(steps[1:].max()).bit_length() + 7) // 8) if b - a > 1 else 1
-                    planes = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
                     more = np.flatnonzero(counts[a:b] > 1)
-                    out.append((r, int(keys[a]), int(b - a), width, planes, more.astype("<u4").tobytes(), counts[a:b][more].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["r", "first", "size", "width", "planes", "more", "counts"])
+                    out.append((r, _packed(keys[a:b]), more.astype("<u4").tobytes(), counts[a:b][more].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["r", "keys", "more", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
         keys, counts = [], []
         for row in table.to_pylist():
-            steps = np.zeros((row["size"] - 1, 8), np.uint8)
-            steps[:, : row["width"]] = np.frombuffer(row["planes"], np.uint8).reshape(row["width"], -1).T
-            keys.append(np.cumsum(np.concatenate(([row["first"]], steps.view("<u8").ravel())).astype(np.uint64), dtype=np.uint64))
-            each = np.ones(row["size"], np.int64)
+            keys.append(_unpacked(row["keys"]))
+            each = np.ones(len(keys[-1]), np.int32)
             each[np.frombuffer(row["more"], "<u4")] = np.frombuffer(row["counts"], "<u4")
             counts.append(each)
         key, count_ = np.concatenate(keys), np.concatenate(counts)
         by = np.argsort(key, kind="stable")
         key, count_ = key[by], count_[by]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sums = np.add.reduceat(count_, start)
+        sums = np.add.reduceat(count_, start, dtype=np.int64)
         often = sums >= _HEAVY_FROM
         return pa.table({"key": pa.array(key[start][often].astype(np.int64), pa.int64()), "n": pa.array(sums[often], pa.int64())})
 
-    sent = rows.select("_t").mapInArrow(send, "r int, first long, size long, width int, planes binary, more binary, counts binary")
+    sent = rows.select(F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(send, "r int, keys binary, more binary, counts binary")
     heavy = sent.repartition(ranges, "r").groupBy("r").applyInArrow(count, "key long, n long")
     top = heavy.orderBy(F.desc("n"), "key").limit(_HEAVY).toArrow()  # at most _HEAVY rows of 16 bytes
     keys, counts = top["key"].to_numpy().astype(np.uint64), top["n"].to_numpy()
@@ -350,60 +371,87 @@ def _prefixes(rows: DataFrame, n: int, t: tuple[int, int], ranges: int, order, s
     """Nodes (``_digest, _first, _copies``) and the prefixes dealt out by hash range."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from blocklens.llm.token_counts import by_bytes
+
         grams, place = Grams(n), _order(order)
         for batch in batches:
-            hashes, borders = grams.of(batch.column(1).to_pylist())
-            codes = place.codes(hashes)
-            digests, sizes, heads, known = [], [], [], set()
-            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                own = np.unique(codes[a:b])
-                size = len(own)
-                sizes.append(size)
-                digests.append(_digest(own) if size else None)
-                if size and digests[-1] not in known:
-                    known.add(digests[-1])
-                    heads.append((digests[-1], size, own[: size - -(-(t[0] * size) // t[1]) + 1]))
-            ids = batch.column(0)
-            empty = pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), empty, empty, empty, empty], names=names)
-            if heads:
-                head = np.concatenate([h[2] for h in heads])
-                owner = np.repeat(np.arange(len(heads)), [len(h[2]) for h in heads])
-                part = (_mixed(head) % np.uint64(ranges)).astype(np.int32)
-                by = np.argsort(part, kind="stable")
-                head, owner, part = head[by], owner[by], part[by]
-                edges = np.searchsorted(part, np.arange(ranges + 1))
-                node, size = np.array([h[0] for h in heads], np.int64), np.array([h[1] for h in heads], np.int32)
-                out = []
-                for r in range(ranges):
-                    a, b = edges[r], edges[r + 1]
-                    if a < b:
-                        here, local = np.unique(owner[a:b], return_inverse=True)
-                        out.append((r, head[a:b].tobytes(), local.astype(np.int32).tobytes(), node[here].tobytes(), size[here].tobytes()))
-                none = pa.nulls(len(out), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), none, none, none, *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]], names=names)
+            at = 0
+            for part in by_bytes(batch.column(1).to_pylist(), _PART_BYTES):
+                yield from one(batch.column(0).slice(at, len(part)), part, grams, place)
+                at += len(part)
+
+    def one(ids: pa.Array, texts: list[str], grams: Grams, place: Order) -> Iterator[pa.RecordBatch]:
+        hashes, borders = grams.of(texts)
+        codes = place.codes(hashes)
+        digests, sizes, heads, known = [], [], [], set()
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            own = np.unique(codes[a:b])
+            size = len(own)
+            sizes.append(size)
+            digests.append(_digest(own) if size else None)
+            if size and digests[-1] not in known:  # copies in this part are one node
+                known.add(digests[-1])
+                heads.append((digests[-1], size, own[: size - -(-(t[0] * size) // t[1]) + 1]))
+        blank = pa.nulls(len(ids), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), blank, blank, blank, blank], names=names)
+        if not heads:
+            return
+        head = _mixed(np.concatenate([h[2] for h in heads]))
+        owner = np.repeat(np.arange(len(heads)), [len(h[2]) for h in heads])
+        range_, gram = head % np.uint64(ranges), head >> np.uint64(24)
+        by = np.lexsort((gram, range_))
+        gram, owner = gram[by], owner[by]
+        edges = np.searchsorted(range_[by], np.arange(ranges + 1, dtype=np.uint64))
+        node, size = np.array([h[0] for h in heads], np.int64), np.array([h[1] for h in heads], np.int32)
+        out = []
+        for r in range(ranges):
+            a, b = edges[r], edges[r + 1]
+            if a < b:
+                here, local = np.unique(owner[a:b], return_inverse=True)
+                kind = np.uint16 if len(here) < 1 << 16 else np.uint32
+                out.append((r, _packed(gram[a:b]), local.astype(kind).tobytes(), node[here].tobytes(), size[here].tobytes()))
+        none = pa.nulls(len(out), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), none, none, none, *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]], names=names)
 
     names = ["r", "_id", "_n", "_digest", "grams", "owner", "node", "size"]
     kinds = "r int, _id long, _n long, _digest long, grams binary, owner binary, node binary, size binary"
     # both kinds of rows come from one pass over the texts
-    both = scratch.save(rows.mapInArrow(send, kinds), "prefixes")
-    each = scratch.save(both.filter("r IS NULL").select("_id", "_n", "_digest"), "prefixes-docs")
+    both = scratch.save(rows.select("_id", F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(send, kinds), "prefixes")
+    each = scratch.save(both.filter("r IS NULL").select("_id", "_n", "_digest"), "docs")
     nodes = each.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"))
     posted = both.filter("r IS NOT NULL").select("r", "grams", "owner", "node", "size").repartition(ranges, "r")
     return scratch.save(nodes, "nodes"), posted
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Rising numbers as byte planes of their steps: width, first, planes."""
+    steps = np.diff(numbers)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + int(numbers[0]).to_bytes(8, "little") + planes
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    width, planes = data[0], np.frombuffer(data, np.uint8, offset=9)
+    steps = np.zeros((len(planes) // width + 1, 8), np.uint8)
+    steps[1:, :width] = planes.reshape(width, -1).T
+    out = steps.view("<u8").ravel().astype(np.uint64)
+    out[0] = int.from_bytes(data[1:9], "little")
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def _neighbours(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
     """``kind, a, b``: pairs to compare (0) and members of clusters (1)."""
 
     def deal(table: pa.Table) -> pa.Table:
-        parts = [np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()]) for name, kind in (("grams", np.uint64),)]
-        gram = parts[0]
-        node, size = [], []
-        for row in table.select(["owner", "node", "size"]).to_pylist():
-            local = np.frombuffer(row["owner"], np.int32)
-            node.append(np.frombuffer(row["node"], np.int64)[local])
-            size.append(np.frombuffer(row["size"], np.int32)[local])
+        gram, node, size = [], [], []
+        for row in table.to_pylist():
+            of, sizes = np.frombuffer(row["node"], np.int64), np.frombuffer(row["size"], np.int32)
+            local = np.frombuffer(row["owner"], np.uint16 if len(of) < 1 << 16 else np.uint32)
+            gram.append(_unpacked(row["grams"]))
+            node.append(of[local])
+            size.append(sizes[local])
+        gram = np.concatenate(gram)
         node, size = np.concatenate(node), np.concatenate(size).astype(np.int64)
         by = np.lexsort((node, gram))
         gram, node, size = gram[by], node[by], size[by]
@@ -429,24 +477,57 @@ def _neighbours(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
     return posted.groupBy("r").applyInArrow(deal, "kind int, a long, b long")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, near: DataFrame, n: int, order, scratch: Scratch) -> DataFrame:
-    """``node, copies, size, codes`` of every node that is to be compared, from one of its texts."""
-    wanted = near.select("a").union(near.select("b")).distinct()
-    wanted = wanted.join(nodes, F.col("a") == F.col("_digest")).select(F.col("_first").alias("_want"), F.col("_copies"))
-    wanted = scratch.save(wanted, "wanted")
+def _sets(rows: DataFrame, nodes: DataFrame, chosen: DataFrame, n: int, order, scratch: Scratch, name: str) -> DataFrame:
+    """``node, root, copies, size, codes`` of the chosen ``node, root``, each from one of its texts."""
+    wanted = chosen.join(nodes, F.col("node") == F.col("_digest")).select(F.col("_first").alias("_want"), F.col("node").alias("_node"), "root", "_copies")
+    wanted = scratch.save(wanted, f"wanted-{name}")
     few = wanted.count() <= _BROADCAST_ROWS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("_id") == F.col("_want")).select("_t", "_copies")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("_id") == F.col("_want"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from blocklens.llm.token_counts import by_bytes
+
         grams, place = Grams(n), _order(order)
         for batch in batches:
-            hashes, borders = grams.of(batch.column(0).to_pylist())
-            codes = place.codes(hashes)
-            sets = [np.unique(codes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "copies", "size", "codes"])
+            at = 0
+            for part in by_bytes(batch.column(0).to_pylist(), _PART_BYTES):
+                hashes, borders = grams.of(part)
+                codes = place.codes(hashes)
+                sets = [np.unique(codes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+                node = batch.column(1).slice(at, len(part))
+                # a repeated id can bring another text along, which is another node
+                right = pa.array([_digest(s) == k for s, k in zip(sets, node.to_pylist(), strict=True)])
+                made = pa.RecordBatch.from_arrays([node, *[batch.column(i).slice(at, len(part)) for i in (2, 3)], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "copies", "size", "codes"])
+                at += len(part)
+                yield made.filter(right)
+
+    made = texts.select(F.coalesce("_t", F.lit("")).alias("_t"), "_node", "root", "_copies").mapInArrow(build, "node long, root long, copies long, size long, codes binary")
+    repeated = rows.select("_id").join(F.broadcast(wanted.select("_want")) if few else wanted.select("_want"), F.col("_id") == F.col("_want")).groupBy("_id").count().filter("count > 1").limit(1).count()
+    return made.dropDuplicates(["node"]) if repeated else made
+
+
+def _compare_whole(sets: DataFrame, t: tuple[int, int], count: int) -> DataFrame:
+    """Connected sets of candidates that are small: each is one trie, walked by all its nodes."""
+    groups = max(1, -(-count // _TASK_NODES))
+    rows = sets.select(F.pmod(F.xxhash64("root"), F.lit(groups)).alias("g"), "root", "node", "copies", "codes").repartition(groups, "g")
+
+    def compare(table: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {}
+        for root, node, copies, codes in zip(*[table[c].to_pylist() for c in ("root", "node", "copies", "codes")], strict=True):
+            parts.setdefault(root, []).append((node, copies, np.frombuffer(codes, np.uint64)))
+        forest, links = _Forest(), {}
+        for members in parts.values():
+            trie = Trie([m[2] for m in members])
+            for i, (a, copies, codes) in enumerate(members):
+                for k in trie.walk(codes, t).tolist():
+                    if k > i:  # each pair once
+                        b, more, _ = members[k]
+                        forest.link(a, b)
+                        links[a] = links.get(a, 0) + more
+                        links[b] = links.get(b, 0) + copies
+        return _found_table(forest, links)
 
-    made = texts.mapInArrow(build, "node long, copies long, size long, codes binary")
-    return scratch.save(made.dropDuplicates(["node"]), "sets")
+    return rows.groupBy("g").applyInArrow(compare, _FOUND)
 
 
 def _compare_pairs(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -481,7 +562,7 @@ def _compare_clusters(cluster: DataFrame, sets: DataFrame, t: tuple[int, int], s
     """Clusters by bands of set size, in blocks: a block meets those of its band and of the next."""
     ratio = t[1] / t[0]
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")  # linked sizes are in one band or neighbours
-    rows = sets.join(cluster, "node").select("cluster", band.alias("band"), "node", "size", "copies", "codes")
+    rows = sets.drop("root").join(cluster, "node").select("cluster", band.alias("band"), "node", "size", "copies", "codes")
     sizes = scratch.save(rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks")), "bands")
     below = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("_below"))
     above = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("_above"))
