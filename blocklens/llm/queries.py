@@ -42,10 +42,10 @@ OP1_SQL = "WITH RECURSIVE " + PARETO_SQL.format(docs="documents") + " SELECT * F
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import sample, score_texts, train
+    from .toxicity import fit, sample, score_texts
 
     docs = table(spark, sf_dir, "documents")
-    return score_texts(docs, train(*sample(docs, table(spark, sf_dir, "labels"))))
+    return score_texts(docs, fit(sample(docs, table(spark, sf_dir, "labels"))))
 
 
 def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

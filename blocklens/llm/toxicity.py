@@ -38,7 +38,8 @@ _BITS = 20
 _WINDOW, _STEP = 24, 12
 #: Margins beyond this say no more about a text.
 _FAR = 2.0
-_MEMORY = 1 << 20
+#: Words a worker remembers, and words whose subsequences are in memory at a time.
+_MEMORY, _CALL = 1 << 20, 2000
 _SLICE_BYTES = 8 << 20
 
 
@@ -108,25 +109,25 @@ def kernels(strings: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernels of all strings to all landmarks."""
     own, feature, value = subsequences(landmarks)
     used, column = np.unique(feature, return_inverse=True)
-    table = np.zeros((len(used), len(landmarks)))
+    table = np.zeros((len(used), len(landmarks)), np.float32)
     np.add.at(table, (column, own), value)
     where = np.full(1 << _BITS, len(used))
     where[used] = np.arange(len(used))
-    out = np.zeros((len(strings), len(landmarks)))
-    for a in range(0, len(strings), 1000):
-        s, f, v = subsequences(strings[a : a + 1000])
+    out = np.zeros((len(strings), len(landmarks)), np.float32)
+    for a in range(0, len(strings), 50):
+        s, f, v = subsequences(strings[a : a + 50])
         hit = np.flatnonzero(where[f] < len(used))
         hit = hit[np.argsort(s[hit], kind="stable")]
         s, f, v = s[hit], where[f[hit]], v[hit]
         if len(s):
             start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            out[a + s[start]] = np.add.reduceat(table[f] * v[:, None], start)
+            out[a + s[start]] = np.add.reduceat(table[f] * v[:, None].astype(np.float32), start)
     return out
 
 
 def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on the violating rows."""
-    x = np.hstack((z, np.ones((len(z), 1))))
+    x = np.hstack((z, np.ones((len(z), 1), z.dtype)))
     ridge = np.eye(x.shape[1]) * penalty
     ridge[-1, -1] = 1e-8
     w, before = np.zeros(x.shape[1]), None
@@ -135,8 +136,15 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -
         if before is not None and (inside == before).all():
             break
         before = inside
-        xa = x[inside] * weight[inside, None]
-        w = np.linalg.solve(xa.T @ x[inside] + ridge, xa.T @ y[inside])
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        where = np.flatnonzero(inside)
+        for a in range(0, len(where), _CALL):
+            at = where[a : a + _CALL]
+            rows = x[at].astype(float)
+            weighed = rows * weight[at, None]
+            left += weighed.T @ rows
+            right += weighed.T @ y[at]
+        w = np.linalg.solve(left, right)
     return w[:-1], float(w[-1])
 
 
@@ -147,10 +155,12 @@ class Model:
         self.table, self.offset, self.slope, self.shift = table, offset, slope, shift
 
     def strings(self, strings: list[str]) -> np.ndarray:
-        if not strings:
-            return np.zeros(0)
-        s, f, v = subsequences(strings)
-        return np.bincount(s, self.table[f] * v, len(strings)) + self.offset
+        out = np.full(len(strings), self.offset)
+        for a in range(0, len(strings), _CALL):
+            part = strings[a : a + _CALL]
+            s, f, v = subsequences(part)
+            out[a : a + len(part)] += np.bincount(s, self.table[f] * v, len(part))
+        return out
 
     def probability(self, best: float | None) -> float:
         """Of a text whose best word scores ``best`` (None: it has no words)."""
@@ -162,11 +172,14 @@ class Model:
 
 def _evidence(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
     """Words of toxic texts by the log ratio of their text frequencies, and of their best run of four characters, cautiously."""
-    runs = lambda w: {m[i : i + 4] for m in (f"\x02{w}\x03",) for i in range(max(1, len(m) - 3))}
-    of = {w: runs(w) for t in (*toxic, *clean) for w in t}
+    number: dict[str, int] = {}
+    of: dict[str, tuple[int, ...]] = {}
+    for w in set().union(*toxic, *clean):
+        m = f"\x02{w}\x03"
+        of[w] = tuple({number.setdefault(m[i : i + 4], len(number)) for i in range(max(1, len(m) - 3))})
     a, b = (Counter(g for t in texts for g in set().union(*map(of.__getitem__, t))) for texts in (toxic, clean))
 
-    def ratio(g: str) -> float:
+    def ratio(g: int) -> float:
         more, less = max(0.0, a[g] - 2 * math.sqrt(a[g])), b[g] + 2 * math.sqrt(b[g])
         return math.log((more + 0.5) / (len(toxic) + 1)) - math.log((less + 0.5) / (len(clean) + 1))
 
@@ -189,7 +202,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = 256, penalty: fl
     if len(set(labels)) < 2:
         return Model(None, 0.0, 0.0, float(labels[0]) if labels else 0.0)
     dice = random.Random(seed)
-    bags = [set(words(t)) for t in texts]
+    shared: dict[str, str] = {}
+    bags = [{shared.setdefault(w, w) for w in words(t)} for t in texts]
     toxic, clean = ([b for b, y in zip(bags, labels, strict=True) if y == side and b] for side in (1, 0))
     plain = Counter(w for b in clean for w in b)
     evidence = _evidence(toxic, clean)
@@ -217,17 +231,20 @@ def train(texts: list[str], labels: list[int], landmarks: int = 256, penalty: fl
         weight = np.where(y > 0, min(50.0, rate / 4 + 1), 1.0)
         weight[: 2 * len(positive)] *= np.tile(often / often.mean(), 2)
         chosen = list(dict.fromkeys(positive[: landmarks // 2] + negative[: landmarks - min(len(positive), landmarks // 2)]))
-        own = kernels(chosen, chosen)
+        own = kernels(chosen, chosen).astype(float)
         values, vectors = np.linalg.eigh(own)
         keep = values > 1e-6 * values.max()
-        white = vectors[:, keep] / np.sqrt(values[keep])
-        w, offset = _machine(kernels(strings, chosen) @ white, y, weight, penalty)
+        white = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+        features = kernels(strings, chosen)
+        features = features @ white
+        w, offset = _machine(features, y, weight, penalty)
+        del features
         s, f, v = subsequences(chosen)
         table = np.bincount(f, v * (white @ w)[s], 1 << _BITS)
         model = Model(table.astype(np.float32), offset, 1.0, 0.0)
         # each toxic text's best word is positive from now on; clean words that score high are hard negatives
         vocabulary = sorted(set().union(*bags))
-        score = dict(zip(vocabulary, np.concatenate([model.strings(vocabulary[i : i + 20000]) for i in range(0, len(vocabulary), 20000)]), strict=True))
+        score = dict(zip(vocabulary, model.strings(vocabulary).tolist(), strict=True))
         best = [max(b, key=lambda w: (score[w], w)) for b in toxic]
         likely = {w for w in {*marks, *best} if score[w] > 0 and evidence[w] > math.log(4) and plain[w] * 20 <= len(clean)}
         marks = Counter(w for b in toxic for w in likely & b)
@@ -252,14 +269,29 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most so many labelled texts of each class, picked by a hash of their id; never held-out ones."""
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``_id, _t, _y``: at most so many labelled texts of each class, picked by a hash of their id; never held-out ones."""
     marked = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).cast("int").alias("_y"))
     by = F.xxhash64("_l")
-    picked = marked.filter("_y = 1").orderBy(by).limit(toxic_rows).union(marked.filter("_y = 0").orderBy(by).limit(clean_rows))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
-    found = rows.join(F.broadcast(picked), F.col("_id") == F.col("_l")).select("_id", "_t", "_y").orderBy("_id", "_t").toArrow()  # bounded by the two limits
-    return [t or "" for t in found["_t"].to_pylist()], found["_y"].to_pylist()
+    picked = marked.filter("_y = 1").orderBy(by, "_l").limit(toxic_rows).union(marked.filter("_y = 0").orderBy(by, "_l").limit(clean_rows))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    return rows.join(F.broadcast(picked), F.col("_id") == F.col("_l")).select("_id", "_t", "_y")  # bounded by the two limits
+
+
+def fit(sampled: DataFrame) -> Model:
+    """Trains on a bounded sample in one task of an executor; the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from blocklens.llm.toxicity import train
+
+        rows = [row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+        rows.sort()
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([None if model.table is None else model.table.tobytes()], pa.binary()), *[pa.array([float(x)]) for x in (model.offset, model.slope, model.shift)]], names=["table", "offset", "slope", "shift"])
+
+    # each row is sorted by id, so the model does not depend on how rows were dealt out
+    row = sampled.repartition(1).mapInArrow(run, "table binary, offset double, slope double, shift double").first()
+    return Model(None if row["table"] is None else np.frombuffer(row["table"], np.float32), row["offset"], row["slope"], row["shift"])
 
 
 def held_out(id_column):
@@ -298,8 +330,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                     known.clear()
                 found = [words(t) for t in part]
                 fresh = [w for w in set().union(*found) if w not in known]
-                for i in range(0, len(fresh), 20000):
-                    known.update(zip(fresh[i : i + 20000], own.strings(fresh[i : i + 20000]).tolist(), strict=True))
+                known.update(zip(fresh, own.strings(fresh).tolist(), strict=True))
                 get = known.__getitem__
                 scores += [own.probability(max(map(get, f), default=None)) for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "_score"])

@@ -14,7 +14,7 @@ from blocklens.llm.exact_dedup import exact_dedup
 from blocklens.llm.ngram_join import ngram_join
 from blocklens.llm.pareto_mix import pareto_mix
 from blocklens.llm.piece_bpe import encode_decode
-from blocklens.llm.toxicity import sample, score_texts, train
+from blocklens.llm.toxicity import fit, sample, score_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Ids up to this many may be broadcast (8 bytes each); beyond it the join is dealt out.
@@ -23,7 +23,7 @@ _BROADCAST_IDS = 1_000_000
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
-    model = train(*sample(docs, table(spark, sf_dir, "labels")))
+    model = fit(sample(docs, table(spark, sf_dir, "labels")))
     return score_texts(docs.select(COLUMNS), model, carry=True).filter("_predicted = 0").select(COLUMNS)
 
 
