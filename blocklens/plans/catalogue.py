@@ -1,4 +1,506 @@
 """The registered queries of the byte and block operators, and their oracle SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import checksum, scalar as S
+from ..operators import blocks as B
+from ..operators import codecs as C
+from ..operators import entries as E
+from ..operators import frames as Z
+from ..operators import metrics as M
+from ..schemas import BUCKETS
+from ..sources import payloads as P
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+#: Bytes of a block where texts are short, and the threshold that splits texts.
+BLOCK, SMALL, TEXT_THRESHOLD = 4096, 1024, 4.2
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r4(c) -> F.Column:
+    return F.round(c, 4)
+
+
+# Texts as hexadecimal, cut into blocks and bytes: shared beginnings of the SQL.
+_DOCS = "p AS (SELECT doc_id AS entry_idx, source, lang, hex(encode(coalesce(text, ''))) AS h FROM documents)"
+_PAGES = "p AS (SELECT page_id AS entry_idx, hex(encode(coalesce(html, ''))) AS h FROM pages)"
+_CONV = "p AS (SELECT conv_id AS entry_idx, hex(encode(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, '')))) AS h FROM conversations GROUP BY 1)"
+
+
+def _blocks_sql(size: int, more: str = "") -> str:
+    return f"b AS (SELECT entry_idx{more}, i::INTEGER AS block_idx, substr(h, (i * {2 * size} + 1)::BIGINT, {2 * size}) AS d FROM p, LATERAL (SELECT unnest(range(0, (length(h) // 2 + {size - 1}) // {size})) AS i) u)"
+
+
+_BYTES = "y AS (SELECT entry_idx, block_idx, substr(d, (2 * j + 1)::BIGINT, 2) AS x FROM b, LATERAL (SELECT unnest(range(0, length(d) // 2)) AS j) u), c AS (SELECT entry_idx, block_idx, x, count(*) AS n FROM y GROUP BY ALL)"
+_ENTROPY = "e AS (SELECT entry_idx, block_idx, sum(n)::BIGINT AS byte_count, greatest(0, least(8, log2(sum(n)) - sum(n * log2(n)) / sum(n))) AS entropy FROM c GROUP BY ALL)"
+_DOC_ENTROPY = f"WITH {_DOCS}, {_blocks_sql(BLOCK)}, {_BYTES}, {_ENTROPY}"
+
+
+def _doc_blocks(spark, sf_dir, size=BLOCK, keys=("entry_idx",)):
+    return B.split_blocks(P.documents(spark, sf_dir), size, list(keys))
+
+
+def _doc_entropy(spark, sf_dir, size=BLOCK):
+    return B.block_entropy(_doc_blocks(spark, sf_dir, size), ["entry_idx", "block_idx"])
+
+
+@query(f"WITH {_DOCS}, {_blocks_sql(SMALL)} SELECT entry_idx, block_idx, block_idx * {SMALL}::BIGINT AS raw_off, (length(d) // 2)::BIGINT AS raw_len, md5(unhex(d)) AS digest FROM b")
+def block_split(spark, sf_dir):
+    return _doc_blocks(spark, sf_dir, SMALL).select("entry_idx", "block_idx", "raw_off", "raw_len", F.md5("data").alias("digest"))
+
+
+@query(f"WITH {_DOCS}, {_blocks_sql(BLOCK)}, {_BYTES} SELECT ('0x' || x)::INTEGER AS byte, sum(n)::BIGINT AS n FROM c GROUP BY 1")
+def byte_histogram(spark, sf_dir):
+    return B.total_histogram(P.documents(spark, sf_dir), "payload")
+
+
+@query(f"WITH {_CONV}, {_blocks_sql(SMALL)}, {_BYTES} SELECT entry_idx, block_idx, ('0x' || x)::INTEGER AS byte, n FROM c")
+def block_histogram(spark, sf_dir):
+    return B.byte_histogram(B.split_blocks(P.conversations(spark, sf_dir), SMALL, ["entry_idx"]), ["entry_idx", "block_idx"])
+
+
+@query(f"{_DOC_ENTROPY} SELECT entry_idx, block_idx, byte_count, round(entropy, 4) AS entropy FROM e")
+def block_entropy(spark, sf_dir):
+    return _doc_entropy(spark, sf_dir).withColumn("entropy", _r4(F.col("entropy")))
+
+
+@query(f"WITH {_PAGES}, {_blocks_sql(BLOCK)}, {_BYTES}, {_ENTROPY} SELECT entry_idx, block_idx, byte_count, round(entropy, 4) AS entropy FROM e")
+def page_block_entropy(spark, sf_dir):
+    return B.block_entropy(B.split_blocks(P.pages(spark, sf_dir), BLOCK, ["entry_idx"]), ["entry_idx", "block_idx"]).withColumn("entropy", _r4(F.col("entropy")))
+
+
+@query(f"WITH {_CONV}, {_blocks_sql(SMALL)}, {_BYTES}, {_ENTROPY} SELECT entry_idx, block_idx, byte_count, round(entropy, 4) AS entropy FROM e")
+def conversation_block_entropy(spark, sf_dir):
+    return B.block_entropy(B.split_blocks(P.conversations(spark, sf_dir), SMALL, ["entry_idx"]), ["entry_idx", "block_idx"]).withColumn("entropy", _r4(F.col("entropy")))
+
+
+@query(f"WITH p AS (SELECT item_id AS entry_idx, hex(encode(text)) AS h FROM benchmark), {_blocks_sql(SMALL)}, {_BYTES}, {_ENTROPY} SELECT entry_idx, block_idx, byte_count, round(entropy, 4) AS entropy FROM e")
+def entropy_by_expressions(spark, sf_dir):
+    """The plan without Python, a row per byte."""
+    keys = ["entry_idx", "block_idx"]
+    found = B.entropy_plan(B.byte_histogram_plan(B.split_blocks(P.benchmark(spark, sf_dir), SMALL, ["entry_idx"]), keys), keys)
+    return found.withColumn("entropy", _r4(F.col("entropy")))
+
+
+@query(f"{_DOC_ENTROPY} SELECT p.entry_idx, round(coalesce(sum(entropy * byte_count) / sum(byte_count), 0), 4) AS mean_entropy FROM p LEFT JOIN e ON e.entry_idx = p.entry_idx GROUP BY 1")
+def entry_mean_entropy(spark, sf_dir):
+    """Entries without bytes have a mean of 0."""
+    means = B.mean_entropy(_doc_entropy(spark, sf_dir), ["entry_idx"])
+    names = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_idx"))
+    return names.join(means, "entry_idx", "left").select("entry_idx", _r4(F.coalesce("mean_entropy", F.lit(0.0))).alias("mean_entropy"))
+
+
+@query(f"{_DOC_ENTROPY} SELECT source, round(sum(entropy * byte_count) / sum(byte_count), 4) AS mean_entropy FROM p JOIN e ON e.entry_idx = p.entry_idx GROUP BY 1")
+def source_mean_entropy(spark, sf_dir):
+    docs = P.documents(spark, sf_dir).withColumn("source", F.split("name", "/")[0])
+    probed = B.block_entropy(B.split_blocks(docs, BLOCK, ["source", "entry_idx"]), ["source", "block_idx"])
+    return B.mean_entropy(probed, ["source"]).withColumn("mean_entropy", _r4(F.col("mean_entropy")))
+
+
+@query(f"{_DOC_ENTROPY} SELECT entry_idx, block_idx, round(entropy, 4) AS entropy, entropy >= {TEXT_THRESHOLD} AS incompressible FROM e")
+def incompressible_blocks(spark, sf_dir):
+    return _doc_entropy(spark, sf_dir).select("entry_idx", "block_idx", _r4(F.col("entropy")).alias("entropy"), S.incompressible(F.col("entropy"), TEXT_THRESHOLD).alias("incompressible"))
+
+
+_MEANS = f"{_DOC_ENTROPY}, m AS (SELECT p.entry_idx, length(any_value(h)) // 2 AS size, coalesce(sum(entropy * byte_count) / sum(byte_count), 0) AS mean FROM p LEFT JOIN e ON e.entry_idx = p.entry_idx GROUP BY 1)"
+
+
+def _means(spark, sf_dir):
+    sizes = P.documents(spark, sf_dir).select("entry_idx", F.octet_length("payload").cast("long").alias("size"))
+    return sizes.join(B.mean_entropy(_doc_entropy(spark, sf_dir), ["entry_idx"]), "entry_idx", "left").withColumn("mean", F.coalesce("mean_entropy", F.lit(0.0)))
+
+
+@query(f"{_MEANS} SELECT entry_idx, size, level, CASE WHEN level = 0 OR size = 0 OR mean >= {TEXT_THRESHOLD} OR (size * 9 // 10 + 40) >= size THEN 'stored' ELSE 'deflate' END AS method FROM m, (VALUES (0), (6)) l(level)")
+def method_decision(spark, sf_dir):
+    """ZIP methods, with nine tenths and 40 bytes standing in for the codec's result."""
+    rows = _means(spark, sf_dir).withColumn("level", F.explode(F.array(F.lit(0), F.lit(6))))
+    packed = F.call_function("div", F.col("size") * 9, F.lit(10)) + 40
+    return rows.select("entry_idx", "size", "level", S.zip_method(F.col("level"), F.col("size"), F.col("mean"), packed, TEXT_THRESHOLD).alias("method"))
+
+
+@query(f"{_DOC_ENTROPY} SELECT entry_idx, block_idx, base, CASE WHEN entropy >= {TEXT_THRESHOLD} AND base > 1 THEN 1 ELSE base END AS level FROM e, (VALUES (1), (3), (9)) v(base)")
+def level_decision(spark, sf_dir):
+    rows = _doc_entropy(spark, sf_dir).withColumn("base", F.explode(F.array(F.lit(1), F.lit(3), F.lit(9))))
+    return rows.select("entry_idx", "block_idx", "base", S.block_level(F.col("base"), F.col("entropy"), True, TEXT_THRESHOLD).alias("level"))
+
+
+@query(f"{_DOC_ENTROPY} SELECT entry_idx, block_idx, CASE WHEN entropy >= {TEXT_THRESHOLD} THEN 'stored' ELSE 'compressed' END AS zip_label, CASE WHEN base > 1 AND entropy >= {TEXT_THRESHOLD} THEN 'stored' ELSE 'compressed' END AS block_label, base FROM e, (VALUES (1), (3)) v(base)")
+def disposition_label(spark, sf_dir):
+    rows = _doc_entropy(spark, sf_dir).withColumn("base", F.explode(F.array(F.lit(1), F.lit(3))))
+    used = S.block_level(F.col("base"), F.col("entropy"), True, TEXT_THRESHOLD)
+    return rows.select("entry_idx", "block_idx", S.disposition_zip(F.lit("deflate"), F.col("entropy"), TEXT_THRESHOLD).alias("zip_label"), S.disposition_blocks(F.col("base"), used).alias("block_label"), "base")
+
+
+@query("SELECT level, greatest(0, least(12, level)) AS deflate_level, greatest(0, least(9, level)) AS zlib_level, greatest(1, least(22, level)) AS zstd_level FROM (SELECT unnest(range(-3, 31))::INTEGER AS level)")
+def level_clamp(spark, sf_dir):
+    rows = spark.range(-3, 31).select(F.col("id").cast("int").alias("level"))
+    return rows.select("level", S.clamp_deflate_level(F.col("level")).alias("deflate_level"), S.clamp_zlib_level(F.col("level")).alias("zlib_level"), S.clamp_zstd_level(F.col("level")).alias("zstd_level"))
+
+
+@query(f"{_DOC_ENTROPY}, z AS (SELECT entry_idx, sum(byte_count) AS size FROM e GROUP BY 1) SELECT e.entry_idx, block_idx, round(byte_count * (size // 3) / size)::BIGINT AS stored_bytes FROM e JOIN z ON e.entry_idx = z.entry_idx")
+def attributed_bytes(spark, sf_dir):
+    """A third of each entry, shared out over its blocks."""
+    blocks = B.block_ranges(P.documents(spark, sf_dir).select("entry_idx", F.octet_length("payload").cast("long").alias("size")), BLOCK, ["entry_idx", "size"])
+    third = F.call_function("div", F.col("size"), F.lit(3))
+    return blocks.select("entry_idx", "block_idx", S.attributed_bytes(F.col("raw_len"), third, F.col("size")).alias("stored_bytes"))
+
+
+_SAMPLES = f"{_DOC_ENTROPY}, s AS (SELECT entropy, byte_count AS original_bytes, CASE WHEN entropy >= {TEXT_THRESHOLD} THEN byte_count + 13 ELSE byte_count // 2 END AS stored_bytes, CASE WHEN entropy >= {TEXT_THRESHOLD} THEN 'stored' ELSE 'compressed' END AS disposition, entry_idx, block_idx FROM e)"
+
+
+def _samples(spark, sf_dir):
+    """Samples with a stand-in for the codec: half the bytes, or all and a header."""
+    high = S.incompressible(F.col("entropy"), TEXT_THRESHOLD)
+    half = F.call_function("div", F.col("byte_count"), F.lit(2))
+    return _doc_entropy(spark, sf_dir).select("entropy", F.col("byte_count").alias("original_bytes"), F.when(high, F.col("byte_count") + 13).otherwise(half).alias("stored_bytes"), F.when(high, "stored").otherwise("compressed").alias("disposition"), "entry_idx", "block_idx")
+
+
+@query(f"{_SAMPLES} SELECT sum(original_bytes)::BIGINT AS total_original, sum(stored_bytes)::BIGINT AS total_stored, count(*) FILTER (disposition = 'compressed') AS compressed_blocks, count(*) FILTER (disposition = 'stored') AS stored_blocks, round(sum(entropy * original_bytes) / sum(original_bytes), 4) AS mean_entropy, round(sum(stored_bytes) / sum(original_bytes), 4) AS overall_ratio FROM s")
+def heatmap_summary(spark, sf_dir):
+    return M.heatmap_summary(_samples(spark, sf_dir)).withColumns({"mean_entropy": _r4(F.col("mean_entropy")), "overall_ratio": _r4(F.col("overall_ratio"))})
+
+
+@query(f"{_SAMPLES} SELECT count(*) AS entries, sum(a)::BIGINT AS bytes_in, sum(b)::BIGINT AS bytes_out, round(sum(b) / sum(a), 4) AS ratio, round(sum(a) / 1e6 / 2.0, 4) AS mb_per_s FROM (SELECT sum(original_bytes) AS a, sum(stored_bytes) AS b FROM s GROUP BY entry_idx)")
+def compression_stats(spark, sf_dir):
+    entries = _samples(spark, sf_dir).groupBy("entry_idx").agg(F.sum("original_bytes").alias("uncompressed_size"), F.sum("stored_bytes").alias("compressed_size"))
+    return M.compression_stats(entries, elapsed=2.0).withColumns({"ratio": _r4(F.col("ratio")), "mb_per_s": _r4(F.col("mb_per_s"))})
+
+
+@query("SELECT count(*) AS entries, sum(octet_length(encode(html)))::BIGINT AS bytes_out, round(sum(octet_length(encode(html))) / 1e6 / 4.0, 4) AS mb_per_s FROM pages")
+def extract_stats(spark, sf_dir):
+    rows = P.pages(spark, sf_dir).select(F.octet_length("payload").cast("long").alias("size"))
+    return M.extract_stats(rows, elapsed=4.0).withColumn("mb_per_s", _r4(F.col("mb_per_s")))
+
+
+def _ramp_sql(k: int, e: str) -> str:
+    out = str(float(S.RAMP[-1][1][k]))
+    for (low, a), (high, b) in reversed(list(zip(S.RAMP, S.RAMP[1:], strict=False))):
+        out = f"CASE WHEN {e} <= {high} THEN {a[k]}::DOUBLE + {b[k] - a[k]}::DOUBLE * (({e} - {low}::DOUBLE) / ({high}::DOUBLE - {low}::DOUBLE)) ELSE {out} END"
+    return out
+
+
+@query(
+    "WITH g AS (SELECT x::BIGINT AS step, x::DOUBLE / 64 AS entropy, (x % 17)::DOUBLE / 16 AS ratio FROM (SELECT unnest(range(0, 513)) AS x)), h AS (SELECT *, 1.0::DOUBLE - 0.45::DOUBLE * (1.0::DOUBLE - ratio) AS dim FROM g) "
+    "SELECT step, list_extract(['▁', '▂', '▃', '▄', '▅', '▆', '▇', '█'], (round(ratio * 7) + 1)::INTEGER) AS bar, "
+    + ", ".join(f"floor(greatest(0, least(255, ({_ramp_sql(k, 'entropy')}) * dim)))::INTEGER AS {name}" for k, name in enumerate("rgb"))
+    + " FROM h"
+)
+def bar_and_colour(spark, sf_dir):
+    rows = spark.range(513).select(F.col("id").alias("step"), (F.col("id") / 64).alias("entropy"), (F.pmod("id", F.lit(17)) / 16).alias("ratio"))
+    return rows.select("step", S.bar_glyph(F.col("ratio")).alias("bar"), S.colour(F.col("entropy"), S.cell_brightness(F.col("ratio"))).alias("c")).select("step", "bar", "c.r", "c.g", "c.b")
+
+
+# CRC32 in SQL: bit by bit over hexadecimal pairs of short names
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda j: ('0x' || substr(h, (2 * j + 1)::BIGINT, 2))::BIGINT)), "
+    "lambda c, y: list_reduce(list_prepend(xor(c, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda z, k: xor(z >> 1, (z & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"
+)
+_NAMES = "n AS (SELECT n_name AS name, hex(encode(n_name)) AS h FROM nation UNION ALL SELECT r_name, hex(encode(r_name)) FROM region UNION ALL SELECT '123456789', hex(encode('123456789')) UNION ALL SELECT 'hello', hex(encode('hello')) UNION ALL SELECT 'world', hex(encode('world')))"
+
+
+def _names(spark, sf_dir):
+    known = spark.createDataFrame([("123456789",), ("hello",), ("world",)], "name string")
+    return _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).union(_table(spark, sf_dir, "region").select("r_name")).union(known)
+
+
+@query(f"WITH {_NAMES} SELECT name, {_CRC} AS crc32 FROM n")
+def crc32_names(spark, sf_dir):
+    return _names(spark, sf_dir).select("name", S.crc32(F.encode("name", "UTF-8")).alias("crc32"))
+
+
+@query(f"WITH {_NAMES}, a AS (SELECT entry_idx, string_agg(name, '' ORDER BY name) AS t FROM (SELECT name, length(name) % 5 AS entry_idx FROM n) GROUP BY 1) SELECT entry_idx::INTEGER AS entry_idx, length(t)::BIGINT AS size, (SELECT {_CRC} FROM (SELECT hex(encode(t)) AS h)) AS crc32 FROM a")
+def crc32_folded(spark, sf_dir):
+    """Checksums of names put together, folded from those of the names."""
+    from pyspark.sql import Window
+
+    rows = _names(spark, sf_dir).select("name", F.pmod(F.char_length("name"), F.lit(5)).alias("entry_idx"), F.octet_length("name").cast("long").alias("raw_len"), F.crc32(F.encode("name", "UTF-8")).alias("crc32"))
+    seat = Window.partitionBy("entry_idx").orderBy("name")
+    rows = rows.withColumn("raw_off", F.sum("raw_len").over(seat) - F.col("raw_len"))
+    return checksum.fold_crc32(rows, ["entry_idx"])
+
+
+@query("SELECT doc_id AS entry_idx, octet_length(encode(coalesce(text, '')))::BIGINT AS size, TRUE AS same FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 0")
+def crc_combine_law(spark, sf_dir):
+    """Checksums folded from blocks equal those of the whole payloads."""
+    docs = P.documents(spark, sf_dir)
+    blocks = _doc_blocks(spark, sf_dir, SMALL).withColumn("crc32", F.crc32("data"))
+    return checksum.fold_crc32(blocks, ["entry_idx"]).join(docs.select("entry_idx", F.crc32("payload").alias("_w")), "entry_idx").select("entry_idx", "size", (F.col("crc32") == F.col("_w")).alias("same"))
+
+
+# Entries -----------------------------------------------------------------------
+
+_ENTRIES = "en AS (SELECT doc_id AS entry_idx, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS uncompressed_size FROM documents)"
+
+
+def _entries(spark, sf_dir):
+    return P.documents(spark, sf_dir).select("entry_idx", "name", F.lit(False).alias("is_directory"), F.octet_length("payload").cast("long").alias("uncompressed_size"), F.timestamp_seconds(F.col("entry_idx") * 86399).alias("mtime"))
+
+
+_ASKED = ["src0/en/20.txt", "src1/en/1.txt", "src8/en/28.txt"]
+
+
+@query(f"WITH {_ENTRIES} SELECT entry_idx, name, uncompressed_size FROM en WHERE name IN ('{_ASKED[1]}')")
+def entry_filter(spark, sf_dir):
+    return E.filter_entries(_entries(spark, sf_dir), [_ASKED[1]]).select("entry_idx", "name", "uncompressed_size")
+
+
+@query(f"WITH {_ENTRIES} SELECT name FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for n in [*_ASKED, 'no/such.bin'])}) a(name) WHERE name NOT IN (SELECT name FROM en)")
+def missing_entries(spark, sf_dir):
+    return E.missing_entries(_entries(spark, sf_dir), [*_ASKED, "no/such.bin"])
+
+
+@query(f"WITH {_ENTRIES} SELECT entry_idx, uncompressed_size AS size, strftime(make_timestamp(entry_idx * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS modified, name FROM en")
+def list_entries(spark, sf_dir):
+    return E.listing(_entries(spark, sf_dir))
+
+
+@query(f"WITH {_ENTRIES} SELECT split_part(name, '/', 1) AS source, count(*) AS entries, sum(uncompressed_size)::BIGINT AS bytes FROM en GROUP BY 1")
+def entry_totals(spark, sf_dir):
+    return E.totals(_entries(spark, sf_dir).withColumn("source", F.split("name", "/")[0]), keys=["source"])
+
+
+_PATHS = ["/etc/passwd", "../escape", "a/../../escape", "", "ok\0name", "sub/dir/file.txt", "a/./b", "a//b", "..", "..a/b", "dir/"]
+_PATH_SQL = ", ".join("(" + str(i) + ", " + ("'" + p.replace("\0", "' || chr(0) || '") + "'") + ")" for i, p in enumerate(_PATHS))
+
+
+@query(f"SELECT i, coalesce(name <> '' AND NOT contains(name, chr(0)) AND NOT starts_with(name, '/') AND NOT list_contains(string_split(name, '/'), '..'), FALSE) AS safe FROM (VALUES {_PATH_SQL}) v(i, name) UNION ALL SELECT 100 + row_number() OVER (ORDER BY page_id), NOT starts_with(url, '/') AND NOT list_contains(string_split(url, '/'), '..') FROM pages")
+def safe_paths(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = spark.createDataFrame(list(enumerate(_PATHS)), "i long, name string")
+    urls = _table(spark, sf_dir, "pages").select((F.row_number().over(Window.orderBy("page_id")) + 100).cast("long").alias("i"), F.col("url").alias("name"))
+    return rows.union(urls).select("i", S.safe_path(F.col("name")).alias("safe"))
+
+
+@query(f"WITH {_ENTRIES} SELECT DISTINCT regexp_replace(name, '/?[^/]*$', '') AS dir FROM en")
+def parent_dirs(spark, sf_dir):
+    return E.parent_dirs(_entries(spark, sf_dir))
+
+
+@query("SELECT source || '/' || lang AS joined, CASE WHEN count(*) > 40 THEN source || '/' ELSE source END AS named FROM documents GROUP BY source, lang")
+def joined_names(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").groupBy("source", "lang").count()
+    return rows.select(S.join_path(F.concat("source", F.lit("/")), F.col("lang")).alias("joined"), S.entry_name(F.col("source"), F.col("count") > 40).alias("named"))
+
+
+@query(
+    f"WITH {_ENTRIES}, k AS (SELECT entry_idx, uncompressed_size, unnest(range(0, (uncompressed_size + {SMALL - 1}) // {SMALL})) AS i FROM en), l AS (SELECT *, least({SMALL}, uncompressed_size - i * {SMALL}) AS raw_len, 11 + (entry_idx + i) % 97 AS comp_len FROM k) "
+    f"SELECT entry_idx, i::INTEGER AS block_idx, (63 + coalesce(sum(comp_len) OVER (PARTITION BY entry_idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS comp_off, comp_len, i * {SMALL} AS raw_off, raw_len FROM l"
+)
+def block_offsets(spark, sf_dir):
+    """Places of frames from stand-in lengths."""
+    rows = _entries(spark, sf_dir).filter("uncompressed_size > 0")
+    count = F.call_function("div", F.col("uncompressed_size") + (SMALL - 1), F.lit(SMALL))
+    lengths = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: 11 + F.pmod(F.col("entry_idx") + i, F.lit(97)))
+    return B.block_offsets(rows.select("entry_idx", F.lit(63).cast("long").alias("data_offset"), F.lit(SMALL).cast("long").alias("block_size"), "uncompressed_size", lengths.alias("block_lengths")), ["entry_idx"])
+
+
+@query("WITH r AS (SELECT o_orderkey AS entry_idx, o_custkey % 40 >= 30 AS is_large, o_custkey % 40 AS size, o_custkey % 7 AS grp FROM orders), s AS (SELECT *, is_large OR coalesce(lag(is_large) OVER w, TRUE) AS starts FROM r WINDOW w AS (PARTITION BY grp ORDER BY entry_idx)) SELECT entry_idx, grp, size, (sum(starts::BIGINT) OVER (PARTITION BY grp ORDER BY entry_idx) - 1)::BIGINT AS run FROM s")
+def entry_runs(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_idx"), F.pmod("o_custkey", F.lit(40)).alias("size"), F.pmod("o_custkey", F.lit(7)).alias("grp"))
+    return B.runs(rows, 30, ["grp"]).select("entry_idx", "grp", "size", "run")
+
+
+_STAMP = "(o_orderdate + to_seconds(o_orderkey % 86400))"
+
+
+@query(f"WITH o AS (SELECT o_orderkey, {_STAMP} AS ts FROM orders) SELECT o_orderkey, (greatest(year(ts), 1980) - 1980) * 512 + month(ts) * 32 + day(ts) AS dos_date, hour(ts) * 2048 + minute(ts) * 32 + second(ts) // 2 AS dos_time, strftime(date_trunc('minute', ts) + to_seconds(second(ts) // 2 * 2), '%Y-%m-%d %H:%M:%S') AS decoded FROM o")
+def dos_timestamp(spark, sf_dir):
+    ts = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod("o_orderkey", F.lit(86400)).cast("decimal(18,6)"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", ts.alias("ts"))
+    rows = rows.select("o_orderkey", S.dos_date(F.col("ts")).cast("long").alias("dos_date"), S.dos_time(F.col("ts")).cast("long").alias("dos_time"))
+    return rows.select("*", F.date_format(S.from_dos(F.col("dos_date").cast("int"), F.col("dos_time").cast("int")), "yyyy-MM-dd HH:mm:ss").alias("decoded"))
+
+
+# Literal buckets ---------------------------------------------------------------
+
+_BUCKET_LIST = "[" + ", ".join(f"'{b}'" for b in BUCKETS) + "]"
+_BUCKET_ROWS = f"q AS (SELECT l_orderkey % 50 AS grp, list_extract({_BUCKET_LIST}, ((l_partkey * 7 + l_linenumber) % 5 + 1)::INTEGER) AS bucket, l_suppkey * 13 % 4096 AS regenerated_bytes FROM lineitem)"
+
+
+def _bucket_rows(spark, sf_dir):
+    names = F.array(*[F.lit(b) for b in BUCKETS])
+    return _table(spark, sf_dir, "lineitem").select(F.pmod("l_orderkey", F.lit(50)).alias("grp"), F.element_at(names, (F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber"), F.lit(5)) + 1).cast("int")).alias("bucket"), F.pmod(F.col("l_suppkey") * 13, F.lit(4096)).alias("regenerated_bytes"))
+
+
+@query(f"WITH {_BUCKET_ROWS}, d AS (SELECT unnest(range(0, 6))::INTEGER AS ordinal, unnest({_BUCKET_LIST}) AS bucket) SELECT ordinal, d.bucket, count(q.bucket) AS n, coalesce(sum(regenerated_bytes), 0)::BIGINT AS regenerated_bytes FROM d LEFT JOIN q ON q.bucket = d.bucket GROUP BY 1, 2")
+def literal_buckets(spark, sf_dir):
+    return Z.bucket_counts(_bucket_rows(spark, sf_dir))
+
+
+@query(f"WITH {_BUCKET_ROWS}, s AS (SELECT grp, bucket, sum(regenerated_bytes) AS n FROM q GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, list_position({_BUCKET_LIST}, bucket)) AS k FROM s) SELECT grp, bucket AS dominant FROM r WHERE k = 1")
+def dominant_bucket(spark, sf_dir):
+    return Z.dominant_bucket(_bucket_rows(spark, sf_dir), ["grp"])
+
+
+@query(f"WITH {_BUCKET_ROWS}, g AS (SELECT sum(regenerated_bytes) FILTER (bucket = 'compressed4Stream') AS a, sum(regenerated_bytes) FILTER (bucket <> 'noLiterals') AS b, sum(regenerated_bytes) AS c FROM q) SELECT round(a / b * 100, 4) AS literal_share, round(a / c * 100, 4) AS total_share, CASE WHEN a / b * 100 >= 70 THEN 'PASS' ELSE 'FAIL' END AS gate FROM g")
+def gate_share(spark, sf_dir):
+    found = Z.gate(Z.bucket_counts(_bucket_rows(spark, sf_dir)))
+    return found.withColumns({"literal_share": _r4(F.col("literal_share")), "total_share": _r4(F.col("total_share"))})
+
+
+@query()
+def frame_literals(spark, sf_dir):
+    """Literal distribution of real frames (what a codec's version makes of them has no oracle)."""
+    frames = _doc_blocks(spark, sf_dir, 1 << 16).select("entry_idx", "block_idx", C.zstd_compress(F.col("data"), F.lit(3)).alias("data"))
+    return Z.inner_buckets(Z.classify(frames, ["entry_idx", "block_idx"]))
+
+
+@query("SELECT count(*) AS frames, count(*) AS parsed FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 0 AND octet_length(encode(text)) <= 65536")
+def frames_parsed(spark, sf_dir):
+    """All frames of the codec are parsed to their end."""
+    docs = P.documents(spark, sf_dir).filter(F.octet_length("payload").between(1, 65536))
+    frames = docs.select("entry_idx", C.zstd_compress(F.col("payload"), F.lit(3)).alias("data"))
+    return Z.classify(frames, ["entry_idx"]).agg(F.count("*").alias("frames"), F.count_if("fully_parsed").alias("parsed"))
+
+
+# Stages, progress, skips --------------------------------------------------------
+
+
+@query("WITH s AS (SELECT event_type AS stage, sum(value) AS seconds FROM events GROUP BY 1), w AS (SELECT sum(seconds) + 100.0 AS wall FROM s), u AS (SELECT stage, seconds FROM s UNION ALL SELECT '(unaccounted)', 100.0) SELECT 'wall' AS kind, stage, round(seconds, 3) AS seconds, round(seconds / wall * 100, 3) AS percent, CASE WHEN stage <> '(unaccounted)' THEN round(seconds * 1000 / 16, 3) END AS ms_per_batch FROM u, w")
+def stage_breakdown(spark, sf_dir):
+    stages = _table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    wall = stages.agg(F.sum("seconds")).first()[0] + 100.0
+    rows = M.stage_table(stages, wall, batches=16)
+    return rows.select("kind", "stage", *[F.round(c, 3).alias(c) for c in ("seconds", "percent", "ms_per_batch")])
+
+
+@query("WITH t AS (SELECT event_type AS phase, count(*) AS processed FROM events GROUP BY 1), f AS (SELECT *, 10000::BIGINT AS total, least(1.0, processed / 10000) AS fraction FROM t) SELECT phase, processed, total, round(fraction, 4) AS fraction, round(processed / 8.0, 4) AS bytes_per_second, round(CASE WHEN fraction > 0.005 THEN greatest(0, 8.0 / fraction - 8.0) END, 4) AS eta_seconds FROM f")
+def progress_snapshot(spark, sf_dir):
+    ticks = _table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), F.lit(1).alias("bytes"))
+    rows = M.progress_snapshot(ticks, 10_000, 8.0, ["phase"])
+    finite = F.when(F.col("eta_seconds") < float("inf"), F.col("eta_seconds"))
+    return rows.select("phase", "processed", "total", *[F.round(c, 4).alias(n) for n, c in (("fraction", F.col("fraction")), ("bytes_per_second", F.col("bytes_per_second")), ("eta_seconds", finite))])
+
+
+@query("WITH t AS (SELECT event_type AS phase, count(*) AS n FROM events GROUP BY 1) SELECT phase, n AS processed, 20000::BIGINT AS total, n > 1000 AS done, CASE WHEN n / 20000 > 0.005 THEN round(8.0 / (n / 20000) - 8.0, 3) END AS eta FROM t")
+def progress_lines(spark, sf_dir):
+    """JSON lines written and read back."""
+    from ..streaming.progress import encode_progress, parse_progress
+
+    ticks = _table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), F.lit(1).alias("bytes"))
+    rows = M.progress_snapshot(ticks, 20_000, 8.0, ["phase"]).withColumn("done", F.col("processed") > 1000)
+    back = parse_progress(rows.select(encode_progress(rows).alias("value")))
+    return back.select("phase", "processed", "total", "done", F.col("etaSeconds").alias("eta"))
+
+
+@query(
+    "WITH v AS (SELECT i, (CASE WHEN i < 12 THEN 10::BIGINT ** i ELSE (i * i * i * 997) END)::BIGINT AS n FROM (SELECT unnest(range(0, 60)) AS i)) SELECT i, n, "
+    "CASE WHEN n >= 1e12 THEN format('{:6.2f} TB', n / 1e12) WHEN n >= 1e9 THEN format('{:6.2f} GB', n / 1e9) WHEN n >= 1e6 THEN format('{:6.2f} MB', n / 1e6) WHEN n >= 1000 THEN format('{:6.2f} KB', n / 1e3) ELSE format('{:6.0f} B ', n::DOUBLE) END AS human, "
+    "CASE WHEN n >= 1e9 THEN format('{:.2f} GB', n / 1e9) WHEN n >= 1e6 THEN format('{:.2f} MB', n / 1e6) WHEN n >= 1000 THEN format('{:.2f} KB', n / 1e3) ELSE format('{:.0f} B', n::DOUBLE) END AS report, "
+    "CASE WHEN n / 1e9 >= 10 THEN format('{:.1f} GB', n / 1e9) WHEN n / 1e9 >= 0.1 THEN format('{:.2f} GB', n / 1e9) ELSE format('{:.1f} MB', n / 1e6) END AS preflight FROM v"
+)
+def human_bytes(spark, sf_dir):
+    i = F.col("id")
+    rows = spark.range(60).select(i.alias("i"), F.when(i < 12, F.pow(F.lit(10.0), i).cast("long")).otherwise(i * i * i * 997).alias("n"))
+    return rows.select("i", "n", S.human_bytes(F.col("n")).alias("human"), S.report_bytes(F.col("n")).alias("report"), S.preflight_bytes(F.col("n")).alias("preflight"))
+
+
+@query(
+    "WITH v AS (SELECT i, i * i * 1.0::DOUBLE AS s FROM (SELECT unnest(range(0, 120)) AS i)) SELECT i, CASE WHEN s < 60 THEN format('{:2d}s', s::BIGINT) WHEN s < 3600 THEN format('{:d}:{:02d}', s::BIGINT // 60, s::BIGINT % 60) ELSE format('{:d}:{:02d}:{:02d}', s::BIGINT // 3600, s::BIGINT % 3600 // 60, s::BIGINT % 60) END AS eta, "
+    "CASE WHEN s = 0 THEN '?' WHEN i * 5e8 / 1e6 / s >= 1000 THEN format('{:.2f} GB/s', i * 5e8 / 1e6 / s / 1000) ELSE format('{:.0f} MB/s', i * 5e8 / 1e6 / s) END AS rate FROM v WHERE i <> 0 OR i = 0"
+)
+def eta_and_rate(spark, sf_dir):
+    rows = spark.range(120).select(F.col("id").alias("i"), (F.col("id") * F.col("id")).cast("double").alias("s"))
+    return rows.select("i", S.eta_text(F.col("s")).alias("eta"), S.throughput(F.col("i") * F.lit(5e8), F.col("s")).alias("rate"))
+
+
+_SKIPS = "k AS (SELECT p_name || '/' || p_partkey AS rel, CASE WHEN p_partkey % 3 = 0 THEN 'symlink' ELSE 'hidden' END AS reason, p_partkey * 37 % 1000 AS bytes, p_partkey % 5 + 1 AS items FROM part)"
+
+
+def _skips(spark, sf_dir):
+    key = F.col("p_partkey")
+    return _table(spark, sf_dir, "part").select(F.concat_ws("/", "p_name", key.cast("string")).alias("rel"), F.when(F.pmod(key, F.lit(3)) == 0, "symlink").otherwise("hidden").alias("reason"), F.pmod(key * 37, F.lit(1000)).alias("bytes"), (F.pmod(key, F.lit(5)) + 1).alias("items"))
+
+
+@query(f"WITH {_SKIPS} SELECT reason, count(*) AS entries, sum(bytes)::BIGINT AS bytes, sum(items)::BIGINT AS items FROM k GROUP BY 1")
+def skip_totals(spark, sf_dir):
+    return M.skip_totals(_skips(spark, sf_dir))
+
+
+@query(f"WITH {_SKIPS} SELECT * FROM k WHERE reason = 'hidden' ORDER BY bytes DESC, rel LIMIT 8")
+def top_skips(spark, sf_dir):
+    return M.top_skips(_skips(spark, sf_dir))
+
+
+@query("WITH d AS (SELECT source, lang, '.' || source || '/' || doc_id AS rel, octet_length(encode(text)) AS size FROM documents) SELECT source AS top, sum(size)::BIGINT AS bytes, count(*) AS items FROM d WHERE regexp_matches(rel, '(^|/)\\.[^/]') GROUP BY 1")
+def hidden_sizes(spark, sf_dir):
+    """Bytes and items below hidden directories."""
+    docs = P.documents(spark, sf_dir).withColumn("top", F.split("name", "/")[0])
+    rel = F.concat(F.lit("."), F.col("top"), F.lit("/"), F.col("entry_idx").cast("string"))
+    return docs.filter(S.hidden(rel)).groupBy("top").agg(F.sum(F.octet_length("payload")).cast("long").alias("bytes"), F.count("*").alias("items"))
+
+
+@query("SELECT event_type AS corpus, count(*) AS bytes_in, CASE WHEN count(*) > 0 THEN format('{:.3f}', sum(user_id % 2) / count(*) * 100) ELSE 'n/a' END AS ratio_percent, sum(user_id % 2)::BIGINT AS bytes_out FROM events GROUP BY 1")
+def bench_rows(spark, sf_dir):
+    runs = _table(spark, sf_dir, "events").select(F.col("event_type").alias("corpus"), F.lit(1.0).alias("wall"), F.lit(1.0).alias("user"), F.lit(0.5).alias("sys"), F.lit(1).alias("bytes_in"), F.pmod("user_id", F.lit(2)).alias("bytes_out"))
+    return M.bench_row(runs, ["corpus"]).select("corpus", "bytes_in", "ratio_percent", "bytes_out")
+
+
+# Codecs -------------------------------------------------------------------------
+
+_TRIPS = "SELECT doc_id AS entry_idx, octet_length(encode(coalesce(text, '')))::BIGINT AS size, TRUE AS same FROM documents"
+
+
+@query(_TRIPS.replace("FROM documents", "FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 0"))
+def zstd_roundtrip(spark, sf_dir):
+    """Blocks compressed, decoded again, folded and checked against the payloads."""
+    docs = P.documents(spark, sf_dir)
+    blocks = _doc_blocks(spark, sf_dir, SMALL).select("entry_idx", "block_idx", "raw_off", "raw_len", C.zstd_compress(F.col("data"), F.lit(3)).alias("data"))
+    raw = C.decode_blocks(blocks, ["entry_idx", "block_idx", "raw_off"])
+    recorded = docs.filter(F.octet_length("payload") > 0).select("entry_idx", F.octet_length("payload").cast("long").alias("uncompressed_size"), F.crc32("payload").alias("crc32"))
+    return C.verify(raw, recorded, ["entry_idx"], strict=False).select("entry_idx", "size", F.col("ok").alias("same"))
+
+
+@query(_TRIPS)
+def deflate_roundtrip(spark, sf_dir):
+    docs = P.documents(spark, sf_dir).withColumn("size", F.octet_length("payload").cast("long"))
+    packed = docs.withColumn("body", C.deflate(F.col("payload"), F.lit(6)))
+    return packed.select("entry_idx", "size", (C.inflate(F.col("body"), F.col("size")) == F.col("payload")).alias("same"))
+
+
+@query(_TRIPS)
+def chunked_deflate_roundtrip(spark, sf_dir):
+    """Chunks deflated apart are one stream when put together."""
+    docs = P.documents(spark, sf_dir).withColumn("size", F.octet_length("payload").cast("long"))
+    packed = C.deflate_in_chunks(docs, ["entry_idx", "size", "payload"], SMALL)
+    return packed.select("entry_idx", "size", (C.inflate(F.col("body"), F.col("size")) == F.col("payload")).alias("same"))
+
+
+@query("SELECT doc_id AS entry_idx, TRUE AS ok FROM documents")
+def content_verify(spark, sf_dir):
+    rows = P.documents(spark, sf_dir).select("entry_idx", F.col("payload").alias("content"), F.crc32("payload").alias("crc32"), F.octet_length("payload").alias("uncompressed_size"))
+    return C.verify_content(rows).select("entry_idx", "ok")
+
+
+@query("SELECT event_type AS stage, count(*) AS n, round(sum(value), 2) AS seconds FROM events GROUP BY 1")
+def stream_stage_totals(spark, sf_dir):
+    """Event totals by a stream that takes what is there and stops."""
+    import uuid
+
+    from ..streaming.progress import run_once
+
+    events = _table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    totals = stream.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("seconds"))
+    return run_once(totals, f"stages_{uuid.uuid4().hex}")

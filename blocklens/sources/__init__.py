@@ -1,0 +1,12 @@
+"""Sources and sinks: archives and directory trees as Spark data sources, tables as payloads."""
+
+from __future__ import annotations
+
+
+def register(spark) -> None:
+    """Makes ``blockarchive``, ``ziparchive`` and ``filetree`` known to ``spark.read`` and ``df.write``."""
+    from .archives import BlockArchive, ZipArchive
+    from .tree import FileTree
+
+    for source in (BlockArchive, ZipArchive, FileTree):
+        spark.dataSource.register(source)
