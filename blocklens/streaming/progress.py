@@ -53,7 +53,7 @@ def histogram_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def stage_stream(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Event-time totals per stage: ``stage, start, n, seconds``, closed once the watermark has passed."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", window), F.col("event_type").alias("stage"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), F.col("event_type").alias("stage"))
     return rows.agg(F.count("*").alias("n"), F.sum("value").alias("seconds")).select("stage", F.col("window.start").alias("start"), "n", "seconds")
 
 
