@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,6 +33,53 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+class Memory(dict):
+    """What a Python worker remembers: two generations, so what is used often stays.
+
+    A missing key is looked for in the older generation and else computed.
+    When ``limit`` keys are in, the older generation goes.  A worker serves one
+    kind of memory at a time: ``claim`` empties the others.
+    """
+
+    _all: list[Memory] = []
+
+    def __init__(self, compute, limit: int, kind: str):
+        self.compute, self.limit, self.older, self.kind = compute, limit, {}, kind
+        Memory._all.append(self)
+
+    @staticmethod
+    def claim(kind: str) -> None:
+        for memory in Memory._all:
+            if memory.kind != kind:
+                memory.clear()
+                memory.older = {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.compute(key)
+        self[key] = found
+        return found
+
+    def settle(self) -> None:
+        """Call between batches."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+    def unknown(self, keys) -> list:
+        """Keys in neither generation; those of the older one move up."""
+        fresh = []
+        for key in keys:
+            if key not in self:
+                found = self.older.get(key)
+                if found is None:
+                    fresh.append(key)
+                else:
+                    self[key] = found
+        return fresh
+
+
 class Scratch:
     """Intermediate tables of one run, in a folder of their own under the shared one."""
 
@@ -52,6 +100,54 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker no longer uses to the system, as workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_parts(batch, column: int, limit: int):
+    """``(first row, rows, texts)`` of consecutive parts of a batch of at most ``limit`` UTF-8 bytes (or one row)."""
+    import numpy
+    import pyarrow.compute
+
+    ends = numpy.cumsum(pyarrow.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        count = max(1, int(numpy.searchsorted(ends, before + limit, "right")) - at)
+        yield at, count, batch.column(column).slice(at, count).to_pylist()
+        at += count
+
+
+def tidy(function):
+    """A mapInArrow function that gives memory back at its end."""
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
+def tidy_group(function):
+    """The same for an applyInArrow function."""
+
+    def run(table):
+        out = function(table)
+        give_back()
+        return out
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

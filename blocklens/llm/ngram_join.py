@@ -11,7 +11,7 @@ the set).  All sets are kept in one global order, rare n-grams first:
 2. *Prefixes.*  Two sets that reach the threshold share an n-gram among the
    first ``n - ceil(t * n) + 1`` of each.  These are dealt out by hash range,
    40 bits wide, and nodes under a common prefix n-gram are candidates.  Nodes
-   that candidates connect go to one task where they are at most ``_WHOLE``.
+   that candidates connect go to one task where they are few (``_WHOLE``).
    Larger such sets are compared pair by pair where few nodes share an n-gram
    (at most ``_SMALL``), else as clusters, dealt as pairs of blocks, so that
    the pairs within a large group are never written out.
@@ -34,20 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Memory, Scratch, tidy, tidy_group
 from .components import components
 
 _HEAVY, _HEAVY_FROM = 1 << 19, 8
 #: Nodes under one prefix n-gram that are compared as pairs; nodes in a block of a cluster.
 _SMALL, _BLOCK = 8, 256
 #: n-grams of one hash range, pairs of one verification group, candidates that may be broadcast.
-_RANGE_GRAMS, _GROUP_PAIRS, _BROADCAST_ROWS = 4_000_000, 4_000, 1_000_000
-#: Nodes of a connected set of candidates that one task compares at once, and nodes of a task.
-_WHOLE, _TASK_NODES = 512, 2_000
+_RANGE_GRAMS, _GROUP_PAIRS, _BROADCAST_ROWS = 2_000_000, 4_000, 1_000_000
+#: Nodes and n-grams of a connected set of candidates that is compared at once, n-grams of a task and of a block.
+_WHOLE, _WHOLE_GRAMS, _TASK_GRAMS, _BLOCK_GRAMS = 512, 500_000, 500_000, 500_000
 #: UTF-8 bytes of texts that a worker handles at a time.
-_PART_BYTES = 8 << 20
+_PART_BYTES = 3 << 20
 #: Words a worker remembers, and characters whose words are in memory at a time.
-_WORDS_KNOWN, _SLICE_CHARS = 1 << 18, 2_000_000
+_WORDS_KNOWN, _SLICE_CHARS = 1 << 17, 1_000_000
 _LOW = 23  # 63-bit hash = 40 bits that are counted, 23 low bits
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _TOP = np.uint64(1 << 63)
@@ -59,20 +59,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: The hashes of words that a worker remembers from task to task.
+_HASHES: list[Memory] = []
+
+
 class Grams:
     """n-gram hashes of texts: ASCII letters lower-cased, words cut at ASCII white space."""
 
     def __init__(self, n: int):
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
-
-        class Known(dict):
-            def __missing__(self, word):
-                found = self[word] = digest(word)
-                return found
-
-        self.n, self.known = n, Known()
+        Memory.claim("words")
+        if not _HASHES:
+            _HASHES.append(Memory(xxhash.xxh3_64_intdigest, _WORDS_KNOWN, "words"))
+        self.n, self.known = n, _HASHES[0]
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All 63-bit hashes in text order, and the border of each text in them."""
@@ -87,8 +87,7 @@ class Grams:
         return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
 
     def _some(self, texts: list[str | None], hashes: list[np.ndarray], sizes: list[int]) -> None:
-        if len(self.known) > _WORDS_KNOWN:
-            self.known.clear()
+        self.known.settle()
         words = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]  # bytes: ASCII rules
         counts = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
@@ -285,10 +284,11 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     scratch.drop("prefixes")
 
     linked = components(near.select("a", "b"), scratch, "candidates")
-    whole = linked.groupBy("root").agg(F.count("*").alias("_size"))
-    whole = scratch.save(linked.join(whole, "root").select("node", "root", (F.col("_size") <= _WHOLE).alias("small")), "whole")
+    linked = linked.join(nodes.select(F.col("_digest").alias("node"), "_grams"), "node")
+    whole = linked.groupBy("root").agg(((F.count("*") <= _WHOLE) & (F.sum("_grams") <= _WHOLE_GRAMS)).alias("small"))
+    whole = scratch.save(linked.join(whole, "root"), "whole")
     small = whole.filter("small")
-    found = _compare_whole(_sets(rows, nodes, small, n, order, scratch, "small"), threshold, small.count())
+    found = _compare_whole(_sets(rows, nodes, small, n, order, scratch, "small"), threshold, small.agg(F.sum("_grams")).first()[0] or 0)
 
     large = whole.filter("NOT small")
     rest = scratch.save(near.join(large.select(F.col("node").alias("a")), "a"), "rest")  # both ends are in the same connected set
@@ -316,10 +316,10 @@ def _frequent(rows: DataFrame, n: int, ranges: int) -> tuple[bytes, bytes]:
     bits = 63 - _LOW
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from blocklens.llm.token_counts import by_bytes
+        from blocklens.llm._common import text_parts
 
         grams = Grams(n)
-        for part in (part for batch in batches for part in by_bytes(batch.column(0).to_pylist(), _PART_BYTES)):
+        for part in (texts for batch in batches for _, _, texts in text_parts(batch, 0, _PART_BYTES)):
             hashes, borders = grams.of(part)
             sets = [np.unique(hashes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
             keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(_LOW), return_counts=True)
@@ -346,8 +346,8 @@ def _frequent(rows: DataFrame, n: int, ranges: int) -> tuple[bytes, bytes]:
         often = sums >= _HEAVY_FROM
         return pa.table({"key": pa.array(key[start][often].astype(np.int64), pa.int64()), "n": pa.array(sums[often], pa.int64())})
 
-    sent = rows.select(F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(send, "r int, keys binary, more binary, counts binary")
-    heavy = sent.repartition(ranges, "r").groupBy("r").applyInArrow(count, "key long, n long")
+    sent = rows.select(F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(tidy(send), "r int, keys binary, more binary, counts binary")
+    heavy = sent.repartition(ranges, "r").groupBy("r").applyInArrow(tidy_group(count), "key long, n long")
     top = heavy.orderBy(F.desc("n"), "key").limit(_HEAVY).toArrow()  # at most _HEAVY rows of 16 bytes
     keys, counts = top["key"].to_numpy().astype(np.uint64), top["n"].to_numpy()
     ranks = np.empty(len(keys), np.uint64)
@@ -371,14 +371,12 @@ def _prefixes(rows: DataFrame, n: int, t: tuple[int, int], ranges: int, order, s
     """Nodes (``_digest, _first, _copies``) and the prefixes dealt out by hash range."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from blocklens.llm.token_counts import by_bytes
+        from blocklens.llm._common import text_parts
 
         grams, place = Grams(n), _order(order)
         for batch in batches:
-            at = 0
-            for part in by_bytes(batch.column(1).to_pylist(), _PART_BYTES):
-                yield from one(batch.column(0).slice(at, len(part)), part, grams, place)
-                at += len(part)
+            for at, count, part in text_parts(batch, 1, _PART_BYTES):
+                yield from one(batch.column(0).slice(at, count), part, grams, place)
 
     def one(ids: pa.Array, texts: list[str], grams: Grams, place: Order) -> Iterator[pa.RecordBatch]:
         hashes, borders = grams.of(texts)
@@ -416,9 +414,9 @@ def _prefixes(rows: DataFrame, n: int, t: tuple[int, int], ranges: int, order, s
     names = ["r", "_id", "_n", "_digest", "grams", "owner", "node", "size"]
     kinds = "r int, _id long, _n long, _digest long, grams binary, owner binary, node binary, size binary"
     # both kinds of rows come from one pass over the texts
-    both = scratch.save(rows.select("_id", F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(send, kinds), "prefixes")
+    both = scratch.save(rows.select("_id", F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(tidy(send), kinds), "prefixes")
     each = scratch.save(both.filter("r IS NULL").select("_id", "_n", "_digest"), "docs")
-    nodes = each.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"))
+    nodes = each.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"), F.max("_n").alias("_grams"))
     posted = both.filter("r IS NOT NULL").select("r", "grams", "owner", "node", "size").repartition(ranges, "r")
     return scratch.save(nodes, "nodes"), posted
 
@@ -474,41 +472,39 @@ def _neighbours(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
         made = np.unique(np.concatenate([*out, np.zeros((3, 0), np.int64)], axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
         return pa.table({"kind": pa.array(made[0].astype(np.int32)), "a": pa.array(made[1]), "b": pa.array(made[2])})
 
-    return posted.groupBy("r").applyInArrow(deal, "kind int, a long, b long")
+    return posted.groupBy("r").applyInArrow(tidy_group(deal), "kind int, a long, b long")
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, chosen: DataFrame, n: int, order, scratch: Scratch, name: str) -> DataFrame:
     """``node, root, copies, size, codes`` of the chosen ``node, root``, each from one of its texts."""
-    wanted = chosen.join(nodes, F.col("node") == F.col("_digest")).select(F.col("_first").alias("_want"), F.col("node").alias("_node"), "root", "_copies")
+    wanted = chosen.drop("_grams").join(nodes, F.col("node") == F.col("_digest")).select(F.col("_first").alias("_want"), F.col("node").alias("_node"), "root", "_copies")
     wanted = scratch.save(wanted, f"wanted-{name}")
     few = wanted.count() <= _BROADCAST_ROWS
     texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("_id") == F.col("_want"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from blocklens.llm.token_counts import by_bytes
+        from blocklens.llm._common import text_parts
 
         grams, place = Grams(n), _order(order)
         for batch in batches:
-            at = 0
-            for part in by_bytes(batch.column(0).to_pylist(), _PART_BYTES):
+            for at, count, part in text_parts(batch, 0, _PART_BYTES):
                 hashes, borders = grams.of(part)
                 codes = place.codes(hashes)
                 sets = [np.unique(codes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
-                node = batch.column(1).slice(at, len(part))
+                node = batch.column(1).slice(at, count)
                 # a repeated id can bring another text along, which is another node
                 right = pa.array([_digest(s) == k for s, k in zip(sets, node.to_pylist(), strict=True)])
-                made = pa.RecordBatch.from_arrays([node, *[batch.column(i).slice(at, len(part)) for i in (2, 3)], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "copies", "size", "codes"])
-                at += len(part)
+                made = pa.RecordBatch.from_arrays([node, *[batch.column(i).slice(at, count) for i in (2, 3)], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "copies", "size", "codes"])
                 yield made.filter(right)
 
-    made = texts.select(F.coalesce("_t", F.lit("")).alias("_t"), "_node", "root", "_copies").mapInArrow(build, "node long, root long, copies long, size long, codes binary")
+    made = texts.select(F.coalesce("_t", F.lit("")).alias("_t"), "_node", "root", "_copies").mapInArrow(tidy(build), "node long, root long, copies long, size long, codes binary")
     repeated = rows.select("_id").join(F.broadcast(wanted.select("_want")) if few else wanted.select("_want"), F.col("_id") == F.col("_want")).groupBy("_id").count().filter("count > 1").limit(1).count()
     return made.dropDuplicates(["node"]) if repeated else made
 
 
-def _compare_whole(sets: DataFrame, t: tuple[int, int], count: int) -> DataFrame:
+def _compare_whole(sets: DataFrame, t: tuple[int, int], total: int) -> DataFrame:
     """Connected sets of candidates that are small: each is one trie, walked by all its nodes."""
-    groups = max(1, -(-count // _TASK_NODES))
+    groups = max(1, -(-total // _TASK_GRAMS))
     rows = sets.select(F.pmod(F.xxhash64("root"), F.lit(groups)).alias("g"), "root", "node", "copies", "codes").repartition(groups, "g")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -527,7 +523,7 @@ def _compare_whole(sets: DataFrame, t: tuple[int, int], count: int) -> DataFrame
                         links[b] = links.get(b, 0) + copies
         return _found_table(forest, links)
 
-    return rows.groupBy("g").applyInArrow(compare, _FOUND)
+    return rows.groupBy("g").applyInArrow(tidy_group(compare), _FOUND)
 
 
 def _compare_pairs(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -555,7 +551,7 @@ def _compare_pairs(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> Dat
                 links[b] = links.get(b, 0) + copies
         return _found_table(forest, links)
 
-    return each.groupBy("g").applyInArrow(compare, _FOUND)
+    return each.groupBy("g").applyInArrow(tidy_group(compare), _FOUND)
 
 
 def _compare_clusters(cluster: DataFrame, sets: DataFrame, t: tuple[int, int], scratch: Scratch) -> DataFrame:
@@ -563,7 +559,7 @@ def _compare_clusters(cluster: DataFrame, sets: DataFrame, t: tuple[int, int], s
     ratio = t[1] / t[0]
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")  # linked sizes are in one band or neighbours
     rows = sets.drop("root").join(cluster, "node").select("cluster", band.alias("band"), "node", "size", "copies", "codes")
-    sizes = scratch.save(rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks")), "bands")
+    sizes = scratch.save(rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(_BLOCK)), F.ceil(F.sum("size") / F.lit(_BLOCK_GRAMS))).cast("int").alias("blocks")), "bands")
     below = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("_below"))
     above = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("_above"))
     shape = sizes.join(below, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left")
@@ -600,4 +596,4 @@ def _compare_clusters(cluster: DataFrame, sets: DataFrame, t: tuple[int, int], s
                     links[b["node"]] = links.get(b["node"], 0) + a["copies"]
         return _found_table(forest, links)
 
-    return dealt.groupBy("c", "l", "s", "x", "z").applyInArrow(compare, _FOUND)
+    return dealt.groupBy("c", "l", "s", "x", "z").applyInArrow(tidy_group(compare), _FOUND)

@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import Memory, tidy
+
 SPACE = "▁"
 #: Chunks a worker remembers, and UTF-8 bytes of text handled at a time.
-_MEMORY, _SLICE_BYTES = 1 << 20, 4 << 20
+_MEMORY, _SLICE_BYTES = 1 << 17, 1 << 20
 
 
 class PieceBpe:
@@ -50,16 +52,7 @@ class PieceBpe:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece):
             raise ValueError("a piece holds a space mark after another character; chunks would not be independent")
         self.chunks = re.compile(self._borders())
-        encode_chunk = self.encode_chunk
-
-        class Known(dict):
-            def __missing__(self, chunk):
-                found = np.array(encode_chunk(chunk), "<u4").tobytes()
-                if len(chunk) < 64:
-                    self[chunk] = found
-                return found
-
-        self.known = Known()
+        self.known = Memory(lambda chunk: np.array(self.encode_chunk(chunk), "<u4").tobytes(), _MEMORY, "pieces")
         self.ends = np.array([self.begin], "<u4").tobytes(), np.array([self.end], "<u4").tobytes()
 
     def _borders(self) -> str:
@@ -117,6 +110,9 @@ class PieceBpe:
         chunks = self.chunks.findall(self.library.normalize(text))
         return b"".join((self.ends[0], *map(self.known.__getitem__, chunks), self.ends[1]))
 
+    def settle(self) -> None:
+        self.known.settle()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte runs become characters, one leading space mark goes."""
         out, run, first = [], bytearray(), True
@@ -162,15 +158,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     extra = ", ids array<int>, decoded string" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from blocklens.llm._common import Memory, text_parts
         from blocklens.llm.piece_bpe import shared
-        from blocklens.llm.token_counts import by_bytes
 
+        Memory.claim("pieces")
         own = shared(content)
         for batch in batches:
-            at = 0
-            for texts in by_bytes(batch.column(1).to_pylist(), _SLICE_BYTES):
-                if len(own.known) > _MEMORY:
-                    own.known.clear()
+            for at, count, texts in text_parts(batch, 1, _SLICE_BYTES):
+                own.settle()
                 lengths, shas, back, kept = [], [], [], []
                 library = own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
                 decoded = own.library.decode(library, num_threads=1)
@@ -183,12 +178,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                     back.append(hashlib.sha256(plain.encode()).hexdigest())
                     if keep_ids:
                         kept.append((checked, plain))
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(lengths, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())]
+                columns = [batch.column(0).slice(at, count), pa.array(lengths, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())]
                 if keep_ids:
                     columns += [pa.array([k[0] for k in kept], pa.list_(pa.int32())), pa.array([k[1] for k in kept], pa.string())]
-                at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     id_type = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

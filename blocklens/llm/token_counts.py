@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import Memory, tidy
+
 #: UTF-8 bytes of text handled at a time, and of pieces in one encoding call.
-SLICE_BYTES, CALL_BYTES = 8 << 20, 256 << 10
+SLICE_BYTES, CALL_BYTES = 4 << 20, 256 << 10
 #: Pieces whose counts a worker remembers from slice to slice.
-_MEMORY = 1 << 20
+_MEMORY = 1 << 17
 
 
 def load(path: str) -> tuple[str, bytes]:
@@ -55,7 +57,7 @@ def shared(kind: str, content: bytes) -> tuple:
     """A worker's counting function and the counts it remembers from task to task."""
     key = hashlib.sha256(content).digest()
     if key not in _COUNTERS:
-        _COUNTERS[key] = (counter(kind, content), {})
+        _COUNTERS[key] = (counter(kind, content), Memory(None, _MEMORY, "counts"))
     return _COUNTERS[key]
 
 
@@ -79,25 +81,24 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from blocklens.llm._common import Memory, text_parts
         from blocklens.llm.token_counts import shared
 
+        Memory.claim("counts")
         count, known = shared(kind, content)
 
         def learn(pieces) -> None:
-            fresh = [x for x in pieces if x not in known]
-            for call in by_bytes(fresh, CALL_BYTES):
+            for call in by_bytes(known.unknown(pieces), CALL_BYTES):
                 known.update(zip(call, count(call), strict=True))
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             sums = []
-            for part in by_bytes(texts, SLICE_BYTES):
+            for _, _, part in text_parts(batch, 1, SLICE_BYTES):
                 if not split:
                     for call in by_bytes(part, CALL_BYTES):
                         sums += count(call)
                     continue
-                if len(known) > _MEMORY:
-                    known.clear()
+                known.settle()
                 cut = [x.replace("\n", " ").split(" ") for x in part]
                 learn(set().union(*cut))
                 get = known.__getitem__
@@ -107,4 +108,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_t"), F.octet_length(text).cast("long").alias("_b"))
     id_type = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")

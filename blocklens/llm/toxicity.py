@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import Memory, tidy
+
 #: Places of a subsequence's characters after its first one, in spans of at most 7, and the decay of a gap.
 _SPAN, _DECAY = 7, 0.7
 _PATTERNS = [p for size in (2, 3) for p in combinations(range(1, _SPAN), size)]
@@ -39,8 +41,8 @@ _WINDOW, _STEP = 24, 12
 #: Margins beyond this say no more about a text.
 _FAR = 2.0
 #: Words a worker remembers, and words whose subsequences are in memory at a time.
-_MEMORY, _CALL = 1 << 20, 2000
-_SLICE_BYTES = 8 << 20
+_MEMORY, _CALL = 1 << 17, 2000
+_SLICE_BYTES = 2 << 20
 
 
 def words(text: str) -> list[str]:
@@ -290,7 +292,7 @@ def fit(sampled: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([None if model.table is None else model.table.tobytes()], pa.binary()), *[pa.array([float(x)]) for x in (model.offset, model.slope, model.shift)]], names=["table", "offset", "slope", "shift"])
 
     # each row is sorted by id, so the model does not depend on how rows were dealt out
-    row = sampled.repartition(1).mapInArrow(run, "table binary, offset double, slope double, shift double").first()
+    row = sampled.repartition(1).mapInArrow(tidy(run), "table binary, offset double, slope double, shift double").first()
     return Model(None if row["table"] is None else np.frombuffer(row["table"], np.float32), row["offset"], row["slope"], row["shift"])
 
 
@@ -298,7 +300,7 @@ def held_out(id_column):
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-_SCORES: dict[int, dict[str, float]] = {}
+_SCORES: dict[int, Memory] = {}
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -311,25 +313,29 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     sent = spark.sparkContext.broadcast((model.table.tobytes() if model.table is not None else None, model.offset, model.slope, model.shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from blocklens.llm.token_counts import by_bytes
+        from blocklens.llm._common import Memory, text_parts
         from blocklens.llm.toxicity import _SCORES, Model, words
 
+        Memory.claim("scores")
         table, offset, slope, shift = sent.value
         own = Model(None if table is None else np.frombuffer(table, np.float32), offset, slope, shift)
         key = hash((offset, slope, shift))
-        if key not in _SCORES:
+        if key not in _SCORES:  # another model: its scores take the place of the last one's
+            known = next(iter(_SCORES.values())) if _SCORES else Memory(None, _MEMORY, "scores")
+            known.clear()
+            known.older = {}
             _SCORES.clear()
-        known = _SCORES.setdefault(key, {})
+            _SCORES[key] = known
+        known = _SCORES[key]
         for batch in batches:
             scores: list[float] = []
-            for part in by_bytes(batch.column(batch.num_columns - 1).to_pylist(), _SLICE_BYTES):
+            for _, _, part in text_parts(batch, batch.num_columns - 1, _SLICE_BYTES):
                 if own.table is None:
                     scores += [shift] * len(part)
                     continue
-                if len(known) > _MEMORY:
-                    known.clear()
+                known.settle()
                 found = [words(t) for t in part]
-                fresh = [w for w in set().union(*found) if w not in known]
+                fresh = known.unknown(set().union(*found))
                 known.update(zip(fresh, own.strings(fresh).tolist(), strict=True))
                 get = known.__getitem__
                 scores += [own.probability(max(map(get, f), default=None)) for f in found]
@@ -338,8 +344,8 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t")
     if carry:
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text)
-        out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _score double")
+        out = rows.mapInArrow(tidy(run), f"_row {rows.schema['_row'].dataType.simpleString()}, _score double")
         return out.select("_row.*", "_score", (F.col("_score") >= 0.5).cast("int").alias("_predicted"))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text)
-    out = rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _score double")
+    out = rows.mapInArrow(tidy(run), f"_id {rows.schema['_id'].dataType.simpleString()}, _score double")
     return out.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
