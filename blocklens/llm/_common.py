@@ -113,6 +113,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in record batches of at most a few megabytes, whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def text_parts(batch, column: int, limit: int):
     """``(first row, rows, texts)`` of consecutive parts of a batch of at most ``limit`` UTF-8 bytes (or one row)."""
     import numpy

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memory, Scratch, tidy, tidy_group
+from ._common import Memory, Scratch, small_batches, tidy, tidy_group
 from .components import components
 
 _HEAVY, _HEAVY_FROM = 1 << 19, 8
 #: Nodes under one prefix n-gram that are compared as pairs; nodes in a block of a cluster.
 _SMALL, _BLOCK = 8, 256
-#: n-grams of one hash range, pairs of one verification group, candidates that may be broadcast.
-_RANGE_GRAMS, _GROUP_PAIRS, _BROADCAST_ROWS = 2_000_000, 4_000, 1_000_000
+#: n-grams of one hash range, candidates that may be broadcast.
+_RANGE_GRAMS, _BROADCAST_ROWS = 2_000_000, 1_000_000
 #: Nodes and n-grams of a connected set of candidates that is compared at once, n-grams of a task and of a block.
 _WHOLE, _WHOLE_GRAMS, _TASK_GRAMS, _BLOCK_GRAMS = 512, 500_000, 500_000, 500_000
 #: UTF-8 bytes of texts that a worker handles at a time.
@@ -274,6 +274,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     Links rest on 63-bit hashes of n-grams and 64-bit digests of sets.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
     total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
@@ -528,9 +529,11 @@ def _compare_whole(sets: DataFrame, t: tuple[int, int], total: int) -> DataFrame
 
 def _compare_pairs(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Each pair's first node walks the trie of its partners."""
-    groups = max(1, -(-pairs.count() // _GROUP_PAIRS))
     own = pairs.select("a").distinct().select("a", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
-    each = own.union(pairs.select("a", "b", F.col("b").alias("node"))).join(sets, "node")
+    each = own.union(pairs.select("a", "b", F.col("b").alias("node")))
+    total = each.join(sets.select("node", "size"), "node").agg(F.sum("size")).first()[0] or 0
+    groups = max(1, -(-total // _TASK_GRAMS))
+    each = each.join(sets, "node")
     each = each.select(F.pmod(F.xxhash64("a"), F.lit(groups)).alias("g"), "a", "b", "copies", "codes").repartition(groups, "g")
 
     def compare(table: pa.Table) -> pa.Table:

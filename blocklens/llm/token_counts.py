@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memory, tidy
+from ._common import Memory, small_batches, tidy
 
 #: UTF-8 bytes of text handled at a time, and of pieces in one encoding call.
 SLICE_BYTES, CALL_BYTES = 4 << 20, 256 << 10
@@ -77,6 +77,7 @@ def by_bytes(items: list[str], limit: int) -> Iterator[list[str]]:
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", split: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``, a row per input row; null text counts as empty."""
+    small_batches(docs.sparkSession)
     kind, content = load(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memory, tidy
+from ._common import Memory, small_batches, tidy
 
 #: Places of a subsequence's characters after its first one, in spans of at most 7, and the decay of a gap.
 _SPAN, _DECAY = 7, 0.7
@@ -310,6 +310,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     ``carry`` the input's columns come first and ``_score, _predicted`` follow.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     sent = spark.sparkContext.broadcast((model.table.tobytes() if model.table is not None else None, model.offset, model.slope, model.shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
