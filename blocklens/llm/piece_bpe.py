@@ -26,13 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memory, tidy
+from ._common import Memory, small_batches, tidy
 
 SPACE = "▁"
 #: Chunks a worker remembers, and UTF-8 bytes of text handled at a time.
 _MEMORY, _SLICE_BYTES = 1 << 17, 1 << 20
 
 
+#: Texts that normalisers change: compatibility and combining characters, control characters, runs of spaces.
+_PROBES = ["", " ", "  a  b ", "\u00a0\u3000\u2003x", "\ufb01\uff21\u2460\u00bd", "e\u0301\u0041\u030a", "\t\n\r\x00\x1c\x7f\u0085\u200b\ufeff", "\u2581a", "\u0130\u1e9e\U0001f600"]
+
+
+def _marked(text: str) -> str:
+    return SPACE + text.replace(" ", SPACE) if text else ""
+
+
 class PieceBpe:
     """A merge-type vocabulary read from a sentencepiece model."""
 
@@ -52,6 +60,8 @@ class PieceBpe:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece):
             raise ValueError("a piece holds a space mark after another character; chunks would not be independent")
         self.chunks = re.compile(self._borders())
+        # a normaliser that only marks spaces, on texts that others would change, needs no call
+        self.marks_only = all(sp.normalize(p) == _marked(p) for p in _PROBES)
         self.known = Memory(lambda chunk: np.array(self.encode_chunk(chunk), "<u4").tobytes(), _MEMORY, "pieces")
         self.ends = np.array([self.begin], "<u4").tobytes(), np.array([self.end], "<u4").tobytes()
 
@@ -62,12 +72,11 @@ class PieceBpe:
         """
         odd = ""
         while True:
-            letter = rf"[^\W\d_{odd}]"
-            other = f"(?!{letter})[^{SPACE}]"
+            letter, other = rf"[^\W\d_{odd}]", rf"(?:[^\w{SPACE}]|[\d_{odd}])"
             mixed = re.compile(f"{letter}(?!{letter}).|{other}{letter}", re.DOTALL)
             found = {c for p in self.piece if mixed.search(p) for c in p if re.match(letter, c)}
             if not found:
-                return f"{SPACE}*{letter}+|{SPACE}*(?:{other})+|{SPACE}+"
+                return f"{SPACE}*{letter}+|{SPACE}*{other}+|{SPACE}+"
             if len(odd) + len(found) > 64:  # letters and other characters mix freely
                 return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
             odd += "".join(map(re.escape, sorted(found)))
@@ -107,7 +116,7 @@ class PieceBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text between the begin and end ids, as little-endian 32-bit integers."""
-        chunks = self.chunks.findall(self.library.normalize(text))
+        chunks = self.chunks.findall(_marked(text) if self.marks_only else self.library.normalize(text))
         return b"".join((self.ends[0], *map(self.known.__getitem__, chunks), self.ends[1]))
 
     def settle(self) -> None:
@@ -147,12 +156,14 @@ def shared(content: bytes) -> PieceBpe:
     return _MODELS[key]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, remembered: int = _MEMORY) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, a row per input row.
 
     Null text counts as empty and has the begin and end ids alone.  With
-    ``keep_ids`` the ids and the decoded text follow as ``ids, decoded``.
+    ``keep_ids`` the ids and the decoded text follow as ``ids, decoded``.  A
+    worker remembers up to twice ``remembered`` chunks, of about 200 bytes each.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         content = file.read()
     extra = ", ids array<int>, decoded string" if keep_ids else ""
@@ -163,6 +174,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
         Memory.claim("pieces")
         own = shared(content)
+        own.known.limit = remembered
         for batch in batches:
             for at, count, texts in text_parts(batch, 1, _SLICE_BYTES):
                 own.settle()
