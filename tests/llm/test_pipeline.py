@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     texts = {i: t for i, t, _ in rows}
     for k in range(60):
         texts[1000 + k] = texts[k].replace(" ", "  ")  # copies but for white space
-        texts[2000 + k] = texts[100 + k] + " last"  # near copies where the text is long
+        texts[2000 + k] = texts[100 + k] + " bado"  # near copies where the text is long
     texts[3000], texts[3001] = None, ""
     docs = [(i, t, "en", f"s{i % 3}" if i % 7 else None, None) for i, t in texts.items()]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{top}/documents.parquet")
