@@ -2,11 +2,13 @@
 
 A file's text is cut into lines and sentences, and each of these segments is
 compared with notice templates by the cosine of sparse TF-IDF vectors.  The
-inverse frequencies of the templates' terms are counted over all files; terms
-outside the templates weigh as if one file held them.  A segment that reaches
+inverse frequencies are counted over all files.  A segment that reaches
 the threshold must share a term that is outside the lightest terms of a
 template whose joint weight stays below the threshold (prefix filter for
-cosines), so only texts with such an anchor term are cut at all.
+cosines), so only texts with such an anchor term are cut at all.  Terms
+outside the templates are counted where a segment would reach the threshold if
+they had the least weight; they only lengthen its vector, so no other segment
+can reach it.
 
 A file whose matching segments hold at least half of its words, or that is
 named like a licence file, speaks for its directory.  Files without a notice
@@ -45,6 +47,8 @@ SEGMENT = r"\n+|(?<=[.!?;])[ \t\r]+"
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([-._][^/]*)?$"
 #: Directories up to this many are broadcast to the files (about 100 bytes each).
 _BROADCAST_DIRS = 50_000
+#: Terms, or rows with a notice, up to this many are broadcast (about 50 bytes each).
+_BROADCAST_ROWS = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -81,8 +85,8 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     counted = [re.findall(TERM, text.lower()) for _, text in templates]
     vocabulary = sorted({t for c in counted for t in c})
     text, path = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.col(f"`{path_col}`"), F.lit(""))
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    frequency = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(terms(text), known))).alias("term")).groupBy("term").count()
+    known_terms = F.array(*[F.lit(t) for t in vocabulary])
+    frequency = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(terms(text), known_terms))).alias("term")).groupBy("term").count()
     seen = {r["term"]: r["count"] for r in frequency.collect()}  # a row per template term
     total = seen.get("", 0)
     idf = lambda n: round(math.log((total + 1) / (n + 1)) + 1, 6)
@@ -92,41 +96,70 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     anchors = _anchors(vectors, threshold)
 
     pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(weight[t]).alias("w")) for t in vocabulary])
-    table, other = F.map_from_entries(pairs), idf(1)
+    table = F.map_from_entries(pairs)
     anchor_list = F.array(*[F.lit(a) for a in sorted(anchors)])
 
-    def judged(segment: Column) -> Column:
-        """Best template of a segment: its cosine, its rank, and the segment's number of terms."""
-        own = terms(segment)
+    def measured(own: Column) -> Column:
+        """A segment's dot products with the templates, the square of its norm over their terms, and its other terms."""
         times = lambda t: F.size(F.filter(own, lambda x: x == t))
-        square = lambda t: F.pow(times(t) * F.coalesce(F.element_at(table, t), F.lit(other)), F.lit(2.0))
-        norm = F.sqrt(F.aggregate(F.array_distinct(own), F.lit(0.0), lambda s, t: s + square(t)))
+        each = F.array_distinct(own)
+        known = F.aggregate(F.filter(each, lambda t: F.array_contains(known_terms, t)), F.lit(0.0), lambda s, t: s + F.pow(times(t) * F.element_at(table, t), F.lit(2.0)))
+        rest = F.transform(F.filter(each, lambda t: ~F.array_contains(known_terms, t)), lambda t: F.struct(t.alias("term"), times(t).alias("times")))
 
-        def cosine(i: int) -> Column:
-            dot = F.lit(0.0)
+        def dot(i: int) -> Column:
+            found = F.lit(0.0)
             for t, w in sorted(vectors[i].items()):
-                dot = dot + times(F.lit(t)) * F.lit(w * weight[t])
-            return F.struct(F.round(dot / norm / F.lit(norms[i]), 6).alias("score"), F.lit(-i).alias("rank"), F.size(own).alias("terms"))
+                found = found + times(F.lit(t)) * F.lit(w * weight[t])
+            return found
 
-        return F.array_max(F.array(*[cosine(i) for i in vectors]))
+        return F.struct(F.array(*[dot(i) for i in vectors]).alias("dots"), known.alias("known"), rest.alias("rest"), F.size(own).alias("terms"))
 
+    def possible(x: Column) -> Column:
+        """Whether a segment reaches the threshold if each of its other terms has the least weight there is, 1."""
+        least = F.aggregate(x.rest, x.known, lambda s, r: s + F.pow(r.times.cast("double"), F.lit(2.0)))
+        return F.array_max(F.zip_with(x.dots, norm_list, lambda d, n: d / n)) >= F.sqrt(least) * (threshold - 1e-6)
+
+    norm_list = F.array(*[F.lit(n) for n in norms.values()])
     # only texts that hold an anchor are cut; their segments stay in the row, so nothing is shuffled
     some = "(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(re.escape(a) for a in sorted(anchors)) + ")(?:[^A-Za-z0-9]|$)"
-    segments = F.filter(F.split("_text", SEGMENT), lambda s: F.arrays_overlap(terms(s), anchor_list))
-    none = F.array().cast("array<struct<score:double, rank:int, terms:int>>")
-    found = F.when(F.col("_text").rlike(some), F.filter(F.transform(segments, judged), lambda x: x.score >= threshold)).otherwise(none)
-    share = F.aggregate("_found", F.lit(0), lambda s, x: s + x.terms) * 2 >= F.size(terms(F.col("_text")))
+    segments = F.filter(F.transform(F.split("_text", SEGMENT), terms), lambda own: F.arrays_overlap(own, anchor_list))
+    none = F.array().cast("array<struct<dots:array<double>, known:double, rest:array<struct<term:string, times:int>>, terms:int>>")
+    near = F.when(F.col("_text").rlike(some), F.filter(F.transform(segments, measured), possible)).otherwise(none)
+    key_names = [f"_key{i}" for i in range(len(key_cols))]
+    keys = [F.col(f"`{k}`").alias(name) for k, name in zip(key_cols, key_names, strict=True)]
+    rows = files.select(*keys, path.alias("_path"), text.alias("_text")).withColumn("_near", near)
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), *key_names, "_path", "_near", F.when(F.size("_near") > 0, F.size(terms(F.col("_text")))).alias("_terms"))
+    rows = scratch.save(rows, "rows")
+    near = rows.select("_row", F.posexplode("_near").alias("_place", "n")).select("_row", "_place", "n.*")
+    rest = near.select("_row", "_place", F.explode("rest").alias("r")).select("_row", "_place", "r.*")
+    counted_terms = _frequencies(files.select(terms(text).alias("own")), rest.select("term").distinct(), scratch)
+    idf_of = F.round(F.log(F.lit(float(total + 1)) / (F.col("files") + 1)) + 1, 6)
+    more = rest.join(counted_terms, "term").groupBy("_row", "_place").agg(F.sum(F.pow(F.col("times") * idf_of, F.lit(2.0))).alias("_more"))
+    norm = F.sqrt(F.col("known") + F.coalesce("_more", F.lit(0.0)))
+    cosines = F.transform(F.arrays_zip("dots", norm_list.alias("norms")), lambda x, i: F.struct(F.round(x.dots / norm / x.norms, 6).alias("score"), (-i).alias("rank")))
+    found = near.join(more, ["_row", "_place"], "left").select("_row", "terms", F.array_max(cosines).alias("best")).filter(F.col("best.score") >= threshold)
+    found = scratch.save(found.groupBy(F.col("_row").alias("_of")).agg(F.max("best").alias("hit"), F.sum("terms").alias("_matched")), "found")
+    few = found.count() <= _BROADCAST_ROWS
     names = F.array(*[F.lit(name) for name, _ in templates])
-    keys = [F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(key_cols)]
-    rows = files.select(*keys, path.alias("_path"), text.alias("_text")).withColumn("_found", found)
-    hit = F.array_max("_found")
-    own = rows.select(
-        *[f"_key{i}" for i in range(len(key_cols))], "_path", F.when(hit.isNotNull(), F.element_at(names, 1 - hit.rank)).alias("own_license"), hit.score.alias("score"),
-        F.when(hit.isNotNull(), share | F.col("_path").rlike(LICENCE_NAME)).otherwise(F.lit(False)).alias("is_license_file"), F.regexp_replace("_path", "/?[^/]*$", "").alias("_dir"),
+    hit = F.col("hit")
+    own = rows.join(F.broadcast(found) if few else found, F.col("_row") == F.col("_of"), "left").select(
+        *key_names, "_path", F.when(hit.isNotNull(), F.element_at(names, 1 - hit.rank)).alias("own_license"), hit.score.alias("score"),
+        F.when(hit.isNotNull(), (F.col("_matched") * 2 >= F.col("_terms")) | F.col("_path").rlike(LICENCE_NAME)).otherwise(F.lit(False)).alias("is_license_file"), F.regexp_replace("_path", "/?[^/]*$", "").alias("_dir"),
     )
     return _inherited(scratch.save(own, "own"), key_cols)
 
 
+def _frequencies(files: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """``term, files``: the number of files that hold each wanted term."""
+    wanted = scratch.save(wanted, "wanted")
+    each = files.select(F.explode(F.array_distinct("own")).alias("term"))
+    count = wanted.count()
+    if count <= _BROADCAST_ROWS:
+        each = each.join(F.broadcast(wanted), "term", "left_semi")
+    counts = each.groupBy("term").agg(F.count("*").alias("files"))
+    return scratch.save(counts if count <= _BROADCAST_ROWS else counts.join(wanted, "term", "left_semi"), "frequencies")
+
+
 def _inherited(own: DataFrame, key_cols: tuple[str, ...]) -> DataFrame:
     """Adds what files without a notice get from the nearest directory above them."""
     speaks = own.filter("is_license_file").groupBy(F.col("_dir").alias("from_dir")).agg(F.min(F.struct("_path", "own_license")).alias("m")).select("from_dir", F.col("m.own_license").alias("_given"))

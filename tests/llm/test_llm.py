@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -386,6 +387,19 @@ def test_license_scan(spark):
     assert license_scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_counts_all_terms(spark):
+    """Ordinary words after a notice weigh by the files that hold them, rare words in full."""
+    notices = ["Licensed under the Apache License, Version 2.0, for that.", "Released under the MIT License for that.", "Released under the MIT License qwertz zuiop asdfg hjkl yxcv."]
+    rows = [(f"d{i}/x.txt", t) for i, t in enumerate(notices)] + [(f"e/{i}.txt", f"and that is for word{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    found = {r["path"]: r for r in license_scan(df).collect()}
+    assert [found[f"d{i}/x.txt"]["own_license"] for i in range(3)] == ["Apache-2.0", "MIT", None]
+    idf = lambda n: round(math.log((len(rows) + 1) / (n + 1)) + 1, 6)
+    held = {"released": 2, "under": 3, "the": 3, "mit": 2, "license": 3, "for": 402, "that": 402}
+    known, whole = (sum(idf(held[t]) ** 2 for t in some) for some in (["released", "under", "the", "mit", "license"], held))
+    assert found["d1/x.txt"]["score"] == pytest.approx(math.sqrt(known / whole), abs=2e-6)
+
+
 # Toxicity ---------------------------------------------------------------------------
 
 
