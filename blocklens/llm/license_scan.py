@@ -1,6 +1,7 @@
 """Licence scan of a tree of files (DataFrame functions only).
 
-A file's text is cut into lines and sentences, and each of these segments is
+A file's text is cut into lines and sentences and, with adjacent lines joined,
+into paragraphs; each of these is
 compared with notice templates by the cosine of sparse TF-IDF vectors.  The
 inverse frequencies are counted over all files.  A segment that reaches
 the threshold must share a term that is outside the lightest terms of a
@@ -8,7 +9,7 @@ template whose joint weight stays below the threshold (prefix filter for
 cosines), so only texts with such an anchor term are cut at all.  Terms
 outside the templates are counted where a segment would reach the threshold if
 they had the least weight; they only lengthen its vector, so no other segment
-can reach it.
+can reach it.  An SPDX tag names its licence outright.
 
 A file whose matching segments hold at least half of its words, or that is
 named like a licence file, speaks for its directory.  Files without a notice
@@ -42,7 +43,36 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+_FREE = "it under the terms of the GNU {} as published by the Free Software Foundation"
+#: Paragraphs of common headers and licence files by which they are told apart, and their short notices.
+PARAGRAPHS = [
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", f"This program is free software: you can redistribute it and/or modify {_FREE.format('General Public License')}, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", f"This program is free software; you can redistribute it and/or modify {_FREE.format('General Public License')}; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", f"This library is free software: you can redistribute it and/or modify {_FREE.format('Lesser General Public License')}, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", f"This library is free software; you can redistribute it and/or modify {_FREE.format('Lesser General Public License')}; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", f"This program is free software: you can redistribute it and/or modify {_FREE.format('Affero General Public License')}, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+]
 TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
+#: Lines without a letter or digit (blank, or a comment's marks alone) part paragraphs.
+PARAGRAPH = r"(?:^|\n)[^A-Za-z0-9\n]*(?=\n|$)"
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)"
 SEGMENT = r"\n+|(?<=[.!?;])[ \t\r]+"
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([-._][^/]*)?$"
 #: Directories up to this many are broadcast to the files (about 100 bytes each).
@@ -69,7 +99,7 @@ def _anchors(weights: dict[int, dict[str, float]], threshold: float) -> set[str]
     return found
 
 
-def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", key_cols: tuple[str, ...] = (), templates=TEMPLATES, threshold: float = 0.75) -> DataFrame:
+def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", key_cols: tuple[str, ...] = (), templates=(*TEMPLATES, *PARAGRAPHS), threshold: float = 0.75) -> DataFrame:
     """``key_cols, path, own_license, score, is_license_file, license, how, from_dir``, a row per input row.
 
     ``own_license`` is the best template's (ties: the earlier template) and
@@ -95,24 +125,22 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     norms = {i: math.sqrt(sum(w * w for w in v.values())) for i, v in vectors.items()}
     anchors = _anchors(vectors, threshold)
 
-    pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(weight[t]).alias("w")) for t in vocabulary])
+    # per term: its weight, and its part in the dot product with each template
+    pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.array(F.lit(weight[t]), *[F.lit(v.get(t, 0.0) * weight[t]) for v in vectors.values()]).alias("w")) for t in vocabulary])
     table = F.map_from_entries(pairs)
     anchor_list = F.array(*[F.lit(a) for a in sorted(anchors)])
 
-    def measured(own: Column) -> Column:
-        """A segment's dot products with the templates, the square of its norm over their terms, and its other terms."""
+    def counted_in(own: Column) -> Column:
         times = lambda t: F.size(F.filter(own, lambda x: x == t))
-        each = F.array_distinct(own)
-        known = F.aggregate(F.filter(each, lambda t: F.array_contains(known_terms, t)), F.lit(0.0), lambda s, t: s + F.pow(times(t) * F.element_at(table, t), F.lit(2.0)))
-        rest = F.transform(F.filter(each, lambda t: ~F.array_contains(known_terms, t)), lambda t: F.struct(t.alias("term"), times(t).alias("times")))
-
-        def dot(i: int) -> Column:
-            found = F.lit(0.0)
-            for t, w in sorted(vectors[i].items()):
-                found = found + times(F.lit(t)) * F.lit(w * weight[t])
-            return found
+        each = F.transform(F.array_distinct(own), lambda t: F.struct(t.alias("term"), times(t).alias("times"), F.element_at(table, t).alias("w")))
+        return F.struct(F.filter(each, lambda x: x.w.isNotNull()).alias("ours"), F.filter(each, lambda x: x.w.isNull()).alias("rest"), F.size(own).alias("terms"))
 
-        return F.struct(F.array(*[dot(i) for i in vectors]).alias("dots"), known.alias("known"), rest.alias("rest"), F.size(own).alias("terms"))
+    def measured(x: Column) -> Column:
+        """A unit's dot products with the templates, the square of its norm over their terms, and its other terms."""
+        known = F.aggregate(x.ours, F.lit(0.0), lambda s, o: s + F.pow(o.times * F.element_at(o.w, 1), F.lit(2.0)))
+        dots = F.aggregate(x.ours, F.array(*[F.lit(0.0)] * len(vectors)), lambda s, o: F.zip_with(s, F.slice(o.w, 2, len(vectors)), lambda d, w: d + o.times * w))
+        rest = F.transform(x.rest, lambda r: F.struct(r.term.alias("term"), r.times.alias("times")))
+        return F.struct(dots.alias("dots"), known.alias("known"), rest.alias("rest"), x.terms.alias("terms"))
 
     def possible(x: Column) -> Column:
         """Whether a segment reaches the threshold if each of its other terms has the least weight there is, 1."""
@@ -122,13 +150,18 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     norm_list = F.array(*[F.lit(n) for n in norms.values()])
     # only texts that hold an anchor are cut; their segments stay in the row, so nothing is shuffled
     some = "(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(re.escape(a) for a in sorted(anchors)) + ")(?:[^A-Za-z0-9]|$)"
-    segments = F.filter(F.transform(F.split("_text", SEGMENT), terms), lambda own: F.arrays_overlap(own, anchor_list))
-    none = F.array().cast("array<struct<dots:array<double>, known:double, rest:array<struct<term:string, times:int>>, terms:int>>")
-    near = F.when(F.col("_text").rlike(some), F.filter(F.transform(segments, measured), possible)).otherwise(none)
+
+    def units(pattern: str, joined: bool) -> Column:
+        own = F.filter(F.transform(F.split("_text", pattern), terms), lambda own: F.arrays_overlap(own, anchor_list))
+        found = F.filter(F.transform(F.transform(own, counted_in), measured), possible)
+        return F.transform(found, lambda x: F.struct(x.dots.alias("dots"), x.known.alias("known"), x.rest.alias("rest"), x.terms.alias("terms"), F.lit(joined).alias("joined")))
+
+    none = F.array().cast("array<struct<dots:array<double>, known:double, rest:array<struct<term:string, times:int>>, terms:int, joined:boolean>>")
+    near = F.when(F.col("_text").rlike(some), F.concat(units(SEGMENT, False), units(PARAGRAPH, True))).otherwise(none)
     key_names = [f"_key{i}" for i in range(len(key_cols))]
     keys = [F.col(f"`{k}`").alias(name) for k, name in zip(key_cols, key_names, strict=True)]
-    rows = files.select(*keys, path.alias("_path"), text.alias("_text")).withColumn("_near", near)
-    rows = rows.select(F.monotonically_increasing_id().alias("_row"), *key_names, "_path", "_near", F.when(F.size("_near") > 0, F.size(terms(F.col("_text")))).alias("_terms"))
+    rows = files.select(*keys, path.alias("_path"), text.alias("_text")).withColumn("_near", near).withColumn("_tag", F.nullif(F.regexp_extract("_text", SPDX, 1), F.lit("")))
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), *key_names, "_path", "_near", "_tag", F.size(terms(F.regexp_extract("_text", SPDX, 0))).alias("_tagged"), F.when((F.size("_near") > 0) | F.col("_tag").isNotNull(), F.size(terms(F.col("_text")))).alias("_terms"))
     rows = scratch.save(rows, "rows")
     near = rows.select("_row", F.posexplode("_near").alias("_place", "n")).select("_row", "_place", "n.*")
     rest = near.select("_row", "_place", F.explode("rest").alias("r")).select("_row", "_place", "r.*")
@@ -137,14 +170,15 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     more = rest.join(counted_terms, "term").groupBy("_row", "_place").agg(F.sum(F.pow(F.col("times") * idf_of, F.lit(2.0))).alias("_more"))
     norm = F.sqrt(F.col("known") + F.coalesce("_more", F.lit(0.0)))
     cosines = F.transform(F.arrays_zip("dots", norm_list.alias("norms")), lambda x, i: F.struct(F.round(x.dots / norm / x.norms, 6).alias("score"), (-i).alias("rank")))
-    found = near.join(more, ["_row", "_place"], "left").select("_row", "terms", F.array_max(cosines).alias("best")).filter(F.col("best.score") >= threshold)
-    found = scratch.save(found.groupBy(F.col("_row").alias("_of")).agg(F.max("best").alias("hit"), F.sum("terms").alias("_matched")), "found")
+    found = near.join(more, ["_row", "_place"], "left").select("_row", "terms", "joined", F.array_max(cosines).alias("best")).filter(F.col("best.score") >= threshold)
+    found = scratch.save(found.groupBy(F.col("_row").alias("_of")).agg(F.max("best").alias("hit"), F.greatest(*[F.coalesce(F.sum(F.when(F.col("joined") == j, F.col("terms"))), F.lit(0)) for j in (False, True)]).alias("_matched")), "found")
     few = found.count() <= _BROADCAST_ROWS
     names = F.array(*[F.lit(name) for name, _ in templates])
-    hit = F.col("hit")
+    hit, tag = F.col("hit"), F.col("_tag")
+    matched = F.greatest(F.coalesce("_matched", F.lit(0)), "_tagged")
     own = rows.join(F.broadcast(found) if few else found, F.col("_row") == F.col("_of"), "left").select(
-        *key_names, "_path", F.when(hit.isNotNull(), F.element_at(names, 1 - hit.rank)).alias("own_license"), hit.score.alias("score"),
-        F.when(hit.isNotNull(), (F.col("_matched") * 2 >= F.col("_terms")) | F.col("_path").rlike(LICENCE_NAME)).otherwise(F.lit(False)).alias("is_license_file"), F.regexp_replace("_path", "/?[^/]*$", "").alias("_dir"),
+        *key_names, "_path", F.coalesce(tag, F.when(hit.isNotNull(), F.element_at(names, 1 - hit.rank))).alias("own_license"), F.when(tag.isNotNull(), F.lit(1.0)).otherwise(hit.score).alias("score"),
+        F.when(tag.isNotNull() | hit.isNotNull(), (matched * 2 >= F.col("_terms")) | F.col("_path").rlike(LICENCE_NAME)).otherwise(F.lit(False)).alias("is_license_file"), F.regexp_replace("_path", "/?[^/]*$", "").alias("_dir"),
     )
     return _inherited(scratch.save(own, "own"), key_cols)
 

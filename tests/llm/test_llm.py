@@ -400,6 +400,20 @@ def test_license_scan_counts_all_terms(spark):
     assert found["d1/x.txt"]["score"] == pytest.approx(math.sqrt(known / whole), abs=2e-6)
 
 
+def test_license_scan_headers(spark):
+    """Wrapped headers and the starts of licence files are compared with their lines joined."""
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * more of the code\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    texts = {
+        "GPL-3.0": "/*\n" + gpl, "ISC": f"Copyright 2020\n\n{isc}\nand so on", "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "MIT": "Licensed under the MIT License.", "Apache-2.0": "  Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS", "MIT OR EPL-2.0": "# SPDX-License-Identifier: MIT OR EPL-2.0\ncode",
+        "AGPL-3.0": gpl.replace("General", "Affero General"), "Unlicense": "This is free and unencumbered software released into the public domain.", "none": "any to of the and software",
+    }
+    df = spark.createDataFrame([(f"{i}/x.c", t, name) for i, (name, t) in enumerate(texts.items())], "path string, text string, name string")
+    found = {r["name"]: r["own_license"] or "none" for r in license_scan(df, key_cols=("name",)).collect()}
+    assert found == {name: name for name in texts}
+
+
 # Toxicity ---------------------------------------------------------------------------
 
 
