@@ -87,7 +87,8 @@ def pivot_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     Candidates are all rows with another id (all, if there are fewer than
     ``k``), ties go to the smaller id.  Vectors that are null or hold null or
     non-finite components, and rows without an id, take no part; shorter
-    vectors count as padded with zeros.  Repeated rows are candidates each.
+    vectors count as padded with zeros.  Repeated rows are candidates each;
+    of query rows with one id, the one with the least vector asks.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "pivot-topk")
@@ -159,9 +160,11 @@ def pivot_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     index = scratch.save(keyed.repartitionByRange(parts, "p", "d", "id").sortWithinPartitions("p", "d", "id").mapInArrow(cut, block_type), "index")
 
     seeds = index.select("block", F.explode("seeds").alias("s"))
-    queries = seeds.select(F.col("s.id").alias("query"), F.col("s.v").alias("v"), F.col("block").alias("own")).dropDuplicates(["query"])
+    queries = seeds.select(F.col("s.id").alias("query"), F.col("s.v").alias("v"), F.col("block").alias("own"), F.col("s.best").alias("best"))
+    # each id asks once, with the seeds of one row
+    queries = queries.groupBy("query").agg(F.min(F.struct("v", "own", "best")).alias("m")).select("query", "m.*")
     queries = scratch.save(queries, "queries")
-    best = scratch.save(seeds.join(queries, (F.col("s.id") == F.col("query")) & (F.col("block") == F.col("own"))).select("query", F.explode("s.best").alias("b")).select("query", F.col("b.id").alias("id"), F.col("b.score").alias("score")), "best-0")
+    best = scratch.save(queries.select("query", F.explode("best").alias("b")).select("query", F.col("b.id").alias("id"), F.col("b.score").alias("score")), "best-0")
     shapes = scratch.save(index.select("block", "p", "lo", "hi"), "shapes")
     for turn, upto in enumerate(_ROUNDS):
         from_ = _ROUNDS[turn - 1] if turn else 0

@@ -287,6 +287,18 @@ def test_pivot_topk_small(spark):
     assert pivot_topk(huge, F.col("vec_id") == 0).first()["score"] == (1 << 63) - 1
 
 
+def test_pivot_topk_repeated_query(spark):
+    """A query row that comes twice asks once, with all its neighbours; of two vectors the least one asks."""
+    dice = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(dice.normal(size=(300, 4)).round(2))]
+    once = pivot_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50)
+    twice = pivot_topk(spark.createDataFrame([*rows, rows[50], rows[50]], "vec_id long, embedding array<double>"), F.col("vec_id") == 50)
+    assert ordered(twice.collect()) == ordered(once.collect()) and twice.count() == 5
+    other = pivot_topk(spark.createDataFrame([*rows, (50, rows[7][1])], "vec_id long, embedding array<double>"), F.col("vec_id") == 50).collect()
+    scores = lambda q: sorted((-int(np.floor(256 * np.array(v)) @ np.floor(256 * np.array(rows[q][1]))), i) for i, v in rows if i != 50)[:5]
+    assert sorted((-r["score"], r["vec_id"]) for r in other) in (scores(50), scores(7))
+
+
 # Near duplicates ------------------------------------------------------------------
 
 
