@@ -267,7 +267,8 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     """``doc_id, n_shingles, component_id, n_links``, a row per input row.
 
     Documents are linked when the Jaccard similarity of their sets is at least
-    ``threshold``.  ``component_id`` is the smallest id reachable by links;
+    ``threshold``.  ``component_id`` is the smallest id reachable by links
+    (null ids come after all others; rows with one take part like any other);
     ``n_links`` counts the other rows linked directly, copies included.  Null
     and wordless texts have an empty set, no links, and their own id.  Rows
     with the same id are separate rows.  An empty table gives an empty result.
@@ -277,6 +278,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     small_batches(docs.sparkSession)
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
+    rows = rows.withColumn("_key", F.coalesce("_id", F.xxhash64("_t")))  # texts are fetched by it; one that only shares it is dropped by its digest
     total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     ranges = max(12, -(-(total // 6) // _RANGE_GRAMS))  # a word of 5 letters and a space has one n-gram
     order = spark.sparkContext.broadcast(_frequent(rows, n, ranges))
@@ -369,17 +371,17 @@ def _digest(codes: np.ndarray) -> int:
 
 
 def _prefixes(rows: DataFrame, n: int, t: tuple[int, int], ranges: int, order, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``_digest, _first, _copies``) and the prefixes dealt out by hash range."""
+    """Nodes (``_digest, _first, _text, _copies, _grams``) and the prefixes dealt out by hash range."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from blocklens.llm._common import text_parts
 
         grams, place = Grams(n), _order(order)
         for batch in batches:
-            for at, count, part in text_parts(batch, 1, _PART_BYTES):
-                yield from one(batch.column(0).slice(at, count), part, grams, place)
+            for at, count, part in text_parts(batch, 2, _PART_BYTES):
+                yield from one(batch.column(0).slice(at, count), batch.column(1).slice(at, count), part, grams, place)
 
-    def one(ids: pa.Array, texts: list[str], grams: Grams, place: Order) -> Iterator[pa.RecordBatch]:
+    def one(ids: pa.Array, keys: pa.Array, texts: list[str], grams: Grams, place: Order) -> Iterator[pa.RecordBatch]:
         hashes, borders = grams.of(texts)
         codes = place.codes(hashes)
         digests, sizes, heads, known = [], [], [], set()
@@ -392,7 +394,7 @@ def _prefixes(rows: DataFrame, n: int, t: tuple[int, int], ranges: int, order, s
                 known.add(digests[-1])
                 heads.append((digests[-1], size, own[: size - -(-(t[0] * size) // t[1]) + 1]))
         blank = pa.nulls(len(ids), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), blank, blank, blank, blank], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), ids, keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), blank, blank, blank, blank], names=names)
         if not heads:
             return
         head = _mixed(np.concatenate([h[2] for h in heads]))
@@ -410,14 +412,14 @@ def _prefixes(rows: DataFrame, n: int, t: tuple[int, int], ranges: int, order, s
                 kind = np.uint16 if len(here) < 1 << 16 else np.uint32
                 out.append((r, _packed(gram[a:b]), local.astype(kind).tobytes(), node[here].tobytes(), size[here].tobytes()))
         none = pa.nulls(len(out), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), none, none, none, *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), none, none, none, none, *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]], names=names)
 
-    names = ["r", "_id", "_n", "_digest", "grams", "owner", "node", "size"]
-    kinds = "r int, _id long, _n long, _digest long, grams binary, owner binary, node binary, size binary"
+    names = ["r", "_id", "_key", "_n", "_digest", "grams", "owner", "node", "size"]
+    kinds = "r int, _id long, _key long, _n long, _digest long, grams binary, owner binary, node binary, size binary"
     # both kinds of rows come from one pass over the texts
-    both = scratch.save(rows.select("_id", F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(tidy(send), kinds), "prefixes")
-    each = scratch.save(both.filter("r IS NULL").select("_id", "_n", "_digest"), "docs")
-    nodes = each.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"), F.max("_n").alias("_grams"))
+    both = scratch.save(rows.select("_id", "_key", F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(tidy(send), kinds), "prefixes")
+    each = scratch.save(both.filter("r IS NULL").select("_id", "_key", "_n", "_digest"), "docs")
+    nodes = each.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_first"), F.coalesce(F.min("_id"), F.min("_key")).alias("_text"), F.count("*").alias("_copies"), F.max("_n").alias("_grams"))
     posted = both.filter("r IS NOT NULL").select("r", "grams", "owner", "node", "size").repartition(ranges, "r")
     return scratch.save(nodes, "nodes"), posted
 
@@ -478,10 +480,10 @@ def _neighbours(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
 
 def _sets(rows: DataFrame, nodes: DataFrame, chosen: DataFrame, n: int, order, scratch: Scratch, name: str) -> DataFrame:
     """``node, root, copies, size, codes`` of the chosen ``node, root``, each from one of its texts."""
-    wanted = chosen.drop("_grams").join(nodes, F.col("node") == F.col("_digest")).select(F.col("_first").alias("_want"), F.col("node").alias("_node"), "root", "_copies")
+    wanted = chosen.drop("_grams").join(nodes, F.col("node") == F.col("_digest")).select(F.col("_text").alias("_want"), F.col("node").alias("_node"), "root", "_copies")
     wanted = scratch.save(wanted, f"wanted-{name}")
     few = wanted.count() <= _BROADCAST_ROWS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("_id") == F.col("_want"))
+    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("_key") == F.col("_want"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from blocklens.llm._common import text_parts
@@ -493,13 +495,13 @@ def _sets(rows: DataFrame, nodes: DataFrame, chosen: DataFrame, n: int, order, s
                 codes = place.codes(hashes)
                 sets = [np.unique(codes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
                 node = batch.column(1).slice(at, count)
-                # a repeated id can bring another text along, which is another node
+                # a repeated key can bring another text along, which is another node
                 right = pa.array([_digest(s) == k for s, k in zip(sets, node.to_pylist(), strict=True)])
                 made = pa.RecordBatch.from_arrays([node, *[batch.column(i).slice(at, count) for i in (2, 3)], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "copies", "size", "codes"])
                 yield made.filter(right)
 
     made = texts.select(F.coalesce("_t", F.lit("")).alias("_t"), "_node", "root", "_copies").mapInArrow(tidy(build), "node long, root long, copies long, size long, codes binary")
-    repeated = rows.select("_id").join(F.broadcast(wanted.select("_want")) if few else wanted.select("_want"), F.col("_id") == F.col("_want")).groupBy("_id").count().filter("count > 1").limit(1).count()
+    repeated = rows.select("_key").join(F.broadcast(wanted.select("_want")) if few else wanted.select("_want"), F.col("_key") == F.col("_want")).groupBy("_key").count().filter("count > 1").limit(1).count()
     return made.dropDuplicates(["node"]) if repeated else made
 
 

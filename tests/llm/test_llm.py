@@ -367,6 +367,19 @@ def test_ngram_join_repeated_rows(spark):
     assert ngram_join(df.limit(0)).count() == 0
 
 
+def test_ngram_join_null_ids(spark, monkeypatch):
+    """A row without an id links its neighbours, whole or pair by pair."""
+    from blocklens.llm import ngram_join as module
+
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words[k : k + 50]) for k in (0, 4, 8))
+    df = spark.createDataFrame([(1, a), (None, b), (3, c), (None, None)], "doc_id long, text string")
+    expected = ordered([(1, 46, 1, 1), (None, 46, 1, 2), (3, 46, 1, 1), (None, 0, None, 0)])
+    assert ordered(ngram_join(df).collect()) == expected
+    monkeypatch.setattr(module, "_WHOLE", 1)
+    assert ordered(ngram_join(df).collect()) == expected
+
+
 def test_trie_walk():
     dice = random.Random(1)
     for _ in range(60):
