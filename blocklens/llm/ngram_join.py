@@ -1,27 +1,29 @@
 """N-gram Jaccard self-join by prefix trees.
 
-A document's set holds the 63-bit hashes of its word n-grams; documents with
+A document's set holds the 57-bit hashes of its word n-grams; documents with
 one and the same set are one node from the start (its id is a 64-bit digest of
-the set).  All sets are kept in one global order, rare n-grams first:
-
-1. *Frequencies.*  Each batch sends its sorted hashes, 40 bits wide and delta
-   coded, to ranges of the hash space; the ranges count them.  The most
-   frequent ones (at most ``_HEAVY``) are sent to all workers and come last in
-   the order; the others are ordered by hash.  The order steers only the work.
-2. *Prefixes.*  Two sets that reach the threshold share an n-gram among the
-   first ``n - ceil(t * n) + 1`` of each.  These are dealt out by hash range,
-   40 bits wide, and nodes under a common prefix n-gram are candidates.  Nodes
-   that candidates connect go to one task where they are few (``_WHOLE``).
-   Larger such sets are compared pair by pair where few nodes share an n-gram
-   (at most ``_SMALL``), else as clusters, dealt as pairs of blocks, so that
-   the pairs within a large group are never written out.
-3. *Tries.*  The sets to compare are stored in a trie; a set walks down it once,
-   all sets below a node share the overlap found so far, and a subtree is left
-   as soon as the lengths that remain cannot reach the overlap it needs.
-   A task returns a spanning forest of its links and the number of links of
-   each node.
-
-What is left are connected components over these links.
+the set).  A link needs ``t`` of both sets in common, so three exact filters
+come before any comparison:
+
+1. *Hash prefixes.*  Two linked sets share at least ``l`` of the n-grams among
+   the first ``n - ceil(t * n) + l`` of each, in order of the hash.  A node goes
+   on if so many n-grams of its prefix are in another node's prefix too.
+2. *True frequencies.*  Only the nodes that went on are read again, and all of
+   their n-grams counted.  A node stays if ``ceil(t * n)`` of its n-grams occur
+   in another one; the others of its n-grams can match nothing and are only
+   counted.  From here on the global order is rare n-grams first (frequency to
+   a power of two, then hash).
+3. *Rare prefixes.*  Linked sets share an n-gram among the first
+   ``n - ceil(t * n) + 1`` of each in that order.  Nodes under an n-gram of few
+   nodes (at most ``_SMALL``) are pairs, checked by length and position;
+   nodes that share more frequent ones are clusters, dealt as pairs of blocks,
+   so that the pairs within a large group are never written out.
+
+The sets to compare are stored in a trie; a set walks down it once, all sets
+below a node share the overlap found so far, and a subtree is left as soon as
+the lengths that remain cannot reach the overlap it needs.  A task returns the
+components of its links and the number of links of each node.  What is left are
+connected components over these links.
 """
 
 from __future__ import annotations
@@ -37,20 +39,18 @@ from pyspark.sql import functions as F
 from ._common import Memory, Scratch, small_batches, tidy, tidy_group
 from .components import components
 
-_HEAVY, _HEAVY_FROM = 1 << 19, 8
-#: Nodes under one prefix n-gram that are compared as pairs; nodes in a block of a cluster.
-_SMALL, _BLOCK = 8, 256
-#: n-grams of one hash range, candidates that may be broadcast.
-_RANGE_GRAMS, _BROADCAST_ROWS = 2_000_000, 1_000_000
-#: Nodes and n-grams of a connected set of candidates that is compared at once, n-grams of a task and of a block.
-_WHOLE, _WHOLE_GRAMS, _TASK_GRAMS, _BLOCK_GRAMS = 512, 500_000, 500_000, 500_000
+#: Nodes under one n-gram of a prefix that are compared as pairs; nodes in a block of a cluster.
+_SMALL, _BLOCK = 8, 1024
+#: n-grams of a task and of a block; nodes whose keys may be broadcast (24 bytes each).
+_TASK_GRAMS, _BLOCK_GRAMS, _BROADCAST_ROWS = 500_000, 500_000, 1_000_000
+#: A prefix by hash is longer by a tenth of the set, so that linked sets share as many n-grams of it.
+_LONGER = 10
 #: UTF-8 bytes of texts that a worker handles at a time.
 _PART_BYTES = 3 << 20
 #: Words a worker remembers, and characters whose words are in memory at a time.
 _WORDS_KNOWN, _SLICE_CHARS = 1 << 17, 1_000_000
-_LOW = 23  # 63-bit hash = 40 bits that are counted, 23 low bits
+_BITS = 57  # of a hash; the six bits above take the frequency's power of two
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-_TOP = np.uint64(1 << 63)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ class Grams:
         self.n, self.known = n, _HASHES[0]
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All 63-bit hashes in text order, and the border of each text in them."""
+        """All 57-bit hashes in text order, and the border of each text in them."""
         hashes, sizes, part, held = [], [], [], 0
         for text in texts:  # the words of a few megabytes at a time
             part.append(text)
@@ -103,23 +103,7 @@ class Grams:
                 parts.append(np.array([(flat[start : start + count] * _ODD[np.arange(count) % 8]).sum(dtype=np.uint64) + np.uint64(count)], np.uint64))
             sizes.append(max(1, count - n + 1) if count else 0)
         if parts:
-            hashes.append(_mixed(np.concatenate(parts)) >> np.uint64(1))
-
-
-class Order:
-    """The global order: frequent n-grams last, by frequency; the others by hash."""
-
-    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
-        self.keys, self.ranks = keys, ranks
-
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers whose natural order is the global order, different for different hashes."""
-        if not len(self.keys):
-            return hashes
-        key = hashes >> np.uint64(_LOW)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        heavy = self.keys[at] == key
-        return np.where(heavy, _TOP | (self.ranks[at] << np.uint64(_LOW)) | (hashes & np.uint64((1 << _LOW) - 1)), hashes)
+            hashes.append(_mixed(np.concatenate(parts)) >> np.uint64(64 - _BITS))
 
 
 def needed(a, b, t):
@@ -128,11 +112,14 @@ def needed(a, b, t):
 
 
 class Trie:
-    """Ordered sets as a radix trie in arrays: a node per branching, its n-grams as one segment."""
+    """Ordered sets as a radix trie in arrays: a node per branching, its n-grams as one segment.
 
-    def __init__(self, sets: list[np.ndarray]):
+    ``sizes`` count n-grams that the arrays leave out, too, as no other set has them.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.sizes = np.array([len(s) for s in sets] if sizes is None else sizes, np.int64)
         parent, depth, segments, leaf = [-1], [0], [np.zeros(0, np.uint64)], {}
         path: list[tuple[int, int]] = [(0, 0)]  # open nodes from the root: (node, depth at its end)
         last: np.ndarray | None = None
@@ -179,21 +166,21 @@ class Trie:
         self.starts = np.cumsum([0] + [len(segments[node]) for node in order])
         self.grams = np.concatenate([segments[node] for node in order])
         self.short, self.long = np.full(len(order), 1 << 60, np.int64), np.zeros(len(order), np.int64)
-        for k in range(len(order) - 1, -1, -1):  # sizes of the sets at or below a node
+        self.deep = self.depth.copy()
+        for k in range(len(order) - 1, -1, -1):  # sizes and depths of the sets at or below a node
             if self.leaf[k] >= 0:
                 n = self.sizes[self.leaf[k]]
                 self.short[k], self.long[k] = min(self.short[k], n), max(self.long[k], n)
             if k:
                 up = place[parent[order[k]]]
                 self.short[up], self.long[up] = min(self.short[up], self.short[k]), max(self.long[up], self.long[k])
+                self.deep[up] = max(self.deep[up], self.deep[k])
 
-    def walk(self, x: np.ndarray, t: tuple[int, int], skip: np.ndarray | None = None) -> np.ndarray:
-        """Indexes of the stored sets that ``x`` is linked with.
-
-        The walk goes down level by level.  ``skip`` marks sets that need no answer.
-        """
+    def walk(self, x: np.ndarray, t: tuple[int, int], size: int | None = None) -> np.ndarray:
+        """Indexes of the stored sets that ``x``, a set of ``size``, is linked with.  The walk goes down level by level."""
         found: list[np.ndarray] = []
-        n = len(x)
+        held = len(x)
+        n = held if size is None else size
         nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
         while len(nodes):
             ends = self.leaf[nodes] >= 0
@@ -217,27 +204,26 @@ class Trie:
                 at = np.repeat(self.starts[below] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(total)
                 grams = self.grams[at]
                 spot = np.searchsorted(x, grams)
-                inside = x[np.minimum(spot, n - 1)] == grams
+                inside = x[np.minimum(spot, held - 1)] == grams
                 through = np.concatenate(([0], np.cumsum(inside)))
                 border = np.cumsum(lengths)
                 shared = shared + through[border] - through[border - lengths]
-                tail = np.where(lengths > 0, np.minimum(np.searchsorted(x, self.grams[np.maximum(self.starts[below + 1] - 1, 0)], "right"), n), 0)
+                tail = np.where(lengths > 0, np.minimum(np.searchsorted(x, self.grams[np.maximum(self.starts[below + 1] - 1, 0)], "right"), held), 0)
             else:
                 tail = np.zeros(len(below), np.int64)
             # what can still be added: n-grams of x after this node's last, and n-grams below it
-            most = shared + np.minimum(n - tail, self.long[below] - self.depth[below])
+            most = shared + np.minimum(held - tail, self.deep[below] - self.depth[below])
             alive = most >= needed(n, np.maximum(self.short[below], -(-(n * t[0]) // t[1])), t)
             nodes, overlap = below[alive], shared[alive]
-        out = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return out if skip is None else out[~skip[out]]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-class _Forest:
-    """Union-find over the nodes of one task; keeps a spanning forest."""
+class _Links:
+    """The links that one task finds: components by union-find, and the number of links of each node."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
-        self.edges: list[tuple[int, int]] = []
+        self.count: dict[int, int] = {}
 
     def root(self, x: int) -> int:
         self.up.setdefault(x, x)
@@ -246,24 +232,27 @@ class _Forest:
             x = self.up[x]
         return x
 
-    def link(self, a: int, b: int) -> None:
-        ra, rb = self.root(a), self.root(b)
-        if ra != rb:
-            self.up[ra] = rb
-            self.edges.append((a, b))
+    def add(self, a: tuple[int, int], b: tuple[int, int]) -> None:
+        """Link two ``(node, copies)``; the smaller root stays."""
+        low, high = sorted((self.root(a[0]), self.root(b[0])))
+        self.up[high] = low
+        self.count[a[0]] = self.count.get(a[0], 0) + b[1]
+        self.count[b[0]] = self.count.get(b[0], 0) + a[1]
 
+    def table(self) -> pa.Table:
+        """``node, root, n``: a row per node that has links."""
+        return pa.table([pa.array(list(self.count), pa.int64()), pa.array([self.root(x) for x in self.count], pa.int64()), pa.array(list(self.count.values()), pa.int64())], names=["node", "root", "n"])
 
-def _found_table(forest: _Forest, links: dict[int, int]) -> pa.Table:
-    a = [e[0] for e in forest.edges] + list(links)
-    b = [e[1] for e in forest.edges] + [None] * len(links)
-    n = [None] * len(forest.edges) + list(links.values())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
+_FOUND = "node long, root long, n long"
 
-_FOUND = "a long, b long, n long"
 
+def _least(size: str, t: tuple[int, int]) -> str:
+    """SQL of ``ceil(t * size)``, the least overlap with any linked set."""
+    return f"(({t[0]} * {size} + {t[1] - 1}) div {t[1]})"
 
-def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", stays: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links``, a row per input row.
 
     Documents are linked when the Jaccard similarity of their sets is at least
@@ -271,300 +260,201 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5),
     (null ids come after all others; rows with one take part like any other);
     ``n_links`` counts the other rows linked directly, copies included.  Null
     and wordless texts have an empty set, no links, and their own id.  Rows
-    with the same id are separate rows.  An empty table gives an empty result.
-    Links rest on 63-bit hashes of n-grams and 64-bit digests of sets.
+    with the same id are separate rows; texts of any length are taken whole.
+    An empty table gives an empty result, and other columns of any name play no
+    part.  Ids are read as integers (``long``).  Links rest on 57-bit hashes of
+    n-grams and 64-bit digests of sets.
+
+    With ``stays`` also ``row_key`` (that of ``row_key()``) and ``stays``, true for
+    the one row of each component that is left when near copies go: the one with
+    the smallest id, of several the one with the smallest key.  This is decided
+    by row: rows that only share an id with a near copy are left alone.
     """
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
+    small_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
-    rows = rows.withColumn("_key", F.coalesce("_id", F.xxhash64("_t")))  # texts are fetched by it; one that only shares it is dropped by its digest
-    total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
-    ranges = max(12, -(-(total // 6) // _RANGE_GRAMS))  # a word of 5 letters and a space has one n-gram
-    order = spark.sparkContext.broadcast(_frequent(rows, n, ranges))
-    nodes, posted = _prefixes(rows, n, threshold, max(12, ranges // 4), order, scratch)
-    near = scratch.save(_neighbours(posted, threshold), "near")
-    scratch.drop("prefixes")
-
-    linked = components(near.select("a", "b"), scratch, "candidates")
-    linked = linked.join(nodes.select(F.col("_digest").alias("node"), "_grams"), "node")
-    whole = linked.groupBy("root").agg(((F.count("*") <= _WHOLE) & (F.sum("_grams") <= _WHOLE_GRAMS)).alias("small"))
-    whole = scratch.save(linked.join(whole, "root"), "whole")
-    small = whole.filter("small")
-    found = _compare_whole(_sets(rows, nodes, small, n, order, scratch, "small"), threshold, small.agg(F.sum("_grams")).first()[0] or 0)
-
-    large = whole.filter("NOT small")
-    rest = scratch.save(near.join(large.select(F.col("node").alias("a")), "a"), "rest")  # both ends are in the same connected set
-    sets = scratch.save(_sets(rows, nodes, large, n, order, scratch, "large"), "sets")
-    cluster = components(rest.filter("kind = 1").select("a", "b"), scratch, "clusters").withColumnRenamed("root", "cluster")
-    pairs = rest.filter("kind = 0").select("a", "b").distinct()
-    ca, cb = cluster.select(F.col("node").alias("a"), F.col("cluster").alias("_ca")), cluster.select(F.col("node").alias("b"), F.col("cluster").alias("_cb"))
-    pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").filter(~F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False))).select("a", "b")
-    found = found.union(_compare_pairs(scratch.save(pairs, "pairs"), sets, threshold)).union(_compare_clusters(cluster, sets, threshold, scratch))
-    found = scratch.save(found, "found")
-
-    joined = components(found.filter("b IS NOT NULL").select("a", "b"), scratch, "links")
-    counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("_d")).agg(F.sum("n").alias("_links"))
+    rows = rows.withColumn("_key", row_key("_id", "_t"))  # texts are fetched by it
+    heads = scratch.save(_heads(rows, n, threshold), "heads")
+    each = heads.filter("_digest IS NOT NULL")
+    nodes = scratch.save(each.groupBy("_digest").agg(F.min("_id").alias("_first"), F.min("_key").alias("_text"), F.count("*").alias("_copies"), F.max("_n").alias("_size")), "nodes")
+    likely = scratch.save(_likely(heads, nodes, threshold), "likely")
+    sets = scratch.save(_sets(rows, heads, likely, n), "sets")
+    core = scratch.save(_core(sets, nodes, threshold), "core")
+    scratch.drop("sets")
+
+    pairs, cluster = _candidates(core, threshold, scratch)
+    found = scratch.save(_compare_pairs(pairs, core, threshold).union(_compare_clusters(cluster, core, threshold, scratch)), "found")
+    scratch.drop("core")
+
+    joined = components(found.filter("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")), scratch, "links")
+    counts = found.groupBy(F.col("node").alias("_d")).agg(F.sum("n").alias("_links"))
     least = joined.join(nodes, F.col("node") == F.col("_digest")).groupBy("root").agg(F.min("_first").alias("_least"))
-    label = joined.join(least, "root").select(F.col("node").alias("_d2"), "_least")
-    known = nodes.join(counts, F.col("_digest") == F.col("_d"), "left").join(label, F.col("_digest") == F.col("_d2"), "left")
-    known = known.select("_digest", F.coalesce("_least", "_first").alias("_component"), (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"))
-    each = spark.read.parquet(scratch.path("docs"))
-    out = each.join(known, "_digest", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
-
+    label = joined.join(least, "root").select(F.col("node").alias("_d2"), "_least", "root")
+    known = counts.join(label, F.col("_d") == F.col("_d2"))
+    known = nodes.join(known, F.col("_digest") == F.col("_d"), "left").filter("_copies > 1 OR _d IS NOT NULL")
+    known = known.select("_digest", F.coalesce("root", "_digest").alias("_group"), F.coalesce("_least", "_first").alias("_component"), (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_linked"))
+    out = heads.select("_id", "_n", "_digest", "_key").join(known, "_digest", "left")
+    columns = [F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"), F.coalesce("_linked", F.lit(0)).cast("long").alias("n_links")]
+    if not stays:
+        return out.select(columns)
+    first = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_key").alias("z"))
+    best = scratch.save(out.filter("_group IS NOT NULL").groupBy(F.col("_group").alias("_g")).agg(F.min(first).alias("_best")), "best")
+    out = out.join(best, F.col("_group") == F.col("_g"), "left")
+    return out.select(*columns, F.col("_key").alias("row_key"), F.coalesce(F.col("_best") == first, F.lit(True)).alias("stays"))
 
-def _frequent(rows: DataFrame, n: int, ranges: int) -> tuple[bytes, bytes]:
-    """The frequent 40-bit hashes, sorted, and their ranks, as bytes."""
-    bits = 63 - _LOW
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from blocklens.llm._common import text_parts
-
-        grams = Grams(n)
-        for part in (texts for batch in batches for _, _, texts in text_parts(batch, 0, _PART_BYTES)):
-            hashes, borders = grams.of(part)
-            sets = [np.unique(hashes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
-            keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(_LOW), return_counts=True)
-            edges = np.searchsorted(keys, np.array([(r << bits) // ranges for r in range(ranges + 1)], np.uint64))
-            out = []
-            for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                if a < b:
-                    more = np.flatnonzero(counts[a:b] > 1)
-                    out.append((r, _packed(keys[a:b]), more.astype("<u4").tobytes(), counts[a:b][more].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["r", "keys", "more", "counts"])
-
-    def count(table: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for row in table.to_pylist():
-            keys.append(_unpacked(row["keys"]))
-            each = np.ones(len(keys[-1]), np.int32)
-            each[np.frombuffer(row["more"], "<u4")] = np.frombuffer(row["counts"], "<u4")
-            counts.append(each)
-        key, count_ = np.concatenate(keys), np.concatenate(counts)
-        by = np.argsort(key, kind="stable")
-        key, count_ = key[by], count_[by]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sums = np.add.reduceat(count_, start, dtype=np.int64)
-        often = sums >= _HEAVY_FROM
-        return pa.table({"key": pa.array(key[start][often].astype(np.int64), pa.int64()), "n": pa.array(sums[often], pa.int64())})
-
-    sent = rows.select(F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(tidy(send), "r int, keys binary, more binary, counts binary")
-    heavy = sent.repartition(ranges, "r").groupBy("r").applyInArrow(tidy_group(count), "key long, n long")
-    top = heavy.orderBy(F.desc("n"), "key").limit(_HEAVY).toArrow()  # at most _HEAVY rows of 16 bytes
-    keys, counts = top["key"].to_numpy().astype(np.uint64), top["n"].to_numpy()
-    ranks = np.empty(len(keys), np.uint64)
-    ranks[np.lexsort((keys, counts))] = np.arange(len(keys), dtype=np.uint64)
-    by = np.argsort(keys)
-    return keys[by].tobytes(), ranks[by].tobytes()
-
-
-def _order(order) -> Order:
-    keys, ranks = order.value
-    return Order(np.frombuffer(keys, np.uint64), np.frombuffer(ranks, np.uint64))
-
-
-def _digest(codes: np.ndarray) -> int:
-    import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(codes.tobytes())).astype(np.int64))
+def row_key(id_: str, text: str):
+    """A 64-bit key of a row: of its id and whole text."""
+    return F.xxhash64(F.col(id_), F.col(text))
 
 
-def _prefixes(rows: DataFrame, n: int, t: tuple[int, int], ranges: int, order, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``_digest, _first, _text, _copies, _grams``) and the prefixes dealt out by hash range."""
+def _heads(rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
+    """``_id, _key, _n, _digest`` of each row, and ``_part, _prefix`` of each different set in a part of the rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         from blocklens.llm._common import text_parts
 
-        grams, place = Grams(n), _order(order)
+        grams, context = Grams(n), TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
         for batch in batches:
             for at, count, part in text_parts(batch, 2, _PART_BYTES):
-                yield from one(batch.column(0).slice(at, count), batch.column(1).slice(at, count), part, grams, place)
+                number += 1
+                yield one(batch.column(0).slice(at, count), batch.column(1).slice(at, count), part, grams, number)
 
-    def one(ids: pa.Array, keys: pa.Array, texts: list[str], grams: Grams, place: Order) -> Iterator[pa.RecordBatch]:
+    def one(ids: pa.Array, keys: pa.Array, texts: list[str], grams: Grams, number: int) -> pa.RecordBatch:
         hashes, borders = grams.of(texts)
-        codes = place.codes(hashes)
-        digests, sizes, heads, known = [], [], [], set()
+        digests, sizes, prefixes, known = [], [], [], set()
         for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-            own = np.unique(codes[a:b])
+            own = np.unique(hashes[a:b])
             size = len(own)
             sizes.append(size)
             digests.append(_digest(own) if size else None)
-            if size and digests[-1] not in known:  # copies in this part are one node
-                known.add(digests[-1])
-                heads.append((digests[-1], size, own[: size - -(-(t[0] * size) // t[1]) + 1]))
-        blank = pa.nulls(len(ids), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int32()), ids, keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), blank, blank, blank, blank], names=names)
-        if not heads:
-            return
-        head = _mixed(np.concatenate([h[2] for h in heads]))
-        owner = np.repeat(np.arange(len(heads)), [len(h[2]) for h in heads])
-        range_, gram = head % np.uint64(ranges), head >> np.uint64(24)
-        by = np.lexsort((gram, range_))
-        gram, owner = gram[by], owner[by]
-        edges = np.searchsorted(range_[by], np.arange(ranges + 1, dtype=np.uint64))
-        node, size = np.array([h[0] for h in heads], np.int64), np.array([h[1] for h in heads], np.int32)
-        out = []
-        for r in range(ranges):
-            a, b = edges[r], edges[r + 1]
-            if a < b:
-                here, local = np.unique(owner[a:b], return_inverse=True)
-                kind = np.uint16 if len(here) < 1 << 16 else np.uint32
-                out.append((r, _packed(gram[a:b]), local.astype(kind).tobytes(), node[here].tobytes(), size[here].tobytes()))
-        none = pa.nulls(len(out), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), none, none, none, none, *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]], names=names)
-
-    names = ["r", "_id", "_key", "_n", "_digest", "grams", "owner", "node", "size"]
-    kinds = "r int, _id long, _key long, _n long, _digest long, grams binary, owner binary, node binary, size binary"
-    # both kinds of rows come from one pass over the texts
-    both = scratch.save(rows.select("_id", "_key", F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(tidy(send), kinds), "prefixes")
-    each = scratch.save(both.filter("r IS NULL").select("_id", "_key", "_n", "_digest"), "docs")
-    nodes = each.filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_first"), F.coalesce(F.min("_id"), F.min("_key")).alias("_text"), F.count("*").alias("_copies"), F.max("_n").alias("_grams"))
-    posted = both.filter("r IS NOT NULL").select("r", "grams", "owner", "node", "size").repartition(ranges, "r")
-    return scratch.save(nodes, "nodes"), posted
-
-
-def _packed(numbers: np.ndarray) -> bytes:
-    """Rising numbers as byte planes of their steps: width, first, planes."""
-    steps = np.diff(numbers)
-    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-    return bytes([width]) + int(numbers[0]).to_bytes(8, "little") + planes
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    width, planes = data[0], np.frombuffer(data, np.uint8, offset=9)
-    steps = np.zeros((len(planes) // width + 1, 8), np.uint8)
-    steps[1:, :width] = planes.reshape(width, -1).T
-    out = steps.view("<u8").ravel().astype(np.uint64)
-    out[0] = int.from_bytes(data[1:9], "little")
-    return np.cumsum(out, dtype=np.uint64)
-
-
-def _neighbours(posted: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """``kind, a, b``: pairs to compare (0) and members of clusters (1)."""
-
-    def deal(table: pa.Table) -> pa.Table:
-        gram, node, size = [], [], []
-        for row in table.to_pylist():
-            of, sizes = np.frombuffer(row["node"], np.int64), np.frombuffer(row["size"], np.int32)
-            local = np.frombuffer(row["owner"], np.uint16 if len(of) < 1 << 16 else np.uint32)
-            gram.append(_unpacked(row["grams"]))
-            node.append(of[local])
-            size.append(sizes[local])
-        gram = np.concatenate(gram)
-        node, size = np.concatenate(node), np.concatenate(size).astype(np.int64)
-        by = np.lexsort((node, gram))
-        gram, node, size = gram[by], node[by], size[by]
-        fresh = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))  # copies from several batches
-        gram, node, size = gram[fresh], node[fresh], size[fresh]
-        start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        count = np.diff(np.append(start, len(gram)))
-        out: list[np.ndarray] = []
-        for k in range(2, _SMALL + 1):
-            s = start[count == k]
-            for i in range(k if len(s) else 0):
-                for j in range(i + 1, k):
-                    fit = np.minimum(size[s + i], size[s + j]) * t[1] >= np.maximum(size[s + i], size[s + j]) * t[0]
-                    out.append(np.stack((np.zeros(int(fit.sum()), np.int64), node[s + i][fit], node[s + j][fit])))
-        large = count > _SMALL
-        if large.any():
-            lengths, first = count[large], start[large]
-            at = np.repeat(first - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-            out.append(np.stack((np.ones(len(at), np.int64), np.repeat(node[first], lengths), node[at])))
-        made = np.unique(np.concatenate([*out, np.zeros((3, 0), np.int64)], axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
-        return pa.table({"kind": pa.array(made[0].astype(np.int32)), "a": pa.array(made[1]), "b": pa.array(made[2])})
-
-    return posted.groupBy("r").applyInArrow(tidy_group(deal), "kind int, a long, b long")
-
-
-def _sets(rows: DataFrame, nodes: DataFrame, chosen: DataFrame, n: int, order, scratch: Scratch, name: str) -> DataFrame:
-    """``node, root, copies, size, codes`` of the chosen ``node, root``, each from one of its texts."""
-    wanted = chosen.drop("_grams").join(nodes, F.col("node") == F.col("_digest")).select(F.col("_text").alias("_want"), F.col("node").alias("_node"), "root", "_copies")
-    wanted = scratch.save(wanted, f"wanted-{name}")
+            fresh = size and digests[-1] not in known  # copies in this part are one node
+            known.add(digests[-1])
+            least = -(-(t[0] * size) // t[1])
+            prefixes.append(own[: size - least + min(least, 1 + size // _LONGER)].astype(np.int64) if fresh else None)
+        ends = np.cumsum([0] + [0 if p is None else len(p) for p in prefixes])
+        flat = np.concatenate([p for p in prefixes if p is not None] + [np.zeros(0, np.int64)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([p is None for p in prefixes]))
+        return pa.RecordBatch.from_arrays([ids, keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array([number] * len(sizes), pa.int64()), lists], names=["_id", "_key", "_n", "_digest", "_part", "_prefix"])
+
+    return rows.select("_id", "_key", F.coalesce("_t", F.lit("")).alias("_t")).mapInArrow(tidy(send), "_id long, _key long, _n long, _digest long, _part long, _prefix array<long>")
+
+
+def _digest(grams: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64))
+
+
+def _likely(heads: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """``_want, _node``: key and id of the nodes that share enough n-grams of their prefix by hash with others."""
+    posted = heads.filter("_prefix IS NOT NULL").select(F.explode("_prefix").alias("gram"), F.col("_digest").alias("node"), "_part")
+    common = posted.groupBy("gram").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).filter("_low <> _high").select("gram")
+    # a node's copies in other parts are counted apart
+    shared = posted.join(common, "gram").groupBy("node", "_part").agg(F.count("*").alias("_held")).groupBy("node").agg(F.max("_held").alias("_held"))
+    least = _least("_size", t)  # a linked set has that size at least
+    enough = F.expr(f"_held >= least({_least(least, t)}, 1 + {least} div {_LONGER})")
+    return shared.join(nodes, F.col("node") == F.col("_digest")).filter(enough).select(F.col("_text").alias("_want"), F.col("node").alias("_node"))
+
+
+def _sets(rows: DataFrame, heads: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``node, grams`` of the wanted nodes, each from one of its texts."""
     few = wanted.count() <= _BROADCAST_ROWS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, F.col("_key") == F.col("_want"))
+    near = F.broadcast if few else (lambda df: df)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from blocklens.llm._common import text_parts
 
-        grams, place = Grams(n), _order(order)
+        grams = Grams(n)
         for batch in batches:
             for at, count, part in text_parts(batch, 0, _PART_BYTES):
                 hashes, borders = grams.of(part)
-                codes = place.codes(hashes)
-                sets = [np.unique(codes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+                sets = [np.unique(hashes[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
                 node = batch.column(1).slice(at, count)
-                # a repeated key can bring another text along, which is another node
+                # a text that clashes with the wanted one by its key is dropped
                 right = pa.array([_digest(s) == k for s, k in zip(sets, node.to_pylist(), strict=True)])
-                made = pa.RecordBatch.from_arrays([node, *[batch.column(i).slice(at, count) for i in (2, 3)], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "root", "copies", "size", "codes"])
-                yield made.filter(right)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([node, lists], names=["node", "grams"]).filter(right)
 
-    made = texts.select(F.coalesce("_t", F.lit("")).alias("_t"), "_node", "root", "_copies").mapInArrow(tidy(build), "node long, root long, copies long, size long, codes binary")
-    repeated = rows.select("_key").join(F.broadcast(wanted.select("_want")) if few else wanted.select("_want"), F.col("_key") == F.col("_want")).groupBy("_key").count().filter("count > 1").limit(1).count()
+    texts = rows.join(near(wanted), F.col("_key") == F.col("_want")).select(F.coalesce("_t", F.lit("")).alias("_t"), "_node")
+    made = texts.mapInArrow(tidy(build), "node long, grams array<long>")
+    repeated = heads.join(near(wanted), (F.col("_key") == F.col("_want")) & (F.col("_digest") == F.col("_node"))).groupBy("_node").count().filter("count > 1").limit(1).count()
     return made.dropDuplicates(["node"]) if repeated else made
 
 
-def _compare_whole(sets: DataFrame, t: tuple[int, int], total: int) -> DataFrame:
-    """Connected sets of candidates that are small: each is one trie, walked by all its nodes."""
-    groups = max(1, -(-total // _TASK_GRAMS))
-    rows = sets.select(F.pmod(F.xxhash64("root"), F.lit(groups)).alias("g"), "root", "node", "copies", "codes").repartition(groups, "g")
+def _core(sets: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """``node, size, copies, codes``: n-grams that other nodes have too, rare ones first, of nodes with enough of them."""
+    grams = sets.select("node", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("_often")).filter("_often > 1")
+    code = F.shiftleft(F.floor(F.log2("_often")).cast("long"), _BITS).bitwiseOR(F.col("gram"))
+    codes = grams.join(often, "gram").select("node", code.alias("code")).groupBy("node").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    known = nodes.select(F.col("_digest").alias("node"), F.col("_size").alias("size"), F.col("_copies").alias("copies"))
+    return codes.join(known, "node").filter(f"size(codes) >= {_least('size', t)}").select("node", "size", "copies", "codes")
+
+
+def _candidates(core: DataFrame, t: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` to compare, and ``node, cluster`` of nodes under frequent n-grams; pairs within a cluster are left out."""
+    prefix = F.slice("codes", F.lit(1), F.expr(f"size(codes) - cast({_least('size', t)} AS int) + 1"))
+    posted = scratch.save(core.select("node", "size", F.size("codes").alias("held"), F.posexplode(prefix).alias("at", "gram")), "posted")
+    lists = scratch.save(posted.groupBy("gram").agg(F.count("*").alias("many"), F.min("node").alias("hub")).filter("many > 1"), "lists")
+
+    few = posted.join(lists.filter(f"many <= {_SMALL}").select("gram"), "gram")
+    one, two = (few.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "held", "at")]) for k in ("a", "b"))
+    # an n-gram at places i and j has at most so many common ones before and behind it
+    most = F.least("at_a", "at_b") + 1 + F.least(F.col("held_a") - F.col("at_a"), F.col("held_b") - F.col("at_b")) - 1
+    needs = F.expr(f"({t[0]} * (size_a + size_b) + {t[0] + t[1] - 1}) div {t[0] + t[1]}")
+    sizes = (F.least("size_a", "size_b") * t[1]) >= (F.greatest("size_a", "size_b") * t[0])
+    pairs = one.join(two, "gram").filter((F.col("node_a") < F.col("node_b")) & sizes & (most >= needs)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+    stars = posted.join(lists.filter(f"many > {_SMALL}").select("gram", "hub"), "gram").filter("node <> hub")
+    cluster = components(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), scratch, "clusters").withColumnRenamed("root", "cluster")
+    ca, cb = cluster.select(F.col("node").alias("a"), F.col("cluster").alias("_ca")), cluster.select(F.col("node").alias("b"), F.col("cluster").alias("_cb"))
+    pairs = pairs.join(ca, "a", "left").join(cb, "b", "left").filter(~F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False))).select("a", "b")
+    return scratch.save(pairs, "pairs"), cluster
 
-    def compare(table: pa.Table) -> pa.Table:
-        parts: dict[int, list] = {}
-        for root, node, copies, codes in zip(*[table[c].to_pylist() for c in ("root", "node", "copies", "codes")], strict=True):
-            parts.setdefault(root, []).append((node, copies, np.frombuffer(codes, np.uint64)))
-        forest, links = _Forest(), {}
-        for members in parts.values():
-            trie = Trie([m[2] for m in members])
-            for i, (a, copies, codes) in enumerate(members):
-                for k in trie.walk(codes, t).tolist():
-                    if k > i:  # each pair once
-                        b, more, _ = members[k]
-                        forest.link(a, b)
-                        links[a] = links.get(a, 0) + more
-                        links[b] = links.get(b, 0) + copies
-        return _found_table(forest, links)
-
-    return rows.groupBy("g").applyInArrow(tidy_group(compare), _FOUND)
-
-
-def _compare_pairs(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+
+def _arrays(table: pa.Table) -> list[np.ndarray]:
+    codes = table["codes"].combine_chunks()
+    codes = codes if isinstance(codes, pa.Array) else pa.concat_arrays(codes.chunks)
+    flat, ends = codes.flatten().to_numpy().astype(np.uint64), codes.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)]
+
+
+def _compare_pairs(pairs: DataFrame, core: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Each pair's first node walks the trie of its partners."""
     own = pairs.select("a").distinct().select("a", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
     each = own.union(pairs.select("a", "b", F.col("b").alias("node")))
-    total = each.join(sets.select("node", "size"), "node").agg(F.sum("size")).first()[0] or 0
+    total = each.join(core.select("node", F.size("codes").alias("held")), "node").agg(F.sum("held")).first()[0] or 0
     groups = max(1, -(-total // _TASK_GRAMS))
-    each = each.join(sets, "node")
-    each = each.select(F.pmod(F.xxhash64("a"), F.lit(groups)).alias("g"), "a", "b", "copies", "codes").repartition(groups, "g")
+    each = each.join(core, "node").select(F.pmod(F.xxhash64("a"), F.lit(groups)).alias("g"), "a", "b", "size", "copies", "codes").repartition(groups, "g")
 
     def compare(table: pa.Table) -> pa.Table:
-        centre, partners = {}, {}
-        for row in table.select(["a", "b", "copies", "codes"]).to_pylist():
-            codes = np.frombuffer(row["codes"], np.uint64)
+        links, centre, partners = _Links(), {}, {}
+        rows = table.select(["a", "b", "size", "copies"]).to_pylist()
+        for row, codes in zip(rows, _arrays(table), strict=True):
             if row["b"] is None:
-                centre[row["a"]] = (row["copies"], codes)
+                centre[row["a"]] = (row, codes)
             else:
-                partners.setdefault(row["a"], []).append((row["b"], row["copies"], codes))
-        forest, links = _Forest(), {}
+                partners.setdefault(row["a"], []).append((row, codes))
         for a, others in partners.items():
-            copies, codes = centre[a]
-            for i in Trie([o[2] for o in others]).walk(codes, t).tolist():
-                b, more, _ = others[i]
-                forest.link(a, b)
-                links[a] = links.get(a, 0) + more
-                links[b] = links.get(b, 0) + copies
-        return _found_table(forest, links)
+            own, codes = centre[a]
+            for i in Trie([o[1] for o in others], [o[0]["size"] for o in others]).walk(codes, t, own["size"]).tolist():
+                links.add((a, own["copies"]), (others[i][0]["b"], others[i][0]["copies"]))
+        return links.table()
 
     return each.groupBy("g").applyInArrow(tidy_group(compare), _FOUND)
 
 
-def _compare_clusters(cluster: DataFrame, sets: DataFrame, t: tuple[int, int], scratch: Scratch) -> DataFrame:
+def _compare_clusters(cluster: DataFrame, core: DataFrame, t: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Clusters by bands of set size, in blocks: a block meets those of its band and of the next."""
     ratio = t[1] / t[0]
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")  # linked sizes are in one band or neighbours
-    rows = sets.drop("root").join(cluster, "node").select("cluster", band.alias("band"), "node", "size", "copies", "codes")
-    sizes = scratch.save(rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(_BLOCK)), F.ceil(F.sum("size") / F.lit(_BLOCK_GRAMS))).cast("int").alias("blocks")), "bands")
+    rows = scratch.save(core.join(cluster, "node").select("cluster", band.alias("band"), "node", "size", "copies", "codes"), "members")
+    sizes = scratch.save(rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(_BLOCK)), F.ceil(F.sum(F.size("codes")) / F.lit(_BLOCK_GRAMS))).cast("int").alias("blocks")), "bands")
     below = sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("_below"))
     above = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("_above"))
     shape = sizes.join(below, ["cluster", "band"], "left").join(above, ["cluster", "band"], "left")
@@ -579,26 +469,22 @@ def _compare_clusters(cluster: DataFrame, sets: DataFrame, t: tuple[int, int], s
     low = F.when(F.col("p.y") == -1, F.col("band") - 1).otherwise(F.col("band"))
     step = F.abs(F.col("p.y"))
     left = F.when(F.col("p.y") == 0, F.col("block") == F.col("p.x")).otherwise(F.col("p.y") == 1)
-    dealt = dealt.select(F.col("cluster").alias("c"), low.alias("l"), step.alias("s"), F.col("p.x").alias("x"), F.col("p.z").alias("z"), left.alias("left"), "node", "copies", "codes")
+    dealt = dealt.select(F.col("cluster").alias("c"), low.alias("l"), step.alias("s"), F.col("p.x").alias("x"), F.col("p.z").alias("z"), left.alias("left"), "node", "size", "copies", "codes")
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.select(["s", "x", "z", "left", "node", "copies", "codes"]).to_pylist()
+        rows, sets = table.select(["s", "x", "z", "left", "node", "size", "copies"]).to_pylist(), _arrays(table)
         within = rows[0]["s"] == 0 and rows[0]["x"] == rows[0]["z"]
-        sets = [np.frombuffer(r["codes"], np.uint64) for r in rows]
         one = [i for i, r in enumerate(rows) if r["left"]]
         two = one if within else [i for i, r in enumerate(rows) if not r["left"]]
-        forest, links = _Forest(), {}
+        links = _Links()
         if one and two:
-            trie = Trie([sets[i] for i in two])
+            trie = Trie([sets[i] for i in two], [rows[i]["size"] for i in two])
             for place, i in enumerate(one):
-                a = rows[i]
-                for k in trie.walk(sets[i], t).tolist():
+                for k in trie.walk(sets[i], t, rows[i]["size"]).tolist():
                     if within and k <= place:  # each pair once
                         continue
                     b = rows[two[k]]
-                    forest.link(a["node"], b["node"])
-                    links[a["node"]] = links.get(a["node"], 0) + b["copies"]
-                    links[b["node"]] = links.get(b["node"], 0) + a["copies"]
-        return _found_table(forest, links)
+                    links.add((rows[i]["node"], rows[i]["copies"]), (b["node"], b["copies"]))
+        return links.table()
 
     return dealt.groupBy("c", "l", "s", "x", "z").applyInArrow(tidy_group(compare), _FOUND)

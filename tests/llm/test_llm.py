@@ -355,7 +355,7 @@ def test_ngram_join_large_groups(spark, monkeypatch):
     """With small bounds, clusters, blocks and pairs all take part."""
     from blocklens.llm import ngram_join as module
 
-    for name, value in (("_WHOLE", 8), ("_SMALL", 3), ("_BLOCK", 5), ("_HEAVY_FROM", 3), ("_PART_BYTES", 2000), ("_SLICE_CHARS", 500)):
+    for name, value in (("_SMALL", 3), ("_BLOCK", 5), ("_PART_BYTES", 2000), ("_SLICE_CHARS", 500)):
         monkeypatch.setattr(module, name, value)
     rows = near_texts(7, 3, 45, 6) + [(i + 1000, t) for i, t in near_texts(8, 25, 3, 3)]
     assert ordered(ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == expected_join(rows)
@@ -376,7 +376,7 @@ def test_ngram_join_null_ids(spark, monkeypatch):
     df = spark.createDataFrame([(1, a), (None, b), (3, c), (None, None)], "doc_id long, text string")
     expected = ordered([(1, 46, 1, 1), (None, 46, 1, 2), (3, 46, 1, 1), (None, 0, None, 0)])
     assert ordered(ngram_join(df).collect()) == expected
-    monkeypatch.setattr(module, "_WHOLE", 1)
+    monkeypatch.setattr(module, "_SMALL", 1)
     assert ordered(ngram_join(df).collect()) == expected
 
 
