@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from blocklens.llm._common import Scratch, table
 from blocklens.llm.exact_dedup import exact_dedup
-from blocklens.llm.ngram_join import ngram_join
+from blocklens.llm.ngram_join import ngram_join, row_key
 from blocklens.llm.pareto_mix import pareto_mix
 from blocklens.llm.piece_bpe import encode_decode
 from blocklens.llm.toxicity import fit, sample, score_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids up to this many may be broadcast (8 bytes each); beyond it the join is dealt out.
-_BROADCAST_IDS = 1_000_000
+#: Ids and keys of rows up to this many may be broadcast (16 bytes each); beyond it the join is dealt out.
+_BROADCAST_ROWS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies one row stays: the one with the smallest id.
+
+    Rows go by id and text together, so a row that only shares its id with a
+    near copy stays; rows without words are no copies of anything.
+    """
     scratch = Scratch(spark, "pipeline-near")
-    joined = ngram_join(docs, n=5, threshold=(4, 5))
-    gone = scratch.save(joined.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    few = gone.count() <= _BROADCAST_IDS
-    return docs.select(COLUMNS).join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    docs = docs.select(COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    joined = ngram_join(docs, n=5, threshold=(4, 5), stays=True)
+    gone = scratch.save(joined.filter("NOT stays").select(F.col("doc_id").alias("_gone"), F.col("row_key").alias("_gone_key")).distinct(), "gone")
+    few = gone.count() <= _BROADCAST_ROWS
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (row_key("doc_id", "text") == F.col("_gone_key"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
