@@ -9,16 +9,17 @@ from ._common import table
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pareto_mix import pareto_mix
+    from .pareto_mix import length_rate, pareto_mix
 
-    return pareto_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0, seed="mix")
+    return pareto_mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0, seed="mix", rate=length_rate)
 
 
 #: {docs}: the table to mix; ends in a CTE ``mixed`` of the query's columns.
 PARETO_SQL = r"""
-d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-             (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u,
-             substr(sha1(coalesce(text, '')), 1, 16) AS tie FROM {docs}),
+d0 AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, substr(sha1(coalesce(text, '')), 1, 16) AS tie,
+              row_number() OVER (PARTITION BY source, doc_id, sha1(coalesce(text, ''))) - 1 AS nth FROM {docs}),
+d AS (SELECT doc_id, source, size, tie, nth, length(bin(size))::DOUBLE AS rate,
+             (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|mix' || CASE WHEN nth > 0 THEN '|' || nth ELSE '' END), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d0),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, source_size * 3.0::DOUBLE AS most,
               CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s0),
@@ -29,12 +30,17 @@ w AS (SELECT 0 AS n, source, source_size, w, most, FALSE AS stop, sum(source_siz
                   ELSE t + sum(CASE WHEN t > most THEN t - most ELSE 0 END) OVER () * w / sum(CASE WHEN stop OR t > most THEN 0 ELSE w END) OVER () END
       FROM w WHERE n < 40),
 s4 AS (SELECT source, source_size, round(t, 6) AS target FROM w WHERE n = 40),
-r AS (SELECT d.*, source_size, target, least(3.0::DOUBLE, coalesce(target * 1.0::DOUBLE / nullif(source_size::DOUBLE, 0), 0)) AS copies
-      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+c1 AS (SELECT source, rate, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2),
+c2 AS (SELECT source, coalesce(sum(words) OVER (PARTITION BY source ORDER BY rate DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS above,
+              sum(words * rate) OVER (PARTITION BY source ORDER BY rate DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM c1),
+c3 AS (SELECT s4.source, max((target - 3.0::DOUBLE * above) / rest) AS factor FROM c2 JOIN s4 ON c2.source IS NOT DISTINCT FROM s4.source WHERE rest > 0 GROUP BY 1),
+r0 AS (SELECT d.*, source_size, target, coalesce(factor * rate, 0) AS copies
+       FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source LEFT JOIN c3 ON d.source IS NOT DISTINCT FROM c3.source),
+r AS (SELECT * REPLACE (CASE WHEN copies >= 3.0::DOUBLE - 1e-9 THEN 3.0::DOUBLE ELSE copies END AS copies) FROM r0),
 p AS (SELECT *, floor(copies) AS base, copies - floor(copies) AS p FROM r),
 o AS (SELECT *, CASE WHEN p > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS odds FROM p),
 v AS (SELECT *, coalesce(odds / (odds + 1.0::DOUBLE), 1) AS v, target - sum(base * size) OVER (PARTITION BY source) AS open_words FROM o),
-k AS (SELECT *, sum(CASE WHEN base < 3 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST, tie) AS through FROM v),
+k AS (SELECT *, sum(CASE WHEN base < 3 AND copies > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST, tie, nth) AS through FROM v),
 mixed AS (SELECT doc_id, size, source_size, target,
        (size * (base + CASE WHEN base < 3 AND copies > 0 AND (through <= open_words OR (through - size < open_words AND through - open_words <= open_words - (through - size))) THEN 1 ELSE 0 END))::BIGINT AS taken FROM k)"""
 

@@ -17,7 +17,7 @@ from blocklens.llm.exact_dedup import exact_dedup
 from blocklens.llm.kd_shards import kd_shards
 from blocklens.llm.license_scan import license_scan
 from blocklens.llm.ngram_join import Trie, ngram_join, needed
-from blocklens.llm.pareto_mix import pareto_mix
+from blocklens.llm.pareto_mix import length_rate, pareto_mix
 from blocklens.llm.piece_bpe import PieceBpe, encode_decode
 from blocklens.llm.pivot_topk import pivot_topk
 from blocklens.llm.token_counts import by_bytes, count_tokens, counter, load
@@ -203,12 +203,39 @@ def test_pareto_mix(spark, edge, empty):
 def test_pareto_rates(spark):
     """Higher rates are sampled more often."""
     rows = spark.createDataFrame([(i, "a b c d", "s0" if i < 2000 else "s1", 3.0 if i % 2 else 1.0) for i in range(8000)], "doc_id long, text string, source string, rate double")
-    found = pareto_mix(rows, weights=(1, 3), rate_col="rate").filter("doc_id < 2000").collect()
+    found = pareto_mix(rows, weights=(1, 3), rate="rate").filter("doc_id < 2000").collect()
     often = sum(r["taken"] for r in found if r["doc_id"] % 2)
     seldom = sum(r["taken"] for r in found if not r["doc_id"] % 2)
     assert often > 1.5 * seldom and abs(often + seldom - found[0]["target"]) <= 4
 
 
+def test_pareto_repeated_rows(spark):
+    """Rows alike in everything are drawn one by one, also where they are a third of a source."""
+    rows = [(7, "a b c d e f g h i j", "s0")] * 300 + [(i, "w " * (1 + i % 9), "s0") for i in range(100, 700)] + [(i, "x y z", "s1") for i in range(1000, 2500)]
+    frame = docs(spark, rows)
+    found = pareto_mix(frame.repartition(7), weights=(5, 12)).collect()
+    taken = sum(r["taken"] for r in found if r["doc_id"] < 1000)
+    target = next(r["target"] for r in found if r["doc_id"] == 7)
+    same = collections.Counter(r["taken"] for r in found if r["doc_id"] == 7)
+    assert abs(taken - target) <= 10 and len(same) == 2 and sum(same.values()) == 300
+    assert ordered(found) == ordered(pareto_mix(frame.repartition(3), weights=(5, 12)).collect())
+
+
+def test_pareto_unequal_and_capped(spark):
+    """Unequal rates keep to the targets, also where some documents reach the cap."""
+    rows = [(i, "w " * (1 + i * 31 % 700), f"s{i % 3}") for i in range(3000)]
+    for weights in ((5, 2, 1), (1, 1, 30), (8, 1, 1)):
+        found = pareto_mix(docs(spark, rows), weights=weights, rate=length_rate).collect()
+        taken, target, size = collections.Counter(), {}, collections.Counter()
+        for r in found:
+            s = r["doc_id"] % 3
+            taken[s], target[s], size[s] = taken[s] + r["taken"], r["target"], size[s] + r["size"]
+            assert r["taken"] <= 3 * r["size"]
+        assert all(abs(taken[s] - target[s]) <= 700 for s in size)
+        copies = lambda low, high: [r["taken"] / r["size"] for r in found if low <= r["size"] < high and target[r["doc_id"] % 3] < 2.5 * size[r["doc_id"] % 3]]  # noqa: E731, B023
+        assert sum(copies(512, 800)) / len(copies(512, 800)) > 1.5 * sum(copies(1, 16)) / len(copies(1, 16))
+
+
 # Tokenisers ---------------------------------------------------------------------
 
 
