@@ -137,15 +137,68 @@ def test_kd_shards(spark, sf_dir, edge, empty):
 
 
 def test_kd_shards_hot_group(spark):
-    """Copies that outweigh a shard are cut into pieces; small groups stay together."""
+    """Only a group that outweighs a shard is cut; those between an eighth of a shard and a shard stay whole."""
     rows = [(i, "the very same text " * 5, "a") for i in range(900)] + [(1000 + i, f"text number {i // 2} " * (3 + i % 7), "b") for i in range(600)]
+    rows += [(2000 + 100 * g + i, f"group {g} of many " * 10, "b") for g in range(9) for i in range(10 + 7 * g)]
     found = kd_shards(docs(spark, rows), shards=8).collect()
-    sums, shards = collections.Counter(), collections.defaultdict(set)
+    sums, shards, weight = collections.Counter(), collections.defaultdict(set), collections.Counter()
     for r in found:
         sums[r["shard"]] += r["size"]
         shards[(r["text_crc32"], r["size"])].add(r["shard"])
+        weight[(r["text_crc32"], r["size"])] += r["size"]
+    target = sum(sums.values()) / 8
     assert len(sums) == 8 and max(sums.values()) / min(sums.values()) < 1.25
-    assert sum(len(s) > 1 for s in shards.values()) == 1
+    assert sum(target / 8 < w <= target for w in weight.values()) >= 6
+    assert all((len(shards[g]) == 1) == (w <= target) for g, w in weight.items())
+
+
+def brute_tree(texts, shards):
+    """The shard of each text: cuts at exact weighted medians of the points, in plain Python."""
+    import xxhash
+
+    points = collections.Counter()
+    of = {}
+    for t in texts:
+        raw = t.encode()
+        tie = xxhash.xxh64_intdigest(raw, 42) % (1 << 32)
+        of[t] = tuple((v << 32) + tie for v in (len(raw), len(raw) * 1000 // max(1, len(t)), t.count("\n")))
+        points[of[t]] += len(raw) + 8
+    world, out = None, {}
+
+    def cut(inside, first, k):
+        nonlocal world
+        if k == 1 or not inside:
+            out.update({p: first for p in inside})
+            return
+        span = [(max(p[i] for p in inside) >> 32) - (min(p[i] for p in inside) >> 32) for i in range(3)]
+        world = world or [max(1, s) for s in span]
+        axis = max(range(3), key=lambda i: span[i] / world[i])
+        weights = collections.Counter()
+        for p in inside:
+            weights[p[axis]] += points[p]
+        whole = sum(weights.values())
+        want, below = whole * (k // 2) / k, 0
+        for key in sorted(weights):
+            over = below + weights[key]
+            if over >= want:
+                break
+            below = over
+        upper = (over - want <= want - below or below == 0) and (over < whole or below == 0)
+        cut([p for p in inside if p[axis] < key + upper], first, k // 2)
+        cut([p for p in inside if p[axis] >= key + upper], first + k // 2, k - k // 2)
+
+    cut(list(points), 0, shards)
+    return {t: out[p] for t, p in of.items()}
+
+
+def test_kd_shards_by_brute_force(spark):
+    dice = random.Random(9)
+    texts = ["".join(dice.choice("ab é\n\U0001f600") for _ in range(dice.randrange(20, 150))) for _ in range(2400)]
+    texts += dice.sample(texts, 100) + [""]
+    for shards in (2, 7, 24):
+        expected = brute_tree(texts, shards)
+        found = kd_shards(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), shards=shards, tolerance=0.0).collect()
+        assert {r["doc_id"]: r["shard"] for r in found} == {i: expected[t] for i, t in enumerate(texts)}
 
 
 # Chat -------------------------------------------------------------------------
