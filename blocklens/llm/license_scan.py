@@ -72,7 +72,8 @@ PARAGRAPHS = [
 TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
 #: Lines without a letter or digit (blank, or a comment's marks alone) part paragraphs.
 PARAGRAPH = r"(?:^|\n)[^A-Za-z0-9\n]*(?=\n|$)"
-SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)"
+SPDX_MARK = "SPDX-License-Identifier:"
+SPDX = SPDX_MARK + r"[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)"
 SEGMENT = r"\n+|(?<=[.!?;])[ \t\r]+"
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([-._][^/]*)?$"
 #: Directories up to this many are broadcast to the files (about 100 bytes each).
@@ -130,38 +131,43 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     table = F.map_from_entries(pairs)
     anchor_list = F.array(*[F.lit(a) for a in sorted(anchors)])
 
-    def counted_in(own: Column) -> Column:
-        times = lambda t: F.size(F.filter(own, lambda x: x == t))
-        each = F.transform(F.array_distinct(own), lambda t: F.struct(t.alias("term"), times(t).alias("times"), F.element_at(table, t).alias("w")))
-        return F.struct(F.filter(each, lambda x: x.w.isNotNull()).alias("ours"), F.filter(each, lambda x: x.w.isNull()).alias("rest"), F.size(own).alias("terms"))
+    def tally(own: Column) -> Column:
+        return F.transform(F.array_distinct(own), lambda t: F.struct(t.alias("term"), F.size(F.filter(own, lambda x: x == t)).alias("times")))
 
-    def measured(x: Column) -> Column:
-        """A unit's dot products with the templates, the square of its norm over their terms, and its other terms."""
-        known = F.aggregate(x.ours, F.lit(0.0), lambda s, o: s + F.pow(o.times * F.element_at(o.w, 1), F.lit(2.0)))
-        dots = F.aggregate(x.ours, F.array(*[F.lit(0.0)] * len(vectors)), lambda s, o: F.zip_with(s, F.slice(o.w, 2, len(vectors)), lambda d, w: d + o.times * w))
-        rest = F.transform(x.rest, lambda r: F.struct(r.term.alias("term"), r.times.alias("times")))
-        return F.struct(dots.alias("dots"), known.alias("known"), rest.alias("rest"), x.terms.alias("terms"))
+    def measured(own: Column) -> Column:
+        """A unit's dot products with the templates, the square of its norm over their terms, and its terms."""
+        ours = F.transform(tally(F.filter(own, lambda x: x.isin(vocabulary))), lambda o: F.struct(o.times.alias("times"), F.element_at(table, o.term).alias("w")))
+        known = F.aggregate(ours, F.lit(0.0), lambda s, o: s + F.pow(o.times * F.element_at(o.w, 1), F.lit(2.0)))
+        dots = F.aggregate(ours, F.array(*[F.lit(0.0)] * len(vectors)), lambda s, o: F.zip_with(s, F.slice(o.w, 2, len(vectors)), lambda d, w: d + o.times * w))
+        count = F.aggregate(ours, F.lit(0), lambda s, o: s + o.times)
+        return F.struct(dots.alias("dots"), known.alias("known"), (F.size(own) - count).cast("double").alias("others"), own.alias("own"))
 
-    def possible(x: Column) -> Column:
-        """Whether a segment reaches the threshold if each of its other terms has the least weight there is, 1."""
-        least = F.aggregate(x.rest, x.known, lambda s, r: s + F.pow(r.times.cast("double"), F.lit(2.0)))
-        return F.array_max(F.zip_with(x.dots, norm_list, lambda d, n: d / n)) >= F.sqrt(least) * (threshold - 1e-6)
+    def reaches(x: Column, rest: Column) -> Column:
+        """Whether a unit reaches the threshold if its other terms add so much to the square of its norm."""
+        return F.array_max(F.zip_with(x.dots, norm_list, lambda d, n: d / n)) >= F.sqrt(x.known + rest) * (threshold - 1e-6)
+
+    def counted(x: Column) -> Column:
+        rest = tally(F.filter(x.own, lambda t: ~t.isin(vocabulary)))
+        return F.struct(x.dots.alias("dots"), x.known.alias("known"), rest.alias("rest"), F.size(x.own).alias("terms"))
 
     norm_list = F.array(*[F.lit(n) for n in norms.values()])
     # only texts that hold an anchor are cut; their segments stay in the row, so nothing is shuffled
-    some = "(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(re.escape(a) for a in sorted(anchors)) + ")(?:[^A-Za-z0-9]|$)"
+    anchored = F.arrays_overlap(terms(F.col("_text")), anchor_list)
 
     def units(pattern: str, joined: bool) -> Column:
+        # another term weighs at least 1, so it adds at least its times, and when counted the square of its times;
+        # only units that reach the threshold that way are counted, so a long paragraph is gone through once
         own = F.filter(F.transform(F.split("_text", pattern), terms), lambda own: F.arrays_overlap(own, anchor_list))
-        found = F.filter(F.transform(F.transform(own, counted_in), measured), possible)
+        found = F.transform(F.filter(F.transform(own, measured), lambda x: reaches(x, x.others)), counted)
+        found = F.filter(found, lambda x: reaches(x, F.aggregate(x.rest, F.lit(0.0), lambda s, r: s + F.pow(r.times.cast("double"), F.lit(2.0)))))
         return F.transform(found, lambda x: F.struct(x.dots.alias("dots"), x.known.alias("known"), x.rest.alias("rest"), x.terms.alias("terms"), F.lit(joined).alias("joined")))
 
     none = F.array().cast("array<struct<dots:array<double>, known:double, rest:array<struct<term:string, times:int>>, terms:int, joined:boolean>>")
-    near = F.when(F.col("_text").rlike(some), F.concat(units(SEGMENT, False), units(PARAGRAPH, True))).otherwise(none)
+    near = F.when(anchored, F.concat(units(SEGMENT, False), units(PARAGRAPH, True))).otherwise(none)
     key_names = [f"_key{i}" for i in range(len(key_cols))]
     keys = [F.col(f"`{k}`").alias(name) for k, name in zip(key_cols, key_names, strict=True)]
-    rows = files.select(*keys, path.alias("_path"), text.alias("_text")).withColumn("_near", near).withColumn("_tag", F.nullif(F.regexp_extract("_text", SPDX, 1), F.lit("")))
-    rows = rows.select(F.monotonically_increasing_id().alias("_row"), *key_names, "_path", "_near", "_tag", F.size(terms(F.regexp_extract("_text", SPDX, 0))).alias("_tagged"), F.when((F.size("_near") > 0) | F.col("_tag").isNotNull(), F.size(terms(F.col("_text")))).alias("_terms"))
+    rows = files.select(*keys, path.alias("_path"), text.alias("_text")).withColumn("_near", near).withColumn("_tag", F.when(F.contains("_text", F.lit(SPDX_MARK)), F.nullif(F.regexp_extract("_text", SPDX, 1), F.lit(""))))
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), *key_names, "_path", "_near", "_tag", F.when(F.col("_tag").isNotNull(), F.size(terms(F.regexp_extract("_text", SPDX, 0)))).otherwise(0).alias("_tagged"), F.when((F.size("_near") > 0) | F.col("_tag").isNotNull(), F.size(terms(F.col("_text")))).alias("_terms"))
     rows = scratch.save(rows, "rows")
     near = rows.select("_row", F.posexplode("_near").alias("_place", "n")).select("_row", "_place", "n.*")
     rest = near.select("_row", "_place", F.explode("rest").alias("r")).select("_row", "_place", "r.*")
