@@ -72,35 +72,38 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op4_sql() -> str:
-    from .license_scan import TEMPLATES
-
-    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
-    return (
-        r"""
-WITH t AS (SELECT * FROM (VALUES """
-        + rows
-        + r""") x(i, name, body)),
+    from .license_scan import PARAGRAPHS, TEMPLATES
+
+    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate([*TEMPLATES, *PARAGRAPHS]))
+    return _OP4_SQL.replace("{templates}", rows)
+
+
+#: Every line, sentence and paragraph of every file against every template, without filters.
+_OP4_SQL = r"""
+WITH t AS (SELECT * FROM (VALUES {templates}) x(i, name, body)),
 tt AS (SELECT i, term, count(*) AS n FROM (SELECT i, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM t) GROUP BY 1, 2),
-d AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), (floor(doc_id / 100))::BIGINT::VARCHAR, doc_id::VARCHAR || '.txt') AS path,
+d AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), (floor(doc_id / 100))::BIGINT::VARCHAR, doc_id::VARCHAR || '.txt') AS path, coalesce(text, '') AS text,
              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
-dt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(body, '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM d) WHERE term IN (SELECT term FROM tt)),
+f AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '[a-z0-9]+(?:[.][0-9]+)*')) AS term FROM d) GROUP BY 1),
 total AS (SELECT count(*) AS n FROM d),
-idf AS (SELECT term, round(ln((total.n + 1)::DOUBLE / (coalesce(f.n, 0) + 1)) + 1, 6) AS w FROM (SELECT DISTINCT term FROM tt) u LEFT JOIN (SELECT term, count(*) AS n FROM dt GROUP BY 1) f USING (term) CROSS JOIN total),
-oov AS (SELECT round(ln((n + 1)::DOUBLE / 2) + 1, 6) AS w FROM total),
+idf AS (SELECT term, round(ln((total.n + 1)::DOUBLE / (coalesce(f.n, 0) + 1)) + 1, 6) AS w FROM (SELECT term FROM f UNION SELECT term FROM tt) u LEFT JOIN f USING (term) CROSS JOIN total),
 tv AS (SELECT i, term, tt.n * w AS w FROM tt JOIN idf USING (term)),
 tn AS (SELECT i, sqrt(sum(w * w)) AS norm FROM tv GROUP BY 1),
-s0 AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(body, '([.!?;])[ 	
-]+', '' || chr(10), 'g'), '
-+')) AS seg FROM d),
-s1 AS (SELECT doc_id, row_number() OVER () AS sid, regexp_extract_all(seg, '[a-z0-9]+(?:[.][0-9]+)*') AS terms FROM s0),
-s2 AS (SELECT sid, term, count(*) AS n FROM (SELECT sid, unnest(terms) AS term FROM s1) GROUP BY 1, 2),
-s3 AS (SELECT sid, term, n * coalesce(idf.w, oov.w) AS w FROM s2 LEFT JOIN idf USING (term), oov),
+l0 AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS k FROM d),
+l1 AS (SELECT *, sum(CASE WHEN regexp_matches(line, '[a-z0-9]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS par FROM l0),
+s0 AS (SELECT doc_id, FALSE AS joined, unnest(regexp_split_to_array(regexp_replace(body, '([.!?;])[ \t\r]+', '\1' || chr(10), 'g'), '\n+')) AS seg FROM d
+       UNION ALL SELECT doc_id, TRUE, string_agg(line, chr(10) ORDER BY k) FROM l1 GROUP BY doc_id, par),
+s1 AS MATERIALIZED (SELECT doc_id, joined, row_number() OVER () AS sid, regexp_extract_all(seg, '[a-z0-9]+(?:[.][0-9]+)*') AS terms FROM s0),
+s3 AS (SELECT sid, term, n * w AS w FROM (SELECT sid, term, count(*) AS n FROM (SELECT sid, unnest(terms) AS term FROM s1) GROUP BY 1, 2) JOIN idf USING (term)),
 sn AS (SELECT sid, sqrt(sum(w * w)) AS norm FROM s3 GROUP BY 1),
 c AS (SELECT sid, i, round(sum(s3.w * tv.w) / max(sn.norm) / max(tn.norm), 6) AS score FROM s3 JOIN tv USING (term) JOIN sn USING (sid) JOIN tn USING (i) GROUP BY 1, 2),
-b AS (SELECT doc_id, sid, len(terms) AS n, score, i, row_number() OVER (PARTITION BY sid ORDER BY score DESC, i) AS r FROM c JOIN s1 USING (sid) WHERE score >= 0.75),
-o AS (SELECT doc_id, arg_min(i, (-score, i)) AS i, max(score) AS score, sum(n) AS n FROM b WHERE r = 1 GROUP BY 1),
-own AS (SELECT d.doc_id, path, name AS own_license, score, coalesce(2 * o.n >= len(regexp_extract_all(d.body, '[a-z0-9]+(?:[.][0-9]+)*')), FALSE) AS is_license_file,
-               regexp_replace(path, '/?[^/]*$', '') AS dir FROM d LEFT JOIN o USING (doc_id) LEFT JOIN t USING (i)),
+b AS (SELECT doc_id, joined, len(terms) AS n, score, i, row_number() OVER (PARTITION BY sid ORDER BY score DESC, i) AS r FROM c JOIN s1 USING (sid) WHERE score >= 0.75),
+o AS (SELECT doc_id, arg_min(i, (-score, i)) AS i, max(score) AS score, greatest(coalesce(sum(n) FILTER (joined), 0), coalesce(sum(n) FILTER (NOT joined), 0)) AS n FROM b WHERE r = 1 GROUP BY 1),
+g AS (SELECT doc_id, nullif(regexp_extract(text, 'SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)', 1), '') AS tag,
+             len(regexp_extract_all(lower(regexp_extract(text, 'SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+()-]+)*)', 0)), '[a-z0-9]+(?:[.][0-9]+)*')) AS tagged FROM d),
+own AS (SELECT d.doc_id, path, coalesce(tag, name) AS own_license, CASE WHEN tag IS NOT NULL THEN 1.0 ELSE score END AS score,
+               (tag IS NOT NULL OR name IS NOT NULL) AND 2 * greatest(coalesce(o.n, 0), tagged) >= len(regexp_extract_all(d.body, '[a-z0-9]+(?:[.][0-9]+)*')) AS is_license_file,
+               regexp_replace(path, '/?[^/]*$', '') AS dir FROM d JOIN g USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN t USING (i)),
 speaks AS (SELECT dir, arg_min(own_license, path) AS given FROM own WHERE is_license_file GROUP BY 1),
 near AS (SELECT own.doc_id, speaks.dir AS from_dir, given, row_number() OVER (PARTITION BY own.doc_id ORDER BY length(speaks.dir) DESC) AS r
          FROM own JOIN speaks ON own.dir = speaks.dir OR starts_with(own.dir, speaks.dir || '/') OR speaks.dir = '' WHERE own_license IS NULL)
@@ -108,7 +111,6 @@ SELECT own.doc_id, path, own_license, score, is_license_file, coalesce(own_licen
        CASE WHEN own_license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, from_dir
 FROM own LEFT JOIN near ON near.doc_id = own.doc_id AND r = 1
 """
-    )
 
 
 def op5_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
