@@ -123,6 +123,16 @@ def compress_entries(payloads: DataFrame, level: int = 6, threshold: float = 7.5
     return stored.unionByName(tried).withColumn("comp_len", F.octet_length("body").cast("long"))
 
 
+def deflate_part(data: Column, last: Column, level: int) -> Column:
+    """One chunk of an entry; chunks put together in order are one DEFLATE stream."""
+
+    @F.pandas_udf("binary")
+    def pack(data: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([deflate_chunk(d, level, bool(x)) for d, x in zip(data, last, strict=True)], dtype=object)
+
+    return pack(data, last)
+
+
 def deflate_in_chunks(payloads: DataFrame, keys: list[str], chunk: int = 1 << 20, level: int = 6, payload: str = "payload") -> DataFrame:
     """``keys, body``: chunks deflated apart and put together in order (one stream)."""
     from .blocks import split_blocks
@@ -130,11 +140,8 @@ def deflate_in_chunks(payloads: DataFrame, keys: list[str], chunk: int = 1 << 20
     chunks = split_blocks(payloads, chunk, keys, payload)
     sizes = payloads.select(*keys, F.octet_length(payload).alias("_size"))
 
-    @F.pandas_udf("binary")
-    def pack(data: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series([deflate_chunk(d, level, bool(x)) for d, x in zip(data, last, strict=True)], dtype=object)
-
-    packed = chunks.join(sizes, keys).select(*keys, "block_idx", pack("data", F.col("raw_off") + F.col("raw_len") == F.col("_size")).alias("part"))
+    last = F.col("raw_off") + F.col("raw_len") == F.col("_size")
+    packed = chunks.join(sizes, keys).select(*keys, "block_idx", deflate_part(F.col("data"), last, level).alias("part"))
     # a body is one cell in any case, so its parts may meet in a row
     joined = packed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block_idx", "part"))).alias("_parts"))
     glue = F.aggregate("_parts", F.lit(b""), lambda s, p: F.concat(s, p.part))

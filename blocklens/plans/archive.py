@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..functions.checksum import fold_crc32
 from ..operators import blocks as B
 from ..operators import codecs as C
@@ -14,6 +16,7 @@ from ..operators import entries as E
 from ..operators import frames as Z
 from ..sources import register, tree
 from ..sources.formats import DEFAULT_BLOCK
+from ..sources.placed import extract_blocks, extract_zip, work_folder, write_archive
 
 
 def probed_blocks(payloads: DataFrame, keys: list[str], block_size: int) -> DataFrame:
@@ -36,24 +39,26 @@ def pack(spark: SparkSession, root: str, target: str, level: int = 3, block_size
     """Writes a block archive; returns its statistics."""
     register(spark)
     began = time.time()
+    if os.path.exists(target) and not overwrite:
+        raise FileExistsError(f"{target} exists")
     entries, blocks, _ = packed_blocks(spark, root, level, block_size, exclude_hidden, probe)
     E.preflight(target, None, directory=True)
-    blocks = blocks.persist()
-    sums = fold_crc32(blocks, ["entry_idx"])
-    rows = entries.join(sums.withColumnRenamed("size", "_s"), "entry_idx", "left").join(blocks.select("entry_idx", "block_idx", "frame"), "entry_idx", "left")
-    rows = rows.select("entry_idx", F.coalesce("block_idx", F.lit(0)).alias("block_idx"), "name", "is_directory", "unix_mode", "mtime", F.lit("zstd").alias("method"), F.when(F.col("is_directory"), 0).otherwise(block_size).cast("long").alias("block_size"), F.col("size").alias("uncompressed_size"), F.coalesce("crc32", F.lit(0)).alias("crc32"), F.col("frame").alias("body"))
-    rows.write.format("blockarchive").mode("overwrite" if overwrite else "append").save(target)
-    found = blocks.agg(F.sum("raw_len"), F.sum("comp_len")).first()
-    count = entries.count()
-    blocks.unpersist()
+    with work_folder(spark, target) as save:
+        blocks = save(blocks.select("entry_idx", "block_idx", "raw_off", "raw_len", "crc32", "comp_len", F.col("frame").alias("body")), "blocks")
+        rows = entries.join(fold_crc32(blocks, ["entry_idx"]).drop("size"), "entry_idx", "left")
+        size = F.when(F.col("is_directory"), 0).otherwise(block_size).cast("long")
+        rows = rows.select("entry_idx", "name", "is_directory", "unix_mode", "mtime", F.lit("zstd").alias("method"), size.alias("block_size"), F.col("size").alias("uncompressed_size"), F.coalesce("crc32", F.lit(0)).alias("crc32"))
+        rows = save(rows, "walked")
+        write_archive(rows, blocks.select("entry_idx", "block_idx", "body"), target, False, overwrite, save)
+        found = blocks.agg(F.sum("raw_len"), F.sum("comp_len")).first()
+        count = rows.count()
     return {"entries": count, "bytes_in": found[0] or 0, "bytes_out": found[1] or 0, "elapsed": time.time() - began}
 
 
 def unpacked(spark: SparkSession, archive: str, names: list[str] | None = None, check: bool = True) -> DataFrame:
     """``entry_idx, name, content, is_directory, unix_mode, mtime`` of a block archive's entries, checked.
 
-    A file's content is one cell here; larger entries are read block by block
-    with the source's ``payload`` option and ``codecs.decode_blocks``.
+    A file's content is one cell here; ``unpack`` writes entries of any size block by block.
     """
     register(spark)
     entries = spark.read.format("blockarchive").load(archive)
@@ -73,8 +78,20 @@ def unpacked(spark: SparkSession, archive: str, names: list[str] | None = None,
 
 
 def unpack(spark: SparkSession, archive: str, target: str, names: list[str] | None = None, check: bool = True) -> dict:
+    """Extracts a block archive; each block is decoded and written on its own, whatever the entry's size."""
+    register(spark)
     began = time.time()
-    found = E.extract(unpacked(spark, archive, names, check), target).agg(F.count("*"), F.sum("size")).first()
+    entries = spark.read.format("blockarchive").load(archive)
+    frames = spark.read.format("blockarchive").option("payload", True).load(archive)
+    if names is not None:
+        entries = E.filter_entries(entries, names)
+        frames = frames.filter(F.col("name").isin(sorted(set(names))))
+    os.makedirs(target, exist_ok=True)
+    with work_folder(spark, os.path.join(target, ".unpack")) as save:
+        entries = save(E.safe_entries(entries), "entries")
+        E.preflight(target, entries.agg(F.sum("uncompressed_size")).first()[0] or 0)
+        raw = C.decode_blocks(frames, ["archive", "entry_idx", "name", "raw_off"])
+        found = extract_blocks(entries, raw, target, check, save).agg(F.count("*"), F.sum("size")).first()
     return {"entries": found[0], "bytes_out": found[1] or 0, "elapsed": time.time() - began}
 
 
@@ -87,30 +104,39 @@ def literal_report(spark: SparkSession, archive: str) -> tuple[DataFrame, DataFr
     return inner, Z.frame_buckets(classified), Z.gate(inner)
 
 
-def zip_entries(spark: SparkSession, root: str, level: int = 6, exclude_hidden: bool = False, probe: bool = True, probe_block: int = 1 << 20) -> DataFrame:
-    """Entries of a tree with ``method, body, comp_len, crc32`` for a ZIP file."""
-    entries, _ = tree.walk(spark, root, exclude_hidden)
-    files = entries.join(tree.contents(entries), "entry_idx", "left")
-    payload = F.coalesce("payload", F.lit(b""))
-    files = files.withColumn("payload", payload)
-    if probe and level > 0:
-        probed = B.block_entropy(B.split_blocks(files, probe_block, ["entry_idx"]), ["entry_idx", "block_idx"])
-        files = files.join(B.mean_entropy(probed, ["entry_idx"]), "entry_idx", "left")
-    else:
-        files = files.withColumn("mean_entropy", F.lit(0.0))
-    return C.compress_entries(files, level)
+def zip_tree(spark: SparkSession, root: str, target: str, level: int = 6, exclude_hidden: bool = False, probe: bool = True, overwrite: bool = False, chunk: int = 32 << 20, probe_block: int = 1 << 20) -> dict:
+    """Writes a ZIP file; entries above ``chunk`` bytes are deflated chunk by chunk, as one stream.
 
-
-def zip_tree(spark: SparkSession, root: str, target: str, level: int = 6, exclude_hidden: bool = False, probe: bool = True, overwrite: bool = False) -> dict:
+    Entries whose mean entropy says that they will not shrink are stored, and
+    so are those that did not.
+    """
     register(spark)
     began = time.time()
+    if os.path.exists(target) and not overwrite:
+        raise FileExistsError(f"{target} exists")
     E.preflight(target, None, directory=True)
-    rows = zip_entries(spark, root, level, exclude_hidden, probe).persist()
-    out = rows.select("entry_idx", F.lit(0).alias("block_idx"), "name", "is_directory", "unix_mode", "mtime", "method", F.lit(0).cast("long").alias("block_size"), F.col("size").alias("uncompressed_size"), "crc32", "body")
-    out.write.format("ziparchive").mode("overwrite" if overwrite else "append").save(target)
-    found = rows.agg(F.count("*"), F.sum("size"), F.sum("comp_len")).first()
-    rows.unpersist()
-    return {"entries": found[0], "bytes_in": found[1] or 0, "bytes_out": found[2] or 0, "elapsed": time.time() - began}
+    with work_folder(spark, target) as save:
+        entries = save(tree.walk(spark, root, exclude_hidden)[0], "walked")
+        tried = entries.filter("NOT is_directory AND size > 0") if level > 0 else entries.limit(0)
+        if probe and level > 0:
+            pieces = B.split_blocks(tree.contents(tried, max(chunk, probe_block) // probe_block * probe_block).withColumnRenamed("block_idx", "chunk"), probe_block, ["entry_idx", "chunk"], "data")
+            means = B.mean_entropy(B.block_entropy(pieces, ["entry_idx", "chunk", "block_idx"]), ["entry_idx"])
+            tried = tried.join(means, "entry_idx").filter(~S.incompressible(F.col("mean_entropy"), 7.5)).drop("mean_entropy")
+        columns = ["entry_idx", "block_idx", "raw_off", "raw_len", "crc32", "body"]
+        chunks = tree.contents(tried, chunk).join(tried.select("entry_idx", "size"), "entry_idx").withColumn("crc32", F.crc32("data"))
+        packed = save(chunks.withColumn("body", C.deflate_part(F.col("data"), F.col("raw_off") + F.col("raw_len") == F.col("size"), level)).select(columns), "packed")
+        sums = packed.groupBy("entry_idx").agg(F.sum(F.octet_length("body")).alias("_out"), F.sum("raw_len").alias("_in"))
+        shrunk = save(sums.filter("_out < _in").select("entry_idx"), "shrunk")
+        plain = tree.contents(entries.join(shrunk, "entry_idx", "left_anti"), chunk).withColumn("crc32", F.crc32("data")).withColumnRenamed("data", "body")
+        blocks = packed.join(shrunk, "entry_idx", "left_semi").select(columns).unionByName(save(plain.select(columns), "stored"))
+        method = F.when(F.col("_s").isNotNull(), "deflate").otherwise("stored")
+        rows = entries.join(fold_crc32(blocks, ["entry_idx"]).drop("size"), "entry_idx", "left").join(shrunk.withColumn("_s", F.lit(1)), "entry_idx", "left")
+        rows = rows.select("entry_idx", "name", "is_directory", "unix_mode", "mtime", method.alias("method"), F.lit(0).cast("long").alias("block_size"), F.col("size").alias("uncompressed_size"), F.coalesce("crc32", F.lit(0)).alias("crc32"))
+        rows = save(rows, "rows")
+        write_archive(rows, blocks.select("entry_idx", "block_idx", "body"), target, True, overwrite, save)
+        count, size = rows.agg(F.count("*"), F.sum("uncompressed_size")).first()
+        out = blocks.agg(F.sum(F.octet_length("body"))).first()[0]
+    return {"entries": count, "bytes_in": size or 0, "bytes_out": out or 0, "elapsed": time.time() - began}
 
 
 def unzipped(spark: SparkSession, archive: str, names: list[str] | None = None, check: bool = True) -> DataFrame:
@@ -132,6 +158,15 @@ def unzipped(spark: SparkSession, archive: str, names: list[str] | None = None,
 
 
 def unzip(spark: SparkSession, archive: str, target: str, names: list[str] | None = None, check: bool = True) -> dict:
+    """Extracts a ZIP file; each entry is unpacked as a stream, whatever its size."""
+    register(spark)
     began = time.time()
-    found = E.extract(unzipped(spark, archive, names, check), target).agg(F.count("*"), F.sum("size")).first()
+    entries = spark.read.format("ziparchive").load(archive)
+    if names is not None:
+        entries = E.filter_entries(entries, names)
+    os.makedirs(target, exist_ok=True)
+    with work_folder(spark, os.path.join(target, ".unzip")) as save:
+        entries = save(E.safe_entries(entries), "entries")
+        E.preflight(target, entries.agg(F.sum("uncompressed_size")).first()[0] or 0)
+        found = extract_zip(entries, target, check, save).agg(F.count("*"), F.sum("size")).first()
     return {"entries": found[0], "bytes_out": found[1] or 0, "elapsed": time.time() - began}

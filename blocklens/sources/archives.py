@@ -3,21 +3,25 @@
 Reading gives a row per entry and touches no payload, unless ``payload`` is
 true, when block archives give a row per frame (so a cell stays within a block)
 and ZIP files a row per entry with its packed ``body``.  ``path`` is a file, a
-folder or a pattern; there is a partition per archive.  Equality and ``IN``
+folder or a pattern (``suffix`` names other suffixes for folders).  There is a
+partition per archive; payloads of archives above ``splitBytes`` are dealt out
+as runs of frames or entries, planned from the metadata.  Equality and ``IN``
 filters on ``name`` are applied inside the reader.
 
 Writing takes rows that are packed already.  Each task writes its frames to a
 part file next to the target; the commit puts the parts together in the order
-of ``entry_idx`` and ``block_idx`` by copying file ranges, and the target
-appears under its name only when it is whole.
+of ``entry_idx`` and ``block_idx`` by copying file ranges on the driver, and
+the target appears under its name only when it is whole.  That is for small
+archives; ``placed.write_archive``, which ``pack`` and ``zip_tree`` use, has
+all tasks write in place.
 """
 
 from __future__ import annotations
 
 import datetime
 import glob
+import json
 import os
-import pickle
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -31,11 +35,15 @@ from ..schemas import ENTRIES
 from . import formats as f
 
 _UTC = datetime.timezone.utc
+#: Bytes of payloads in a partition.
+_SPLIT = 128 << 20
 
 
 @dataclass
 class _Archive(InputPartition):
     path: str
+    #: frames as (entry_idx, name, block size, size, first block, place, lengths), or ZIP entries; None: all of the archive
+    runs: list | None = None
 
 
 def _row(path: str, idx: int, e: f.Entry) -> tuple:
@@ -46,6 +54,8 @@ def _row(path: str, idx: int, e: f.Entry) -> tuple:
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, suffix: str):
         self.path, self.payload, self.suffix = options["path"], str(options.get("payload", "false")).lower() == "true", suffix
+        self.suffix = str(options.get("suffix", self.suffix))
+        self.split = int(options.get("splitBytes", _SPLIT))
         self.names: set[str] | None = None
 
     def pushFilters(self, filters):
@@ -63,32 +73,62 @@ class _Reader(DataSourceReader):
             found = glob.glob(self.path)
         if not found:
             raise FileNotFoundError(self.path)
-        return [_Archive(p) for p in sorted(found)]
+        whole = [_Archive(p) for p in sorted(found)]
+        if not self.payload:
+            return whole
+        return [q for p in whole for q in ([p] if os.path.getsize(p.path) <= self.split else self.dealt(p.path))]
+
+    def dealt(self, path: str) -> Iterator[_Archive]:
+        """Runs of one archive, each of about ``splitBytes``."""
+        runs, held = [], 0
+        with open(path, "rb") as file:
+            for run, size in self.pieces(file):
+                runs.append(run)
+                held += size
+                if held >= self.split:
+                    yield _Archive(path, runs)
+                    runs, held = [], 0
+        if runs:
+            yield _Archive(path, runs)
 
     def chosen(self, entries: Iterator[f.Entry]) -> Iterator[tuple[int, f.Entry]]:
         return ((i, e) for i, e in enumerate(entries) if self.names is None or e.name in self.names)
 
 
 class _BlockReader(_Reader):
+    def pieces(self, file):
+        """An entry's frames, as runs of up to ``splitBytes``."""
+        for idx, e in self.chosen(f.read_block_archive(file)):
+            at, first, lengths, held = e.data_offset, 0, [], 0
+            for k, length in enumerate(e.block_lengths):
+                lengths.append(length)
+                held += length
+                if held >= self.split or k + 1 == len(e.block_lengths):
+                    yield (idx, e.name, e.block_size, e.uncompressed_size, first, at, lengths), held
+                    at, first, lengths, held = at + held, k + 1, [], 0
+
     def read(self, partition):
         with open(partition.path, "rb") as file:
-            rows = list(self.chosen(f.read_block_archive(file))) if self.payload else self.chosen(f.read_block_archive(file))
-            for idx, e in rows:
-                if not self.payload:
+            if not self.payload:
+                for idx, e in self.chosen(f.read_block_archive(file)):
                     yield _row(partition.path, idx, e)
-                    continue
-                at = e.data_offset
-                for k, length in enumerate(e.block_lengths):
+                return
+            runs = partition.runs if partition.runs is not None else [run for run, _ in self.pieces(file)]
+            for idx, name, block_size, size, first, at, lengths in runs:
+                for k, length in enumerate(lengths, first):
                     file.seek(at)
-                    raw = min(e.block_size, e.uncompressed_size - k * e.block_size)
-                    yield partition.path, idx, e.name, k, k * e.block_size, raw, at, length, file.read(length)
+                    yield partition.path, idx, name, k, k * block_size, min(block_size, size - k * block_size), at, length, file.read(length)
                     at += length
 
 
 class _ZipReader(_Reader):
+    def pieces(self, file):
+        for idx, e in self.chosen(f.read_zip(file)):
+            yield (idx, e), e.compressed_size
+
     def read(self, partition):
         with open(partition.path, "rb") as file:
-            for idx, e in list(self.chosen(f.read_zip(file))):
+            for idx, e in partition.runs if partition.runs is not None else [run for run, _ in self.pieces(file)]:
                 if not self.payload:
                     yield _row(partition.path, idx, e)
                     continue
@@ -130,8 +170,8 @@ class _Writer(DataSourceWriter):
                 pieces.append((r["entry_idx"], r["block_idx"] or 0, part.tell(), None if body is None else len(body), head))
                 if body is not None:
                     part.write(body)
-        with open(f"{stem}.index", "wb") as index:
-            pickle.dump(pieces, index)
+        with open(f"{stem}.index", "w", encoding="ascii") as index:
+            json.dump(pieces, index)
         return _Part(stem, f"{stem}.index")
 
     def abort(self, messages):
@@ -144,8 +184,8 @@ class _Writer(DataSourceWriter):
         pieces = []
         for m in messages:
             if m is not None:
-                with open(m.pieces, "rb") as index:
-                    pieces += [(*p, m.path) for p in pickle.load(index)]
+                with open(m.pieces, encoding="ascii") as index:
+                    pieces += [(*p, m.path) for p in json.load(index)]
         pieces.sort(key=lambda p: p[:2])
         whole = f"{self.path}.whole-{uuid.uuid4().hex}"
         with open(whole, "wb") as out:

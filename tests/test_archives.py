@@ -222,3 +222,53 @@ def test_command_line(spark, root, tmp_path, capsys):
     assert cli.main(["zip", str(root), str(tmp_path / "c.zip")]) == 0 and cli.main(["unzip", str(tmp_path / "c.zip"), str(tmp_path / "z")]) == 0
     assert cli.main(["info"]) == 0
     assert subprocess.run([sys.executable, "-c", "import blocklens.cli"], cwd=os.path.dirname(os.path.dirname(__file__))).returncode == 0
+
+
+def test_one_entry_over_many_partitions(spark, tmp_path):
+    """A large entry is read, decoded and written by many tasks, in both formats."""
+    (tmp_path / "in").mkdir()
+    data = mixed(900_000, 3, run=40_000, noise=10_000)
+    (tmp_path / "in/large.bin").write_bytes(data)
+    (tmp_path / "in/small.txt").write_text("small " * 4000)
+    target = str(tmp_path / "x.blka")
+    archive.pack(spark, str(tmp_path / "in"), target, block_size=8192)
+    frames = spark.read.format("blockarchive").option("payload", True).option("splitBytes", 50_000).load(target)
+    spread = frames.select("name", "block_idx", F.spark_partition_id().alias("p"))
+    assert spread.filter("name = 'in/large.bin'").agg(F.countDistinct("p"), F.countDistinct("block_idx"), F.count("*")).first()[0:3][1:] == (110, 110)
+    assert spread.filter("name = 'in/large.bin'").agg(F.countDistinct("p")).first()[0] > 2
+    whole = spark.read.format("blockarchive").option("payload", True).load(target)
+    assert frames.exceptAll(whole).count() == 0 and frames.count() == whole.count()
+    archive.unpack(spark, target, str(tmp_path / "back"))
+    assert snapshot(tmp_path / "back/in") == snapshot(tmp_path / "in")
+    zipped = str(tmp_path / "x.zip")
+    archive.zip_tree(spark, str(tmp_path / "in"), zipped, chunk=65536, probe_block=16384)
+    with zipfile.ZipFile(zipped) as z:
+        assert z.testzip() is None and z.read("in/large.bin") == data and z.getinfo("in/large.bin").compress_type == zipfile.ZIP_DEFLATED
+    archive.unzip(spark, zipped, str(tmp_path / "zback"))
+    assert snapshot(tmp_path / "zback/in") == snapshot(tmp_path / "in")
+    bodies = spark.read.format("ziparchive").option("payload", True)
+    assert bodies.option("splitBytes", 1000).load(zipped).exceptAll(bodies.option("splitBytes", 1 << 30).load(zipped)).count() == 0
+    assert not [n for n in os.listdir(tmp_path) if "work" in n or "whole" in n] and not [n for n in os.listdir(tmp_path / "back") if n != "in"]
+
+
+def test_damaged_archives_leave_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("something to shrink " * 5000)
+    target, zipped = tmp_path / "x.blka", tmp_path / "x.zip"
+    archive.pack(spark, str(tmp_path / "in"), str(target))
+    data = bytearray(target.read_bytes())
+    at = data.index(b"in/a.txt") + 8 + 2 + 8 + 1 + 4 + 8 + 8  # the entry's checksum
+    data[at] ^= 1
+    target.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="integrity"):
+        archive.unpack(spark, str(target), str(tmp_path / "o"))
+    assert not [n for _, _, names in os.walk(tmp_path / "o") for n in names]
+    archive.unpack(spark, str(target), str(tmp_path / "o"), check=False)
+    assert (tmp_path / "o/in/a.txt").read_bytes() == (tmp_path / "in/a.txt").read_bytes()
+    archive.zip_tree(spark, str(tmp_path / "in"), str(zipped))
+    data = bytearray(zipped.read_bytes())
+    data[60] ^= 0x55
+    zipped.write_bytes(bytes(data))
+    with pytest.raises(Exception):
+        archive.unzip(spark, str(zipped), str(tmp_path / "z"))
+    assert not [n for _, _, names in os.walk(tmp_path / "z") for n in names]
