@@ -20,6 +20,8 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("output")
         p.add_argument("--level", type=int, default=level)
         p.add_argument("--block-kb", type=int, default=1024)
+        if name == "zip":
+            p.add_argument("--chunk-kb", type=int, default=32 << 10, help="larger entries are deflated in chunks, by many tasks")
         p.add_argument("--exclude-hidden", action="store_true")
         p.add_argument("--no-entropy-probe", action="store_true")
         p.add_argument("--heatmap", action="store_true")
@@ -56,16 +58,17 @@ def main(argv: list[str] | None = None) -> int:
             if args.command == "pack":
                 stats = archive.pack(spark, args.input, args.output, args.level, block, args.exclude_hidden, not args.no_entropy_probe, args.overwrite)
             else:
-                stats = archive.zip_tree(spark, args.input, args.output, args.level, args.exclude_hidden, not args.no_entropy_probe, args.overwrite)
+                stats = archive.zip_tree(spark, args.input, args.output, args.level, args.exclude_hidden, not args.no_entropy_probe, args.overwrite, chunk=args.chunk_kb << 10)
             print(f"{stats['entries']} entries, {stats['bytes_in']} bytes in, {stats['bytes_out']} bytes out, {stats['elapsed']:.2f} s")
             if args.heatmap or args.ppm:
                 _, blocks, _ = archive.packed_blocks(spark, args.input, args.level, block, args.exclude_hidden)
                 samples = blocks.select("entry_idx", "block_idx", "entropy", F.col("raw_len").alias("original_bytes"), F.col("comp_len").alias("stored_bytes"), "disposition")
                 if args.heatmap:
-                    print(render.ansi_map(samples, metrics.heatmap_summary(samples).first().asDict(), ["entry_idx", "block_idx"], elapsed=stats["elapsed"]))
+                    for text in render.ansi_lines(samples, metrics.heatmap_summary(samples).first().asDict(), order=["entry_idx", "block_idx"], elapsed=stats["elapsed"]):
+                        print(text, end="")
                 if args.ppm:
                     with open(args.ppm, "wb") as file:
-                        file.write(render.ppm_map(samples, ["entry_idx", "block_idx"]))
+                        file.writelines(render.ppm_rows(samples, order=["entry_idx", "block_idx"]))
             if args.analyze:
                 print(render.skips_text(tree.walk(spark, args.input, args.exclude_hidden)[1]))
         else:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,37 +13,38 @@ from ..functions import scalar as S
 from ..schemas import BUCKETS
 
 RESET = "\x1b[0m"
-#: Cells that a map shows at most; larger sample tables are refused, so aggregate or sample them first.
-MAX_CELLS = 100_000
 
 
-def _cells(samples: DataFrame, order: list[str], depth: float) -> list:
+def _cells(samples: DataFrame, order: list[str], depth: float) -> tuple[int, Iterator]:
+    """The number of samples and their cells, fetched part by part."""
     ratio = S.sample_ratio(F.col("stored_bytes"), F.col("original_bytes"))
     bright = S.cell_brightness(ratio, depth)
     rows = samples.orderBy(*order).select(S.colour(F.col("entropy"), bright).alias("front"), S.colour(F.col("entropy"), bright * 0.25).alias("back"), S.bar_glyph(ratio).alias("bar"))
-    found = rows.limit(MAX_CELLS + 1).collect()
-    if len(found) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} samples; aggregate them before drawing")
-    return found
+    return samples.count(), rows.toLocalIterator()
 
 
 def _boxed(text: str, width: int, visible: int | None = None) -> str:
     return "│" + text + " " * max(0, width - (len(text) if visible is None else visible)) + "│\n"
 
 
-def ansi_map(samples: DataFrame, summary: dict, order: list[str] = ("entropy",), width: int = 64, title: str = "Compressibility Map", lines: list[str] = (), legend: bool = True, totals: bool = True, elapsed: float | None = None) -> str:
-    """Header, grid, legend and summary; ``summary`` is a row of ``metrics.heatmap_summary`` as a dict."""
-    cells = _cells(samples, list(order), 0.45)
-    if not cells:
-        return "  (no compressible blocks recorded)\n"
+def ansi_map(samples: DataFrame, summary: dict, order: list[str] = ("entropy",), **how) -> str:
+    """``ansi_lines`` as one text."""
+    return "".join(ansi_lines(samples, summary, order, **how))
+
+
+def ansi_lines(samples: DataFrame, summary: dict, order: list[str] = ("entropy",), width: int = 64, title: str = "Compressibility Map", lines: list[str] = (), legend: bool = True, totals: bool = True, elapsed: float | None = None) -> Iterator[str]:
+    """Header, grid, legend and summary, line by line; ``summary`` is a row of ``metrics.heatmap_summary`` as a dict."""
+    size, cells = _cells(samples, list(order), 0.45)
+    if not size:
+        yield "  (no compressible blocks recorded)\n"
+        return
     inner = width - 2
     paint = lambda kind, c: f"\x1b[{kind};2;{c['r']};{c['g']};{c['b']}m"
-    out = "╭" + "─" * inner + "╮\n" + _boxed(f"  {title}", inner) + "".join(_boxed("  " + x, inner) for x in lines) + "├" + "─" * inner + "┤\n" + _boxed("", inner)
-    columns = min(max(8, inner - 4), max(8, len(cells)))
-    for start in range(0, len(cells), columns):
-        row = cells[start : start + columns]
-        out += _boxed("  " + "".join(paint(38, c["front"]) + paint(48, c["back"]) + c["bar"] + RESET for c in row), inner, 2 + len(row))
-    out += _boxed("", inner)
+    yield "╭" + "─" * inner + "╮\n" + _boxed(f"  {title}", inner) + "".join(_boxed("  " + x, inner) for x in lines) + "├" + "─" * inner + "┤\n" + _boxed("", inner)
+    columns = min(max(8, inner - 4), max(8, size))
+    while row := list(islice(cells, columns)):
+        yield _boxed("  " + "".join(paint(38, c["front"]) + paint(48, c["back"]) + c["bar"] + RESET for c in row), inner, 2 + len(row))
+    out = _boxed("", inner)
     if legend:
         steps = max(16, min(inner - 6, 48))
         spark = samples.sparkSession
@@ -61,23 +64,22 @@ def ansi_map(samples: DataFrame, summary: dict, order: list[str] = ("entropy",),
         out += _boxed(f"  Bytes in/out: {mb(summary['total_original']):.2f} MB → {mb(summary['total_stored']):.2f} MB  ({summary['overall_ratio'] * 100:.2f}%)", inner)
         if elapsed:
             out += _boxed(f"  Throughput:   {elapsed:.2f} s wall, {mb(summary['total_original']) / elapsed:.0f} MB/s", inner)
-    return out + "╰" + "─" * inner + "╯\n"
-
-
-def ppm_map(samples: DataFrame, order: list[str] = ("entropy",), cell: int = 16, columns: int = 64) -> bytes:
-    """Binary PPM image, a square of ``cell`` pixels per sample."""
-    cells = _cells(samples, list(order), 0.55)
-    across = max(1, min(columns, len(cells)))
-    down = -(-len(cells) // across)
-    blank = (0, 0, 0)
-    out = bytearray(f"P6\n{across * cell} {down * cell}\n255\n".encode())
-    for row in range(down):
-        line = bytearray()
-        for k in range(row * across, (row + 1) * across):
-            c = cells[k]["front"] if k < len(cells) else None
-            line += bytes((c["r"], c["g"], c["b"]) if c else blank) * cell
-        out += line * cell
-    return bytes(out)
+    yield out + "╰" + "─" * inner + "╯\n"
+
+
+def ppm_map(samples: DataFrame, order: list[str] = ("entropy",), **how) -> bytes:
+    """``ppm_rows`` as one image."""
+    return b"".join(ppm_rows(samples, order, **how))
+
+
+def ppm_rows(samples: DataFrame, order: list[str] = ("entropy",), cell: int = 16, columns: int = 64) -> Iterator[bytes]:
+    """Binary PPM image, a square of ``cell`` pixels per sample: its header, then a strip per row of samples."""
+    size, cells = _cells(samples, list(order), 0.55)
+    across = max(1, min(columns, size))
+    yield f"P6\n{across * cell} {-(-size // across) * cell}\n255\n".encode()
+    while row := list(islice(cells, across)):
+        line = b"".join(bytes((c["front"]["r"], c["front"]["g"], c["front"]["b"])) * cell for c in row)
+        yield line.ljust(across * cell * 3, b"\0") * cell
 
 
 def listing_text(archive: str, rows: DataFrame) -> str:

@@ -256,17 +256,22 @@ def _entries(spark, sf_dir):
     return P.documents(spark, sf_dir).select("entry_idx", "name", F.lit(False).alias("is_directory"), F.octet_length("payload").cast("long").alias("uncompressed_size"), F.timestamp_seconds(F.col("entry_idx") * 86399).alias("mtime"))
 
 
-_ASKED = ["src0/en/20.txt", "src1/en/1.txt", "src8/en/28.txt"]
+def _asked(entries: DataFrame) -> list[str]:
+    """The first and the last name."""
+    return [n for n in entries.agg(F.min("name"), F.max("name")).first() if n is not None]
 
 
-@query(f"WITH {_ENTRIES} SELECT entry_idx, name, uncompressed_size FROM en WHERE name IN ('{_ASKED[1]}')")
+@query(f"WITH {_ENTRIES} SELECT entry_idx, name, uncompressed_size FROM en WHERE name IN (SELECT min(name) FROM en UNION ALL SELECT max(name) FROM en)")
 def entry_filter(spark, sf_dir):
-    return E.filter_entries(_entries(spark, sf_dir), [_ASKED[1]]).select("entry_idx", "name", "uncompressed_size")
+    rows = _entries(spark, sf_dir)
+    return E.filter_entries(rows, _asked(rows)).select("entry_idx", "name", "uncompressed_size")
 
 
-@query(f"WITH {_ENTRIES} SELECT name FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for n in [*_ASKED, 'no/such.bin'])}) a(name) WHERE name NOT IN (SELECT name FROM en)")
+@query(f"WITH {_ENTRIES} SELECT name FROM (SELECT min(name) || '.gone' AS name FROM en UNION ALL SELECT max(name) FROM en UNION ALL SELECT 'no/such.bin') a WHERE name NOT IN (SELECT name FROM en)")
 def missing_entries(spark, sf_dir):
-    return E.missing_entries(_entries(spark, sf_dir), [*_ASKED, "no/such.bin"])
+    rows = _entries(spark, sf_dir)
+    first, last = _asked(rows)
+    return E.missing_entries(rows, [f"{first}.gone", last, "no/such.bin"])
 
 
 @query(f"WITH {_ENTRIES} SELECT entry_idx, uncompressed_size AS size, strftime(make_timestamp(entry_idx * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS modified, name FROM en")
@@ -283,12 +288,10 @@ _PATHS = ["/etc/passwd", "../escape", "a/../../escape", "", "ok\0name", "sub/dir
 _PATH_SQL = ", ".join("(" + str(i) + ", " + ("'" + p.replace("\0", "' || chr(0) || '") + "'") + ")" for i, p in enumerate(_PATHS))
 
 
-@query(f"SELECT i, coalesce(name <> '' AND NOT contains(name, chr(0)) AND NOT starts_with(name, '/') AND NOT list_contains(string_split(name, '/'), '..'), FALSE) AS safe FROM (VALUES {_PATH_SQL}) v(i, name) UNION ALL SELECT 100 + row_number() OVER (ORDER BY page_id), NOT starts_with(url, '/') AND NOT list_contains(string_split(url, '/'), '..') FROM pages")
+@query(f"SELECT i, coalesce(name <> '' AND NOT contains(name, chr(0)) AND NOT starts_with(name, '/') AND NOT list_contains(string_split(name, '/'), '..'), FALSE) AS safe FROM (VALUES {_PATH_SQL}) v(i, name) UNION ALL SELECT 100 + page_id, NOT starts_with(url, '/') AND NOT list_contains(string_split(url, '/'), '..') FROM pages")
 def safe_paths(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = spark.createDataFrame(list(enumerate(_PATHS)), "i long, name string")
-    urls = _table(spark, sf_dir, "pages").select((F.row_number().over(Window.orderBy("page_id")) + 100).cast("long").alias("i"), F.col("url").alias("name"))
+    urls = _table(spark, sf_dir, "pages").select((F.col("page_id") + 100).cast("long").alias("i"), F.col("url").alias("name"))
     return rows.union(urls).select("i", S.safe_path(F.col("name")).alias("safe"))
 
 
@@ -359,19 +362,64 @@ def gate_share(spark, sf_dir):
     return found.withColumns({"literal_share": _r4(F.col("literal_share")), "total_share": _r4(F.col("total_share"))})
 
 
-@query()
+def _little(n: F.Column, width: int) -> F.Column:
+    """The ``width`` bytes of a number, lowest first."""
+    h = F.lpad(F.hex(n.cast("long")), 2 * width, "0")
+    return F.unhex(F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(width))]))
+
+
+def _planted(spark, sf_dir):
+    """Frames built by hand from blocks of documents: raw, RLE, and compressed ones with raw or RLE literals and no sequences."""
+    kind = F.pmod(F.col("entry_idx") + F.col("block_idx"), F.lit(4)).cast("int")
+    rows = _doc_blocks(spark, sf_dir, SMALL).select("entry_idx", "block_idx", "raw_len", kind.alias("kind"), "data")
+    first, n = F.substring("data", 1, 1), F.col("raw_len")
+    section = lambda literal, body: F.concat(_little(n * 16 + 12 + literal, 3), body, F.unhex(F.lit("00")))
+    body = F.when(kind == 0, F.col("data")).when(kind == 1, first).when(kind == 2, section(0, F.col("data"))).otherwise(section(1, first))
+    size, inner = F.when(kind == 1, n).otherwise(F.octet_length(body)), F.least(kind, F.lit(2))
+    frame = F.concat(F.unhex(F.lit("28B52FFD0030")), _little(size * 8 + inner * 2 + 1, 3), body)
+    return rows.select("entry_idx", "block_idx", "raw_len", "kind", frame.alias("data"))
+
+
+_KINDS = f"WITH {_DOCS}, {_blocks_sql(SMALL)}, k AS (SELECT entry_idx, block_idx, d, (length(d) // 2)::BIGINT AS n, (entry_idx + block_idx) % 4 AS kind FROM b)"
+
+
+@query(f"{_KINDS}, q AS (SELECT CASE kind WHEN 2 THEN 'rawLiterals' WHEN 3 THEN 'rleLiterals' ELSE 'noLiterals' END AS bucket, n FROM k), d AS (SELECT unnest(range(0, 6))::INTEGER AS ordinal, unnest({_BUCKET_LIST}) AS bucket) SELECT ordinal, d.bucket, count(q.bucket) AS n, coalesce(sum(q.n), 0)::BIGINT AS regenerated_bytes FROM d LEFT JOIN q ON q.bucket = d.bucket GROUP BY 1, 2")
 def frame_literals(spark, sf_dir):
-    """Literal distribution of real frames (what a codec's version makes of them has no oracle)."""
-    frames = _doc_blocks(spark, sf_dir, 1 << 16).select("entry_idx", "block_idx", C.zstd_compress(F.col("data"), F.lit(3)).alias("data"))
-    return Z.inner_buckets(Z.classify(frames, ["entry_idx", "block_idx"]))
+    """Literal distribution of frames whose sections are known."""
+    return Z.inner_buckets(Z.classify(_planted(spark, sf_dir), ["entry_idx", "block_idx"]))
+
+
+@query(f"{_KINDS} SELECT entry_idx, block_idx, md5(unhex(CASE WHEN kind IN (1, 3) THEN repeat(substr(d, 1, 2), n) ELSE d END)) AS digest FROM k")
+def planted_frames_decoded(spark, sf_dir):
+    """Raw and RLE frames are copied out, the others decoded by the codec."""
+    return C.decode_blocks(_planted(spark, sf_dir), ["entry_idx", "block_idx"]).select("entry_idx", "block_idx", F.md5("raw").alias("digest"))
+
+
+@query(f"{_KINDS} SELECT entry_idx, block_idx, CASE WHEN kind < 2 THEN 'decoded' ELSE 'needsFullDecoder' END AS raw_state, CASE kind WHEN 2 THEN 'rawLiterals' WHEN 3 THEN 'rleLiterals' ELSE 'noLiterals' END AS dominant FROM k")
+def frame_states(spark, sf_dir):
+    return Z.classify(_planted(spark, sf_dir), ["entry_idx", "block_idx"]).select("entry_idx", "block_idx", "raw_state", "dominant")
 
 
-@query("SELECT count(*) AS frames, count(*) AS parsed FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 0")
+@query(f"WITH {_DOCS}, {_blocks_sql(SMALL)} SELECT entry_idx, block_idx, ((length(d) // 2) % 2)::INTEGER AS decoder, md5(unhex(d)) AS digest FROM b")
+def fallback_decoded(spark, sf_dir):
+    """Where the first decoder's output is damaged (blocks of odd length here), the next one decodes."""
+
+    def damaged(frame: bytes, capacity: int) -> bytes:
+        raw = C.zstd_decode(frame, capacity)
+        return raw[:-1] if capacity % 2 else raw
+
+    blocks = _doc_blocks(spark, sf_dir, SMALL).select("entry_idx", "block_idx", "raw_len", C.zstd_compress(F.col("data"), F.lit(3)).alias("data"))
+    found = C.decode_blocks(blocks, ["entry_idx", "block_idx"], decoders=(damaged, C.zstd_decode))
+    return found.select("entry_idx", "block_idx", "decoder", F.md5("raw").alias("digest"))
+
+
+@query("SELECT doc_id AS entry_idx, doc_id % 4 <> 1 AS parsed FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 0")
 def frames_parsed(spark, sf_dir):
-    """All frames of the codec are parsed to their end."""
+    """Frames of the codec are parsed to their end, unless they are cut off (every fourth is)."""
     docs = P.documents(spark, sf_dir).filter(F.octet_length("payload") > 0)
     frames = docs.select("entry_idx", C.zstd_compress(F.col("payload"), F.lit(3)).alias("data"))
-    return Z.classify(frames, ["entry_idx"]).agg(F.count("*").alias("frames"), F.count_if("fully_parsed").alias("parsed"))
+    cut = F.when(F.col("entry_idx") % 4 == 1, F.substring("data", F.lit(1), F.octet_length("data") - 1)).otherwise(F.col("data"))
+    return Z.classify(frames.withColumn("data", cut), ["entry_idx"]).select("entry_idx", F.col("fully_parsed").alias("parsed"))
 
 
 # Stages, progress, skips --------------------------------------------------------
@@ -459,7 +507,7 @@ def bench_rows(spark, sf_dir):
 
 # Codecs -------------------------------------------------------------------------
 
-_TRIPS = "SELECT doc_id AS entry_idx, octet_length(encode(coalesce(text, '')))::BIGINT AS size, TRUE AS same FROM documents"
+_TRIPS = "SELECT doc_id AS entry_idx, octet_length(encode(coalesce(text, '')))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents"
 
 
 @query(_TRIPS.replace("FROM documents", "FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 0"))
@@ -469,14 +517,15 @@ def zstd_roundtrip(spark, sf_dir):
     blocks = _doc_blocks(spark, sf_dir, SMALL).select("entry_idx", "block_idx", "raw_off", "raw_len", C.zstd_compress(F.col("data"), F.lit(3)).alias("data"))
     raw = C.decode_blocks(blocks, ["entry_idx", "block_idx", "raw_off"])
     recorded = docs.filter(F.octet_length("payload") > 0).select("entry_idx", F.octet_length("payload").cast("long").alias("uncompressed_size"), F.crc32("payload").alias("crc32"))
-    return C.verify(raw, recorded, ["entry_idx"], strict=False).select("entry_idx", "size", F.col("ok").alias("same"))
+    whole = raw.groupBy("entry_idx").agg(F.sort_array(F.collect_list(F.struct("raw_off", "raw"))).alias("_b")).select("entry_idx", F.md5(F.aggregate("_b", F.lit(b""), lambda s, b: F.concat(s, b.raw))).alias("digest"))
+    return C.verify(raw, recorded, ["entry_idx"]).filter("ok").join(whole, "entry_idx").select("entry_idx", "size", "digest")
 
 
 @query(_TRIPS)
 def deflate_roundtrip(spark, sf_dir):
     docs = P.documents(spark, sf_dir).withColumn("size", F.octet_length("payload").cast("long"))
     packed = docs.withColumn("body", C.deflate(F.col("payload"), F.lit(6)))
-    return packed.select("entry_idx", "size", (C.inflate(F.col("body"), F.col("size")) == F.col("payload")).alias("same"))
+    return packed.select("entry_idx", "size", F.md5(C.inflate(F.col("body"), F.col("size"))).alias("digest"))
 
 
 @query(_TRIPS)
@@ -484,13 +533,103 @@ def chunked_deflate_roundtrip(spark, sf_dir):
     """Chunks deflated apart are one stream when put together."""
     docs = P.documents(spark, sf_dir).withColumn("size", F.octet_length("payload").cast("long"))
     packed = C.deflate_in_chunks(docs, ["entry_idx", "size", "payload"], SMALL)
-    return packed.select("entry_idx", "size", (C.inflate(F.col("body"), F.col("size")) == F.col("payload")).alias("same"))
+    return packed.select("entry_idx", "size", F.md5(C.inflate(F.col("body"), F.col("size"))).alias("digest"))
 
 
-@query("SELECT doc_id AS entry_idx, TRUE AS ok FROM documents")
+@query("SELECT doc_id AS entry_idx, CASE doc_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE substr(h, 3) || substr(h, 1, 2) = h END AS ok FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)")
 def content_verify(spark, sf_dir):
-    rows = P.documents(spark, sf_dir).select("entry_idx", F.col("payload").alias("content"), F.crc32("payload").alias("crc32"), F.octet_length("payload").alias("uncompressed_size"))
-    return C.verify_content(rows).select("entry_idx", "ok")
+    """Contents read back whole, with a byte too many, or with the first byte at the end."""
+    rows = P.documents(spark, sf_dir).select("entry_idx", "payload", F.crc32("payload").alias("crc32"), F.octet_length("payload").alias("uncompressed_size"))
+    turned = F.concat(F.substring("payload", F.lit(2), F.octet_length("payload")), F.substring("payload", 1, 1))
+    read = F.when(F.col("entry_idx") % 3 == 0, F.col("payload")).when(F.col("entry_idx") % 3 == 1, F.concat("payload", F.unhex(F.lit("00")))).otherwise(turned)
+    return C.verify_content(rows.withColumn("content", read)).select("entry_idx", "ok")
+
+
+# Trees and archives ---------------------------------------------------------------
+
+
+def _shared_folder(spark) -> str:
+    """A new folder that all executors see: below ``spark.checkpoint.dir``, or on one machine a temporary one."""
+    import os
+    import tempfile
+    import uuid
+
+    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="blocklens-")
+    path = os.path.join(root, f"archives-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
+def _tree(spark, sf_dir) -> str:
+    """Documents as files of a tree."""
+    path = f"{_shared_folder(spark)}/tree"
+    docs = P.documents(spark, sf_dir).select("name", F.col("payload").alias("content"), F.lit(False).alias("is_directory"), F.lit(0o640).alias("unix_mode"), F.timestamp_seconds(F.lit(86400)).alias("mtime"))
+    E.extract(docs, path).agg(F.count("*")).first()
+    return path
+
+
+_WALKED = f"WITH {_ENTRIES}, w AS (SELECT 'tree/' || name AS name, FALSE AS is_directory, uncompressed_size AS size, md5(coalesce(text, '')) AS digest FROM en JOIN documents ON doc_id = entry_idx UNION ALL SELECT DISTINCT 'tree/' || regexp_replace(name, '[^/]*$', ''), TRUE, 0, NULL FROM en UNION ALL SELECT DISTINCT 'tree/' || split_part(name, '/', 1) || '/', TRUE, 0, NULL FROM en UNION ALL SELECT 'tree/', TRUE, 0, NULL)"
+
+
+@query(f"{_WALKED} SELECT row_number() OVER (ORDER BY name) - 1 AS entry_idx, name, is_directory, size FROM w")
+def tree_walk(spark, sf_dir):
+    from ..sources import register, tree
+
+    register(spark)
+    return tree.walk(spark, _tree(spark, sf_dir))[0].select("entry_idx", "name", "is_directory", "size")
+
+
+@query(f"{_WALKED} SELECT sum(size)::BIGINT AS bytes FROM w")
+def tree_bytes(spark, sf_dir):
+    from ..sources import register, tree
+
+    register(spark)
+    return tree.total_bytes(tree.walk(spark, _tree(spark, sf_dir))[0])
+
+
+def _packed(spark, sf_dir, kind: str) -> str:
+    from . import archive
+
+    path = _tree(spark, sf_dir)
+    if kind == "zip":
+        archive.zip_tree(spark, path, f"{path}.zip", chunk=SMALL, probe_block=SMALL)
+    else:
+        archive.pack(spark, path, f"{path}.blka", block_size=SMALL)
+    return f"{path}.{kind}"
+
+
+@query(f"{_WALKED} SELECT name, is_directory, size AS uncompressed_size, ((size + {SMALL - 1}) // {SMALL})::INTEGER AS blocks FROM w")
+def archive_listing(spark, sf_dir):
+    """Entries of an archive packed from a tree, from its metadata."""
+    rows = spark.read.format("blockarchive").load(_packed(spark, sf_dir, "blka"))
+    return rows.select("name", "is_directory", "uncompressed_size", F.size("block_lengths").alias("blocks"))
+
+
+@query(f"{_WALKED} SELECT name, digest FROM w")
+def archive_extract(spark, sf_dir):
+    """Contents of an archive packed from a tree, decoded and checked."""
+    from . import archive
+
+    return archive.unpacked(spark, _packed(spark, sf_dir, "blka")).select("name", F.md5("content").alias("digest"))
+
+
+@query(f"{_WALKED} SELECT name, is_directory, size AS uncompressed_size FROM w")
+def zip_listing(spark, sf_dir):
+    return spark.read.format("ziparchive").load(_packed(spark, sf_dir, "zip")).select("name", "is_directory", "uncompressed_size")
+
+
+@query(f"{_WALKED} SELECT name, digest FROM w")
+def zip_extract(spark, sf_dir):
+    from . import archive
+
+    return archive.unzipped(spark, _packed(spark, sf_dir, "zip")).select("name", F.md5("content").alias("digest"))
+
+
+# Streams --------------------------------------------------------------------------
 
 
 @query("SELECT event_type AS stage, count(*) AS n, round(sum(value), 2) AS seconds FROM events GROUP BY 1")

@@ -98,8 +98,15 @@ def walk(spark: SparkSession, path: str, exclude_hidden: bool = False) -> tuple[
     """Entries (ordered by name, numbered by ``entry_idx``) and skips of a tree on a shared file system."""
     rows = spark.read.format("filetree").option("excludeHidden", str(exclude_hidden).lower()).load(path)
     entries = rows.filter("reason IS NULL")
-    # names decide the order, so archives of equal trees are equal; a tree's metadata is small beside its bytes
-    number = F.row_number().over(Window.orderBy(F.encode("name", "UTF-8"))) - 1
+    # names decide the order, so archives of equal trees are equal; they are numbered inside the buckets of
+    # their first bytes, after the entries of the buckets before
+    name = F.encode("name", "UTF-8")
+    bucket = F.substring(name, 1, len(os.path.basename(os.path.realpath(path)).encode()) + 4)
+    entries = entries.withColumn("_bucket", bucket)
+    counts = entries.groupBy(F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
+    counts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    entries = entries.join(counts, F.col("_bucket") == F.col("_b"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy(name)) - 1
     entries = entries.select(number.cast("long").alias("entry_idx"), "path", "name", "is_directory", "size", "mtime", "unix_mode")
     return entries, rows.filter("reason IS NOT NULL").select("rel", "reason", F.col("size").alias("bytes"), "items")
 
