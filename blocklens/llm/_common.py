@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -21,16 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a folder of
-    our own made, and then it is set as the context's checkpoint folder.
+    Only where the session names none and runs on one machine (tests) is a
+    folder of our own made, and then it is set as the context's checkpoint
+    folder; on a cluster a missing setting is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+    if (own := context._jsc.sc().getCheckpointDir()).isDefined():
         return own.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="blocklens-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="blocklens-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 class Memory(dict):
@@ -114,9 +119,15 @@ def give_back() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in record batches of at most a few megabytes, whatever their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Whole texts go to Python in record batches of at most a few megabytes, whatever their length.
+
+    The settings are the session's, as a lazy result runs after its operator
+    has returned; smaller values that the session has already stay.
+    """
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def text_parts(batch, column: int, limit: int):

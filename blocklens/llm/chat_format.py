@@ -40,7 +40,8 @@ def chat_examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 
     One row per example; offsets count code points from 0, end exclusive.  Rows
     of a conversation go by ``turn`` (null first), then role and text; a null
-    role or text counts as empty, a null conversation id is a conversation.
+    role or text counts as empty, a null conversation id is a conversation;
+    repeated rows are turns each, and an empty table gives no examples.
     A conversation's turns meet in one row, since its context is their whole
     text; the examples leave that row one at a time.
     """
@@ -79,14 +80,21 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def chat_digest(examples: DataFrame) -> DataFrame:
-    """Per conversation what its formatted examples hold, read back from them."""
+    """Per conversation what its formatted examples hold, read back from them.
+
+    The turns are read from the last example; the digest of every earlier one
+    must be that of the last one's beginning, or the query fails.
+    """
     turns = parse_turns(F.col("formatted"))
     turn_text = F.array_join(F.transform(turns, lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = unescape(F.substring("formatted", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
     read = examples.select(
         "conv_id", "example", F.char_length("formatted").cast("long").alias("_chars"), loss.alias("_loss"),
-        F.when(F.col("last"), F.struct(F.size(turns).cast("long").alias("n"), F.sha2(turn_text, 256).alias("sha"))).alias("_whole"),
+        F.when(F.col("last"), F.struct(F.size(turns).cast("long").alias("n"), F.sha2(turn_text, 256).alias("sha"), F.col("formatted"))).alias("_whole"), F.md5("formatted").alias("_md5"),
     )
-    found = read.groupBy("conv_id").agg(F.max("_whole").alias("_whole"), F.sum("_chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("example", "_loss"))).alias("_losses"))
+    each = F.struct("example", "_loss", "_chars", "_md5")
+    found = read.groupBy("conv_id").agg(F.max("_whole").alias("_whole"), F.sum("_chars").alias("formatted_chars"), F.sort_array(F.collect_list(each)).alias("_losses"))
+    same = F.forall("_losses", lambda x: F.md5(F.substring("_whole.formatted", F.lit(1), x["_chars"].cast("int"))) == x["_md5"])
+    found = found.filter(F.when(same, True).otherwise(F.raise_error(F.lit("an example's context is not its conversation's beginning")).cast("boolean")))
     loss = F.array_join(F.transform("_losses", lambda x: x["_loss"]), "")
     return found.select("conv_id", F.col("_whole.n").alias("n_turns"), F.col("_whole.sha").alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")

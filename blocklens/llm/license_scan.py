@@ -108,8 +108,9 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     ``inherited`` or ``none``; ``from_dir`` names the directory inherited from
     (the empty string is the root).  Of several licence files in a directory
     the one with the smallest path speaks.  Null texts count as empty, null
-    paths as files in the root; repeated rows are rows each; an empty table
-    gives an empty result.
+    paths as files in the root; texts of any length are scanned whole; repeated
+    rows are rows each; an empty table gives an empty result, and other columns
+    of any name play no part.
     """
     spark = files.sparkSession
     scratch = Scratch(spark, "license-scan")

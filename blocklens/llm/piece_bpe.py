@@ -159,7 +159,10 @@ def shared(content: bytes) -> PieceBpe:
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, remembered: int = _MEMORY) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, a row per input row.
 
-    Null text counts as empty and has the begin and end ids alone.  With
+    Null text counts as empty and has the begin and end ids alone; texts of any
+    length are encoded whole; repeated rows and rows with one id are rows each
+    (null ids stay null), so ties cannot matter; an empty table gives an empty
+    result, and other columns of any name play no part.  With
     ``keep_ids`` the ids and the decoded text follow as ``ids, decoded``.  A
     worker remembers up to twice ``remembered`` chunks, of about 200 bytes each.
     """

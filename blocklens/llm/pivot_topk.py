@@ -166,6 +166,10 @@ def pivot_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     queries = scratch.save(queries, "queries")
     best = scratch.save(queries.select("query", F.explode("best").alias("b")).select("query", F.col("b.id").alias("id"), F.col("b.score").alias("score")), "best-0")
     shapes = scratch.save(index.select("block", "p", "lo", "hi"), "shapes")
+    reach = np.full((2, len(centre)), np.inf)  # nearest and farthest vector of each pivot; at most 1024 rows
+    reach[1] = -np.inf
+    for r in shapes.groupBy("p").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+        reach[:, r["p"]] = r["lo"], r["hi"]
     for turn, upto in enumerate(_ROUNDS):
         from_ = _ROUNDS[turn - 1] if turn else 0
         if from_ >= len(centre):
@@ -182,7 +186,8 @@ def pivot_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
                     gap = np.sqrt(np.maximum(0, ((centre - q) ** 2).sum(1)))
                     r = np.inf if row["bound"] is None else np.sqrt(max(0.0, (q**2).sum() + most - 2.0 * row["bound"]))
                     r += 1e-6 * (1 + r + gap.max()) if np.isfinite(r) else 0
-                    for p in np.argsort(gap, kind="stable")[from_:upto].tolist():
+                    turn = np.argsort(gap, kind="stable")[from_:upto]
+                    for p in turn[(gap[turn] - r <= reach[1][turn]) & (gap[turn] + r >= reach[0][turn])].tolist():
                         out["query"].append(row["query"])
                         out["p"].append(p)
                         out["lo"].append(gap[p] - r)

@@ -76,7 +76,13 @@ def by_bytes(items: list[str], limit: int) -> Iterator[list[str]]:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", split: bool = True) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit``, a row per input row; null text counts as empty."""
+    """``doc_id, n_bytes, n_tokens, over_limit``, a row per input row.
+
+    Null text counts as empty; texts of any length are counted whole; repeated
+    rows and rows with one id are rows each (null ids stay null), so ties cannot
+    matter; an empty table gives an empty result, and other columns of any name
+    play no part.
+    """
     small_batches(docs.sparkSession)
     kind, content = load(vocabulary)
 

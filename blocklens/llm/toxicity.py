@@ -38,6 +38,8 @@ _PATTERNS = [p for size in (2, 3) for p in combinations(range(1, _SPAN), size)]
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _BITS = 20
 _WINDOW, _STEP = 24, 12
+#: Words that begin where none stands out.
+_FEW = 50
 #: Margins beyond this say no more about a text.
 _FAR = 2.0
 #: Words a worker remembers, and words whose subsequences are in memory at a time.
@@ -210,6 +212,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = 256, penalty: fl
     plain = Counter(w for b in clean for w in b)
     evidence = _evidence(toxic, clean)
     marks = Counter(w for b in toxic for w in b if evidence[w] >= math.log(20) and plain[w] * 20 <= len(clean))
+    if not marks:  # few or balanced labels: the words with most evidence begin, and the rounds choose again
+        marks = Counter({w: sum(w in b for b in toxic) for w in sorted(evidence, key=lambda w: (-evidence[w], w))[:_FEW] if evidence[w] > 0})
     ordinary = sorted(plain, key=lambda w: (-plain[w], w))
     rare = sorted(ordinary[3000:])
     dice.shuffle(rare)
@@ -222,7 +226,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 256, penalty: fl
     for _ in range(rounds):
         positive = [w for w, _ in sorted(marks.items(), key=lambda x: (-x[1], x[0]))][:2000]
         if not positive:
-            return Model(None, 0.0, 0.0, sum(labels) / len(labels))
+            break
         negative = [w for w in dict.fromkeys(negative) if w not in marks]
         other = [_changed(w, dice) for w in positive]
         harmless = [_changed(w, dice) for w in negative[:1500]]
@@ -252,6 +256,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = 256, penalty: fl
         marks = Counter(w for b in toxic for w in likely & b)
         hard = sorted((w for w in plain if w not in marks), key=lambda w: -score[w])
         negative = negative + hard[:3000]
+    if model is None:
+        return Model(None, 0.0, 0.0, sum(labels) / len(labels))
     best = np.clip([max(map(score.__getitem__, b), default=-_FAR) for b in bags], -_FAR, _FAR)
     model.slope, model.shift = _logistic(best, np.array(labels, float))
     return model
@@ -272,12 +278,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """``_id, _t, _y``: at most so many labelled texts of each class, picked by a hash of their id; never held-out ones."""
+    """``_id, _t, _y``: at most so many labelled texts of each class, picked by a hash of their id; never held-out ones.
+
+    A label other than 0 and 1, a null id and a label without a document are
+    left out; an id with both labels counts as toxic, and of documents that
+    share an id the text that comes first is taken, so the bound holds for repeated
+    rows, too.  Empty tables give an empty sample.
+    """
     marked = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).cast("int").alias("_y"))
     by = F.xxhash64("_l")
     picked = marked.filter("_y = 1").orderBy(by, "_l").limit(toxic_rows).union(marked.filter("_y = 0").orderBy(by, "_l").limit(clean_rows))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
-    return rows.join(F.broadcast(picked), F.col("_id") == F.col("_l")).select("_id", "_t", "_y")  # bounded by the two limits
+    rows = rows.join(F.broadcast(picked), F.col("_id") == F.col("_l"))  # bounded by the two limits
+    return rows.groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
 
 
 def fit(sampled: DataFrame) -> Model:
@@ -293,6 +306,8 @@ def fit(sampled: DataFrame) -> Model:
 
     # each row is sorted by id, so the model does not depend on how rows were dealt out
     row = sampled.repartition(1).mapInArrow(tidy(run), "table binary, offset double, slope double, shift double").first()
+    if row is None:  # an empty sample may have no task
+        return train([], [])
     return Model(None if row["table"] is None else np.frombuffer(row["table"], np.float32), row["offset"], row["slope"], row["shift"])
 
 
@@ -306,8 +321,12 @@ _SCORES: dict[int, Memory] = {}
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``doc_id, held_out, score, predicted``, a row per input row, of whole texts.
 
-    A null, empty or wordless text gets the score of no evidence.  With
-    ``carry`` the input's columns come first and ``_score, _predicted`` follow.
+    A null, empty or wordless text gets the score of no evidence; a text of any
+    length is scored whole, by its best word.  The score depends on the text
+    alone, so repeated rows are rows each with one score, and ties cannot
+    matter; null ids are not held out; an empty table gives an empty result.
+    With ``carry`` the input's columns come first, whatever their names, and
+    ``_score, _predicted`` follow.
     """
     spark = docs.sparkSession
     small_batches(docs.sparkSession)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -21,7 +22,7 @@ from blocklens.llm.pareto_mix import length_rate, pareto_mix
 from blocklens.llm.piece_bpe import PieceBpe, encode_decode
 from blocklens.llm.pivot_topk import pivot_topk
 from blocklens.llm.token_counts import by_bytes, count_tokens, counter, load
-from blocklens.llm.toxicity import Model, fit, sample, score_texts, train, words
+from blocklens.llm.toxicity import Model, fit, kernels, sample, score_texts, train, words
 
 P = pytest.importorskip("public_tokenizers")
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
@@ -83,7 +84,7 @@ def test_oracle(spark, sf_dir, duck, name):
 
 
 def norm(text):
-    return "".join(" " if c in " \t\n\v\f\r" else c for c in (text or "")) if False else __import__("re").sub(r"[ \t-\r]+", " ", text or "")
+    return re.sub(r"[ \t-\r]+", " ", text or "")
 
 
 @pytest.mark.parametrize("digest", [None, lambda t: F.unhex(F.lit("00")), lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 2))])
@@ -228,6 +229,19 @@ def test_chat_examples(spark):
     assert chat_examples(df.limit(0)).count() == 0
 
 
+def test_chat_long_and_empty(spark):
+    """A conversation of many turns is whole in its examples; an empty table has none; a wrong context is found."""
+    rows = [(9, i, "assistant" if i % 2 else "user", f"turn {i} <\\#>") for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat_digest(chat_examples(df)).collect()
+    assert len(found) == 1 and found[0]["n_turns"] == 300
+    assert found[0]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert chat_digest(chat_examples(df.limit(0))).count() == 0
+    wrong = chat_examples(df).withColumn("formatted", F.when(F.col("example") == 5, F.replace("formatted", F.lit("turn 3 "), F.lit("turn x "))).otherwise(F.col("formatted")))
+    with pytest.raises(Exception, match="context"):
+        chat_digest(wrong).collect()
+
+
 # Mixing -----------------------------------------------------------------------
 
 
@@ -322,6 +336,21 @@ def test_encode_decode(edge, empty):
     assert encode_decode(empty, PIECES).count() == 0
 
 
+def test_tokenisers_on_all_documents(spark, sf_dir):
+    """Every document of the smallest data set, against the libraries on whole texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in frame.select("doc_id", "text").collect()]
+    sp, whole = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(WORDS)
+    ids = sp.encode([t for _, t in rows], add_bos=True, add_eos=True)
+    expected = [(i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(x).encode()).hexdigest()) for (i, _), x in zip(rows, ids, strict=True)]
+    assert ordered(encode_decode(frame, PIECES).collect()) == ordered(expected)
+    counts = [len(whole.encode(t, add_special_tokens=False)) for _, t in rows]
+    assert ordered(count_tokens(frame, WORDS).collect()) == ordered((i, len(t.encode()), n, n > 2048) for (i, t), n in zip(rows, counts, strict=True))
+
+
 def test_token_counts(edge, empty):
     from tokenizers import Tokenizer
 
@@ -385,7 +414,7 @@ def test_pivot_topk_repeated_query(spark):
 def brute_links(texts):
     sets = {}
     for i, t in texts:
-        w = [x for x in __import__("re").split(r"[ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
+        w = [x for x in re.split(r"[ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     ids = list(sets)
     links = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -460,6 +489,25 @@ def test_ngram_join_null_ids(spark, monkeypatch):
     assert ordered(ngram_join(df).collect()) == expected
 
 
+def test_ngram_join_edge_rows(spark, edge):
+    """Nulls, very long texts, repeated rows and clashing column names."""
+    found = collections.Counter(map(tuple, ngram_join(edge).collect()))
+    distinct = {(i, t) for i, t, _ in EDGE}
+    expected = collections.Counter({r: sum(i == r[0] for i, _, _ in EDGE) for r in expected_join(sorted(distinct, key=repr))})
+    twice = next(r for r in expected if r[0] == 10)
+    expected[(*twice[:3], 1)] = expected.pop(twice)  # the repeated row links with its copy
+    assert found == expected
+
+
+def test_ngram_join_stays_by_row(spark):
+    """Of a group one row stays; a row that only shares its id with a near copy stays, too."""
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words[:50]), " ".join(words[2:52])
+    df = spark.createDataFrame([(1, a), (7, b), (7, "quite another text"), (None, a.upper()), (9, None), (9, None)], "doc_id long, text string")
+    found = ngram_join(df, stays=True).collect()
+    assert ordered((r["doc_id"], r["n_shingles"], r["stays"]) for r in found) == ordered([(1, 46, True), (7, 46, False), (7, 1, True), (None, 46, False), (9, 0, True), (9, 0, True)])
+
+
 def test_trie_walk():
     dice = random.Random(1)
     for _ in range(60):
@@ -519,6 +567,16 @@ def test_license_scan_headers(spark):
     assert found == {name: name for name in texts}
 
 
+def test_license_scan_long_texts_and_ties(spark):
+    """A notice deep inside a very long paragraph line is found; of equal cosines the earlier template wins."""
+    mit = "Released under the MIT License."
+    rows = [("a/long.txt", "lorem ipsum dolor " * 60_000 + "\n" + mit + "\n" + "sit amet " * 20_000), ("a/twice.txt", f"{mit}\n{mit}"), ("a/twice.txt", f"{mit}\n{mit}"), ("b/x.txt", None)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    templates = [("First", mit), ("Second", mit)]
+    found = ordered((r["path"], r["own_license"], r["is_license_file"]) for r in license_scan(df, templates=templates).collect())
+    assert found == ordered([("a/long.txt", "First", False), ("a/twice.txt", "First", True), ("a/twice.txt", "First", True), ("b/x.txt", None, False)])
+
+
 # Toxicity ---------------------------------------------------------------------------
 
 
@@ -559,3 +617,45 @@ def test_toxicity_without_labels():
     assert train([], []).probability(None) == 0.0 and train(["a b"], [1]).probability(5.0) == 1.0
     assert isinstance(train(["a b", "c d"], [1, 0]), Model)
     assert words("I d i o t, x") == ["idiotx"] and len(words("z" * 100)) == 8 and words("...") == []
+
+
+def test_kernel_by_brute_force():
+    """The gapped-subsequence kernel, written out over all places of all subsequences."""
+    import itertools
+
+    def features(s):
+        s, out, norm = f"\x02{s}\x03", collections.Counter(), 0.0
+        for size in (3, 4):
+            for at in itertools.combinations(range(len(s)), size):
+                span = at[-1] - at[0]
+                if span < 7:
+                    value = 0.7 ** (span - size + 1)
+                    out["".join(s[i] for i in at)] += value
+                    norm += value * value
+        return {k: v / math.sqrt(norm) for k, v in out.items()}
+
+    strings = ["idiot", "i.d.i.o.t", "idjot", "table", "tableau", "grumpus", "a", "\u00e9t\u00e9"]
+    found = kernels(strings, strings)
+    for i, a in enumerate(map(features, strings)):
+        for j, b in enumerate(map(features, strings)):
+            assert found[i][j] == pytest.approx(sum(v * b.get(k, 0.0) for k, v in a.items()), abs=0.02)  # features are hashed to 2^20
+    assert found[0][1] > 3 * found[0][3]
+
+
+def test_toxicity_balanced_and_few_labels(spark):
+    """Without a word that stands out the best ones begin; repeated rows have one score."""
+    rows = [r for r in toxic_texts(3, 400) if r[2]][:40] + [r for r in toxic_texts(5, 400) if not r[2]][:40]
+    model = train([t for _, t, _ in rows], [y for _, _, y in rows])
+    assert model.table is not None
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)] * 2, "doc_id long, text string")
+    found = score_texts(df, model).collect()
+    assert sum((r["predicted"] == 1) == bool(rows[r["doc_id"]][2]) for r in found) >= 0.9 * len(found)
+    assert len({(r["doc_id"], r["score"]) for r in found}) == len(rows)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert sample(df, labels).count() == 0 and fit(sample(df, labels)).probability(None) == 0.0
+
+
+def test_sample_is_bounded_by_ids(spark):
+    df = spark.createDataFrame([(3, "b")] * 50 + [(3, "a")] * 50 + [(4, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (4, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    assert {tuple(r) for r in sample(df, labels).collect()} <= {(3, "a", 1), (4, "c", 0)} and sample(df, labels).count() <= 2

@@ -72,6 +72,27 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     out = pipeline.run(spark, folder[0])
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"] and out.count() > 100
+    assert out.filter(F.size("ids") != F.col("n_tokens")).count() == 0 and out.filter(F.sha2("decoded", 256) != F.col("decoded_sha256")).count() == 0
     assert pipeline.ORACLE_SQL is None
     assert out.agg(F.min("n_tokens")).first()[0] >= 2
+
+
+def test_edge_tables(spark, tmp_path):
+    """Empty tables, no labels, a repeated id with another text, ties, nulls and clashing names."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _t string, _row string, size long, stays string"
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, words, "en", "a"), (2, words + " more", "en", "a"), (2, "another text of its own", "en", "b"), (3, None, None, None), (None, "no id here", "en", "a"), (1, words, "en", "a"), (5, "tie one", "en", "b"), (6, "tie two", "en", "b")]
+    for name, some in (("empty", []), ("small", rows)):
+        spark.createDataFrame([(*r, None, "x", "y", 7, "z") for r in some], kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 0, 1)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    stages = dict(pipeline.STAGES)
+    docs = spark.read.parquet(f"{tmp_path}/small/documents.parquet")
+    clean = stages["toxicity"](spark, docs, f"{tmp_path}/small")
+    assert clean.columns == pipeline.COLUMNS and clean.count() == len(rows)
+    single = stages["exact dedup"](spark, clean, f"{tmp_path}/small")
+    assert single.count() == len(rows) - 1
+    apart = stages["near dedup"](spark, single, f"{tmp_path}/small")
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in apart.collect()) == [(0, "no i"), (1, "w0 w"), (2, "anot"), (3, ""), (5, "tie "), (6, "tie ")]
+    assert pipeline.run(spark, f"{tmp_path}/small").count() >= 1
