@@ -1,7 +1,9 @@
 """From raw documents to encoded training text: five stages over the operators of blocklens.llm.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is written
-and read again as the next stage's ``docs``.
+and read again as the next stage's ``docs``.  Texts of any length are handled
+whole, empty tables give empty tables, and columns besides ``COLUMNS`` are left
+behind by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from blocklens.llm._common import Scratch, table
 from blocklens.llm.exact_dedup import exact_dedup
 from blocklens.llm.ngram_join import ngram_join, row_key
-from blocklens.llm.pareto_mix import pareto_mix
+from blocklens.llm.pareto_mix import length_rate, pareto_mix
 from blocklens.llm.piece_bpe import encode_decode
 from blocklens.llm.toxicity import fit, sample, score_texts
 
@@ -22,13 +24,22 @@ _BROADCAST_ROWS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go.
+
+    Labels of one kind alone (or none) give no classifier, and then all stay.
+    Null and empty texts stay; repeated rows are judged one by one.
+    """
     model = fit(sample(docs, table(spark, sf_dir, "labels")))
+    if model.table is None:
+        return docs.select(COLUMNS)
     return score_texts(docs.select(COLUMNS), model, carry=True).filter("_predicted = 0").select(COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one document stays: the one with the smallest id."""
+    """Of equal texts, one document stays: the one with the smallest id (null ids last, of repeated rows any one).
+
+    Null, empty and blank texts are equal where their white space runs are.
+    """
     return exact_dedup(docs.select(COLUMNS), carry=True).filter("_kept").select(COLUMNS)
 
 
@@ -48,16 +59,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: a row for each copy that the mix takes."""
-    taken = pareto_mix(docs.select(COLUMNS), weights=(5, 2, 1), cap=3.0, seed="mix", carry=True)
+    """Sources in their target shares: a row for each copy that the mix takes.
+
+    A null source is a source of its own; a repeated row is drawn on its own.
+    """
+    taken = pareto_mix(docs.select(COLUMNS), weights=(5, 2, 1), cap=3.0, seed="mix", rate=length_rate, carry=True)
     return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_taken_copies").cast("int")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix, checked and decoded again."""
+    """Token ids of every row of the mix, checked, with what they decode to; null text counts as empty."""
     import public_tokenizers
 
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mix", mix), ("encode", encode)]
