@@ -635,11 +635,9 @@ def zip_extract(spark, sf_dir):
 @query("SELECT event_type AS stage, count(*) AS n, round(sum(value), 2) AS seconds FROM events GROUP BY 1")
 def stream_stage_totals(spark, sf_dir):
     """Event totals by a stream that takes what is there and stops."""
-    import uuid
-
     from ..streaming.progress import run_once
 
     events = _table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     totals = stream.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("seconds"))
-    return run_once(totals, f"stages_{uuid.uuid4().hex}")
+    return run_once(totals, f"file://{_shared_folder(spark)}")

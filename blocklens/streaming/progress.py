@@ -57,8 +57,14 @@ def stage_stream(events: DataFrame, late: str = "10 minutes", window: str = "1 h
     return rows.agg(F.count("*").alias("n"), F.sum("value").alias("seconds")).select("stage", F.col("window.start").alias("start"), "n", "seconds")
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns the result table (tests and small states)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there now and returns its result (mode ``append``: of all its batches), written in ``folder``."""
+    spark, last = stream.sparkSession, [0]
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        last[0] = number
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch-*" if mode == "append" else f"{folder}/batch-{last[0]}")

@@ -81,16 +81,16 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.log").write_text('{"phase":"pack","processed":5,"total":10,"bytesPerSecond":1,"etaSeconds":null,"done":false}\nnoise\n')
     (tmp_path / "in/b.log").write_text('{"phase":"pack","processed":10,"total":10,"bytesPerSecond":1,"etaSeconds":0.0,"done":true}\n')
-    found = G.run_once(G.latest_by_phase(G.progress_stream(spark, str(tmp_path / "in"))), "latest").collect()
+    found = G.run_once(G.latest_by_phase(G.progress_stream(spark, str(tmp_path / "in"))), str(tmp_path / "latest")).collect()
     assert [(r["phase"], r["processed"], r["done"], r["fraction"]) for r in found] == [("pack", 10, True, 1.0)]
-    counts = {r["byte"]: r["n"] for r in G.run_once(G.histogram_stream(spark, str(tmp_path / "in")), "bytes").collect()}
+    counts = {r["byte"]: r["n"] for r in G.run_once(G.histogram_stream(spark, str(tmp_path / "in")), str(tmp_path / "bytes")).collect()}
     assert counts[ord("\n")] == 3 and sum(counts.values()) == sum(p.stat().st_size for p in (tmp_path / "in").iterdir())
 
 
 def test_event_time_stream(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
-    found = G.run_once(G.stage_stream(stream), "windows", mode="append").collect()
+    found = G.run_once(G.stage_stream(stream), str(tmp_path / "windows"), mode="append").collect()
     assert 0 < sum(r["n"] for r in found) <= events.count()
 
 
