@@ -54,10 +54,12 @@ class Memory(dict):
 
     @staticmethod
     def claim(kind: str) -> None:
-        for memory in Memory._all:
-            if memory.kind != kind:
-                memory.clear()
-                memory.older = {}
+        others = [memory for memory in Memory._all if memory.kind != kind and (memory or memory.older)]
+        for memory in others:
+            memory.clear()
+            memory.older = {}
+        if others:
+            give_back()
 
     def __missing__(self, key):
         found = self.older.get(key)
@@ -121,13 +123,14 @@ def give_back() -> None:
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python in record batches of at most a few megabytes, whatever their length.
 
-    The settings are the session's, as a lazy result runs after its operator
-    has returned; smaller values that the session has already stay.
+    The Parquet reader's batches, which hold as many whole texts, are smaller,
+    too.  The settings are the session's, as a lazy result runs after its
+    operator has returned; smaller values that the session has already stay.
     """
-    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+    for name, most in (("execution.arrow.maxRecordsPerBatch", 2000), ("execution.arrow.maxBytesPerBatch", 4 << 20), ("parquet.columnarReaderBatchSize", 512)):
+        now = spark.conf.get(f"spark.sql.{name}").removesuffix("b")
         if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+            spark.conf.set(f"spark.sql.{name}", str(most))
 
 
 def text_parts(batch, column: int, limit: int):

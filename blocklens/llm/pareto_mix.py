@@ -69,25 +69,28 @@ def _rate(given):
     return F.floor(rate / step) * step
 
 
-def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``_nth`` tells rows alike in source, id and text apart, whatever the partitioning; 0 for the others.
+def _numbered(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows without and with ``_row``, and ``_nth`` that tells rows alike in source, id and text apart; 0 for the others.
 
     Such rows are numbered within their part of the table, after those of the
     parts before, so a group that holds a third of all rows is never gathered.
+    Only a table that has such rows is written with its texts.
     """
     like = ["_source", "_id", "_tie"]
-    rows = scratch.save(rows.withColumn("_part", F.spark_partition_id()), "sizes")
-    alike = rows.groupBy(*like).agg(F.count("*").alias("_n")).filter("_n > 1")
-    repeats = scratch.save(rows.select(*like, "_part").join(alike, [rows[c].eqNullSafe(alike[c]) for c in like], "left_semi").groupBy(*like, "_part").agg(F.count("*").alias("_n")), "repeats")
-    if not repeats.limit(1).count():
-        return rows.withColumn("_nth", F.lit(0).cast("long")).drop("_part")
+    slim = scratch.save(rows.drop("_row"), "sizes")
+    alike = scratch.save(slim.groupBy(*like).agg(F.count("*").alias("_n")).filter("_n > 1"), "alike")
+    if not alike.limit(1).count():
+        return tuple(x.withColumn("_nth", F.lit(0).cast("long")) for x in (slim, rows))
+    parts = scratch.save((rows if "_row" in rows.columns else slim).withColumn("_part", F.spark_partition_id()), "parts")
+    repeats = parts.select(*like, "_part").join(alike, [parts[c].eqNullSafe(alike[c]) for c in like], "left_semi").groupBy(*like, "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*like).orderBy("_part")) - F.col("_n")
     repeats = repeats.select(*[F.col(c).alias(f"_r{c}") for c in like], F.col("_part").alias("_r_part"), before.alias("_before"))
-    rows = rows.join(repeats, [rows[c].eqNullSafe(F.col(f"_r{c}")) for c in like] + [F.col("_part") == F.col("_r_part")], "left")
+    found = parts.join(repeats, [parts[c].eqNullSafe(F.col(f"_r{c}")) for c in like] + [F.col("_part") == F.col("_r_part")], "left")
     inside = F.row_number().over(Window.partitionBy(*like, "_part").orderBy(F.lit(0)))
-    several = rows.filter("_before IS NOT NULL").withColumn("_nth", F.col("_before") + inside - 1)
-    out = rows.filter("_before IS NULL").withColumn("_nth", F.lit(0).cast("long")).unionByName(several)
-    return scratch.save(out.drop(*[f"_r{c}" for c in like], "_r_part", "_before", "_part"), "numbered")
+    several = found.filter("_before IS NOT NULL").withColumn("_nth", F.col("_before") + inside - 1)
+    out = found.filter("_before IS NULL").withColumn("_nth", F.lit(0).cast("long")).unionByName(several)
+    out = scratch.save(out.drop(*[f"_r{c}" for c in like], "_r_part", "_before", "_part"), "numbered")
+    return out.drop("_row"), out
 
 
 def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, seed: str = "mix", rate=None, carry: bool = False) -> DataFrame:
@@ -113,12 +116,13 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     given = F.lit(1.0) if rate is None else of(rate) if isinstance(rate, str) else rate(size)
     tie = F.substring(F.sha1(F.coalesce(of(text_col), F.lit(""))), 1, 16)
     rows = named.select(*(["_row"] if carry else []), of(id_col).alias("_id"), size.alias("_size"), of(source_col).alias("_source"), tie.alias("_tie"), _rate(given).alias("_rate"))
-    rows = _numbered(rows, scratch)
+    slim, rows = _numbered(rows, scratch)
     nth = F.when(F.col("_nth") > 0, F.concat(F.lit("|"), F.col("_nth").cast("string"))).otherwise(F.lit(""))
     drawn = F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit("|"), F.lit(seed), nth).cast("binary"))
-    rows = rows.withColumn("_u", (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / _UNIT)
+    u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / _UNIT
+    slim, rows = slim.withColumn("_u", u), (rows if carry else slim).withColumn("_u", u)
 
-    classes = scratch.save(rows.groupBy("_source", "_rate").agg(F.sum("_size").alias("_words"), F.count("*").alias("_rows")), "classes")
+    classes = scratch.save(slim.groupBy("_source", "_rate").agg(F.sum("_size").alias("_words"), F.count("*").alias("_rows")), "classes")
     sums = scratch.save(classes.groupBy("_source").agg(F.sum("_words").alias("source_size"), F.sum("_rows").alias("_rows")), "sources")
     goal = targets(sums.select(F.col("_source").alias("source"), "source_size"), weights, cap).select(F.col("source").alias("_s"), "source_size", "target")
     goal = scratch.save(goal.join(_factors(classes, goal, cap), F.col("_s").eqNullSafe(F.col("_f")), "left").drop("_f"), "targets")
@@ -137,7 +141,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         frame = frame.withColumn("_v", F.when(p > 0, odds / (odds + 1.0)).otherwise(F.lit(1.0)))
         return frame.withColumn("_bin", F.least(F.floor(F.col("_v") * bins), F.lit(bins - 1)).cast("int")).withColumn("_may", (F.col("_base") < F.lit(float(cap))) & (F.col("_copies") > 0))
 
-    ready = ranked(rows.drop("_row"))
+    ready = ranked(slim)
     fixed = ready.groupBy("_source").agg((F.max("target") - F.sum(F.col("_base") * F.col("_size"))).alias("_open"))
     by_bin = ready.filter("_may").groupBy("_source", "_bin").agg(F.sum("_size").alias("_words"))
     through = F.sum("_words").over(Window.partitionBy("_source").orderBy("_bin"))
