@@ -68,10 +68,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix, checked, with what they decode to; null text counts as empty."""
+    """Every row of the mix encoded, checked and decoded again: number of ids, and digests; null text counts as empty."""
     import public_tokenizers
 
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mix", mix), ("encode", encode)]
