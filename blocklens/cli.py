@@ -21,7 +21,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--level", type=int, default=level)
         p.add_argument("--block-kb", type=int, default=1024)
         if name == "zip":
-            p.add_argument("--chunk-kb", type=int, default=32 << 10, help="larger entries are deflated in chunks, by many tasks")
+            p.add_argument("--chunk-kb", type=int, default=8 << 10, help="larger entries are deflated in chunks, by many tasks")
         p.add_argument("--exclude-hidden", action="store_true")
         p.add_argument("--no-entropy-probe", action="store_true")
         p.add_argument("--heatmap", action="store_true")

@@ -104,7 +104,7 @@ def literal_report(spark: SparkSession, archive: str) -> tuple[DataFrame, DataFr
     return inner, Z.frame_buckets(classified), Z.gate(inner)
 
 
-def zip_tree(spark: SparkSession, root: str, target: str, level: int = 6, exclude_hidden: bool = False, probe: bool = True, overwrite: bool = False, chunk: int = 32 << 20, probe_block: int = 1 << 20) -> dict:
+def zip_tree(spark: SparkSession, root: str, target: str, level: int = 6, exclude_hidden: bool = False, probe: bool = True, overwrite: bool = False, chunk: int = 8 << 20, probe_block: int = 1 << 20) -> dict:
     """Writes a ZIP file; entries above ``chunk`` bytes are deflated chunk by chunk, as one stream.
 
     Entries whose mean entropy says that they will not shrink are stored, and

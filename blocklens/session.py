@@ -9,6 +9,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.python.filterPushdown.enabled": "true",  # entry-name filters reach the archive sources
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),  # blocks and chunks are large cells
 }
 
 

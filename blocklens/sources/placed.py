@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..errors import IntegrityError
 from . import formats as f
 
+_ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "16"}
 #: Bytes of a ZIP entry that are unpacked at a time.
 _STREAM = 4 << 20
 
@@ -32,7 +33,8 @@ def work_folder(spark: SparkSession, beside: str) -> Iterator[Callable[[DataFram
     folder = f"{os.path.abspath(beside)}.work-{uuid.uuid4().hex}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"file://{folder}/{name}")
+        # the reader's batches end with row groups, so cells of many megabytes never meet in one
+        df.write.options(**_ROW_GROUPS).parquet(f"file://{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"file://{folder}/{name}")
 
     try:
