@@ -59,7 +59,7 @@ def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .piece_bpe import encode_decode
 
-    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), remembered=1 << 19)
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), remembered=1 << 20)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
