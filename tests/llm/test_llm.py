@@ -321,6 +321,16 @@ def test_piece_bpe_on_noise(pieces):
         assert pieces.decode(ids) == pieces.library.decode(ids)
 
 
+def test_piece_bpe_agendas(pieces):
+    """Scanned and heaped agendas join alike, whatever the length; long chunks equal the library's."""
+    dice = random.Random(5)
+    for length in [1, 2, 3, 31, 32, 33, 34, 200, 5000] + [dice.randrange(1, 80) for _ in range(300)]:
+        chunk = "".join(dice.choice(dice.choice(["aab", "thergnilos", "é中ß😀", "....--"])) for _ in range(length))
+        assert pieces._join_short(chunk) == pieces._join_long(chunk)
+        text = "".join(c for c in chunk if c.isalpha())
+        assert list(memoryview(pieces.encode(text)).cast("I")) == pieces.library.encode(text, add_bos=True, add_eos=True)
+
+
 def test_encode_decode(edge, empty):
     import sentencepiece
 
