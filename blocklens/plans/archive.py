@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 
@@ -55,6 +56,12 @@ def pack(spark: SparkSession, root: str, target: str, level: int = 3, block_size
     return {"entries": count, "bytes_in": found[0] or 0, "bytes_out": found[1] or 0, "elapsed": time.time() - began}
 
 
+def _payloads(spark: SparkSession, kind: str, archive: str, names: list[str] | None) -> DataFrame:
+    """Payload rows of an archive; with ``names``, the reader leaves out all other entries in any session."""
+    rows = spark.read.format(kind).option("payload", True)
+    return (rows if names is None else rows.option("names", json.dumps(sorted(set(names))))).load(archive)
+
+
 def unpacked(spark: SparkSession, archive: str, names: list[str] | None = None, check: bool = True) -> DataFrame:
     """``entry_idx, name, content, is_directory, unix_mode, mtime`` of a block archive's entries, checked.
 
@@ -62,10 +69,9 @@ def unpacked(spark: SparkSession, archive: str, names: list[str] | None = None,
     """
     register(spark)
     entries = spark.read.format("blockarchive").load(archive)
-    frames = spark.read.format("blockarchive").option("payload", True).load(archive)
+    frames = _payloads(spark, "blockarchive", archive, names)
     if names is not None:
         entries = E.filter_entries(entries, names)
-        frames = frames.filter(F.col("name").isin(sorted(set(names))))
     entries = E.safe_entries(entries)
     keys = ["archive", "entry_idx"]
     raw = C.decode_blocks(frames, [*keys, "block_idx", "raw_off"])
@@ -82,10 +88,9 @@ def unpack(spark: SparkSession, archive: str, target: str, names: list[str] | No
     register(spark)
     began = time.time()
     entries = spark.read.format("blockarchive").load(archive)
-    frames = spark.read.format("blockarchive").option("payload", True).load(archive)
+    frames = _payloads(spark, "blockarchive", archive, names)
     if names is not None:
         entries = E.filter_entries(entries, names)
-        frames = frames.filter(F.col("name").isin(sorted(set(names))))
     os.makedirs(target, exist_ok=True)
     with work_folder(spark, os.path.join(target, ".unpack")) as save:
         entries = save(E.safe_entries(entries), "entries")
@@ -142,10 +147,9 @@ def zip_tree(spark: SparkSession, root: str, target: str, level: int = 6, exclud
 def unzipped(spark: SparkSession, archive: str, names: list[str] | None = None, check: bool = True) -> DataFrame:
     register(spark)
     entries = spark.read.format("ziparchive").load(archive)
-    bodies = spark.read.format("ziparchive").option("payload", True).load(archive)
+    bodies = _payloads(spark, "ziparchive", archive, names)
     if names is not None:
         entries = E.filter_entries(entries, names)
-        bodies = bodies.filter(F.col("name").isin(sorted(set(names))))
     entries = E.safe_entries(entries)
     keys = ["archive", "entry_idx"]
     stored = bodies.filter("method = 'stored'").select(*keys, F.col("body").alias("content"))

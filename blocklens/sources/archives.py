@@ -5,8 +5,11 @@ true, when block archives give a row per frame (so a cell stays within a block)
 and ZIP files a row per entry with its packed ``body``.  ``path`` is a file, a
 folder or a pattern (``suffix`` names other suffixes for folders).  There is a
 partition per archive; payloads of archives above ``splitBytes`` are dealt out
-as runs of frames or entries, planned from the metadata.  Equality and ``IN``
-filters on ``name`` are applied inside the reader.
+as runs of frames or entries, planned from the metadata.  ``names`` (a JSON
+list) keeps entries of these names only.  Equality and ``IN`` filters on
+``name`` are applied inside the reader as well, in the ``Pushed`` sources:
+Spark refuses readers that take filters where its setting for that is off, so
+``sources.register`` chooses by the session.
 
 Writing takes rows that are packed already.  Each task writes its frames to a
 part file next to the target; the commit puts the parts together in the order
@@ -56,15 +59,7 @@ class _Reader(DataSourceReader):
         self.path, self.payload, self.suffix = options["path"], str(options.get("payload", "false")).lower() == "true", suffix
         self.suffix = str(options.get("suffix", self.suffix))
         self.split = int(options.get("splitBytes", _SPLIT))
-        self.names: set[str] | None = None
-
-    def pushFilters(self, filters):
-        for one in filters:
-            if isinstance(one, (EqualTo, In)) and tuple(one.attribute) == ("name",):
-                names = {one.value} if isinstance(one, EqualTo) else set(one.value)
-                self.names = names if self.names is None else self.names & names
-            else:
-                yield one
+        self.names: set[str] | None = set(json.loads(options["names"])) if "names" in options else None
 
     def partitions(self):
         if os.path.isdir(self.path):
@@ -137,6 +132,24 @@ class _ZipReader(_Reader):
                 yield partition.path, idx, e.name, e.method, e.uncompressed_size, e.crc32, file.read(length)
 
 
+class _Pushed:
+    def pushFilters(self, filters):
+        for one in filters:
+            if isinstance(one, (EqualTo, In)) and tuple(one.attribute) == ("name",):
+                names = {one.value} if isinstance(one, EqualTo) else set(one.value)
+                self.names = names if self.names is None else self.names & names
+            else:
+                yield one
+
+
+class _PushedBlockReader(_Pushed, _BlockReader):
+    pass
+
+
+class _PushedZipReader(_Pushed, _ZipReader):
+    pass
+
+
 @dataclass
 class _Part(WriterCommitMessage):
     path: str
@@ -283,3 +296,13 @@ class ZipArchive(DataSource):
 
     def writer(self, schema, overwrite):
         return _Writer(self.options, schema, overwrite, zipped=True)
+
+
+class PushedBlockArchive(BlockArchive):
+    def reader(self, schema):
+        return _PushedBlockReader(self.options, ".blka")
+
+
+class PushedZipArchive(ZipArchive):
+    def reader(self, schema):
+        return _PushedZipReader(self.options, ".zip")
