@@ -210,10 +210,11 @@ def progress_fraction(processed: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(1.0), processed / total))
 
 
-def progress_eta(processed: Column, total: Column, elapsed: Column) -> Column:
-    """Seconds left; infinite until more than half a percent is done."""
-    part = progress_fraction(processed, total)
-    return F.when(part > 0.005, F.greatest(F.lit(0.0), elapsed / part - elapsed)).otherwise(F.lit(float("inf")))
+def progress_eta(processed: Column, total: Column, elapsed: Column, overdue: bool = False) -> Column:
+    """Seconds left; infinite until more than half a percent is done.  Past the total 0, or with ``overdue`` below 0."""
+    part = F.when(total > 0, processed / total) if overdue else progress_fraction(processed, total)
+    left = elapsed / part - elapsed
+    return F.when(part > 0.005, left if overdue else F.greatest(F.lit(0.0), left)).otherwise(F.lit(float("inf")))
 
 
 def progress_rate(processed: Column, elapsed: Column) -> Column:

@@ -82,11 +82,11 @@ def top_skips(skips: DataFrame, reason: str = "hidden", limit: int = 8) -> DataF
     return skips.filter(F.col("reason") == reason).orderBy(F.desc("bytes"), "rel").limit(limit)
 
 
-def progress_snapshot(ticks: DataFrame, total: int, elapsed: float, keys: list[str] = ()) -> DataFrame:
-    """``processed, total, fraction, bytes_per_second, eta_seconds`` from ticks with ``bytes``."""
+def progress_snapshot(ticks: DataFrame, total: int, elapsed: float, keys: list[str] = (), overdue: bool = False) -> DataFrame:
+    """``processed, total, fraction, bytes_per_second, eta_seconds`` (``overdue``: below 0 past the total) from ticks with ``bytes``."""
     rows = ticks.groupBy(*keys).agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("processed"))
     whole, time = F.lit(total).cast("long"), F.lit(float(elapsed))
-    return rows.withColumns({"total": whole, "fraction": S.progress_fraction(F.col("processed"), whole), "bytes_per_second": S.progress_rate(F.col("processed"), time), "eta_seconds": S.progress_eta(F.col("processed"), whole, time)})
+    return rows.withColumns({"total": whole, "fraction": S.progress_fraction(F.col("processed"), whole), "bytes_per_second": S.progress_rate(F.col("processed"), time), "eta_seconds": S.progress_eta(F.col("processed"), whole, time, overdue)})
 
 
 def bench_row(runs: DataFrame, keys: list[str]) -> DataFrame:
