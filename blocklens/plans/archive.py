@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from ..sources import register, tree
 from ..sources.formats import DEFAULT_BLOCK
 from ..sources.placed import extract_blocks, extract_zip, work_folder, write_archive
 
+#: Parts of a scratch tree that are packed one after another.
+_WAVES = 4
+
 
 def probed_blocks(payloads: DataFrame, keys: list[str], block_size: int) -> DataFrame:
     """Blocks with ``data, byte_count, entropy`` of whole payloads."""
@@ -28,24 +33,49 @@ def probed_blocks(payloads: DataFrame, keys: list[str], block_size: int) -> Data
 def packed_blocks(spark: SparkSession, root: str, level: int = 3, block_size: int = DEFAULT_BLOCK, exclude_hidden: bool = False, probe: bool = True, min_probe_bytes: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries, compressed blocks and skips of a tree."""
     entries, skips = tree.walk(spark, root, exclude_hidden)
+    return entries, _compressed(entries, level, block_size, probe, min_probe_bytes), skips
+
+
+def _compressed(entries: DataFrame, level: int, block_size: int, probe: bool, min_probe_bytes: int = 0) -> DataFrame:
     data = tree.contents(entries, block_size)
     if probe:
         data = B.block_entropy(data.withColumn("_d", F.col("data")), ["entry_idx", "block_idx", "raw_off", "raw_len", "_d"], min_probe_bytes=min_probe_bytes).withColumnRenamed("_d", "data")
     else:
         data = data.withColumn("entropy", F.lit(0.0))
-    return entries, C.compress_blocks(data, level, probe), skips
+    return C.compress_blocks(data, level, probe)
+
+
+def _waves(entries: DataFrame, scratch: bool) -> Iterator[tuple[int, DataFrame]]:
+    """All entries at once; of a scratch tree a quarter at a time, whose files go once the caller is through with them."""
+    if not scratch:
+        yield 0, entries
+        return
+    for k in range(_WAVES):
+        part = entries.filter(F.col("entry_idx") % _WAVES == k)
+        yield k, part
+        tree.discard(part)
 
 
-def pack(spark: SparkSession, root: str, target: str, level: int = 3, block_size: int = DEFAULT_BLOCK, exclude_hidden: bool = False, probe: bool = True, overwrite: bool = False) -> dict:
-    """Writes a block archive; returns its statistics."""
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def pack(spark: SparkSession, root: str, target: str, level: int = 3, block_size: int = DEFAULT_BLOCK, exclude_hidden: bool = False, probe: bool = True, overwrite: bool = False, scratch: bool = False) -> dict:
+    """Writes a block archive; returns its statistics.
+
+    The files of a ``scratch`` tree are removed while it is packed, also if
+    packing fails later: tree, packed blocks and archive need not fit the disk
+    at once.
+    """
     register(spark)
     began = time.time()
     if os.path.exists(target) and not overwrite:
         raise FileExistsError(f"{target} exists")
-    entries, blocks, _ = packed_blocks(spark, root, level, block_size, exclude_hidden, probe)
     E.preflight(target, None, directory=True)
     with work_folder(spark, target) as save:
-        blocks = save(blocks.select("entry_idx", "block_idx", "raw_off", "raw_len", "crc32", "comp_len", F.col("frame").alias("body")), "blocks")
+        entries = save(tree.walk(spark, root, exclude_hidden)[0], "entries-walked")
+        columns = ["entry_idx", "block_idx", "raw_off", "raw_len", "crc32", "comp_len", F.col("frame").alias("body")]
+        blocks = _union([save(_compressed(part, level, block_size, probe).select(columns), f"blocks-{k}") for k, part in _waves(entries, scratch)])
         rows = entries.join(fold_crc32(blocks, ["entry_idx"]).drop("size"), "entry_idx", "left")
         size = F.when(F.col("is_directory"), 0).otherwise(block_size).cast("long")
         rows = rows.select("entry_idx", "name", "is_directory", "unix_mode", "mtime", F.lit("zstd").alias("method"), size.alias("block_size"), F.col("size").alias("uncompressed_size"), F.coalesce("crc32", F.lit(0)).alias("crc32"))
@@ -109,11 +139,11 @@ def literal_report(spark: SparkSession, archive: str) -> tuple[DataFrame, DataFr
     return inner, Z.frame_buckets(classified), Z.gate(inner)
 
 
-def zip_tree(spark: SparkSession, root: str, target: str, level: int = 6, exclude_hidden: bool = False, probe: bool = True, overwrite: bool = False, chunk: int = 8 << 20, probe_block: int = 1 << 20) -> dict:
+def zip_tree(spark: SparkSession, root: str, target: str, level: int = 6, exclude_hidden: bool = False, probe: bool = True, overwrite: bool = False, chunk: int = 8 << 20, probe_block: int = 1 << 20, scratch: bool = False) -> dict:
     """Writes a ZIP file; entries above ``chunk`` bytes are deflated chunk by chunk, as one stream.
 
     Entries whose mean entropy says that they will not shrink are stored, and
-    so are those that did not.
+    so are those that did not.  ``scratch`` as in ``pack``.
     """
     register(spark)
     began = time.time()
@@ -122,18 +152,22 @@ def zip_tree(spark: SparkSession, root: str, target: str, level: int = 6, exclud
     E.preflight(target, None, directory=True)
     with work_folder(spark, target) as save:
         entries = save(tree.walk(spark, root, exclude_hidden)[0], "walked")
-        tried = entries.filter("NOT is_directory AND size > 0") if level > 0 else entries.limit(0)
-        if probe and level > 0:
-            pieces = B.split_blocks(tree.contents(tried, max(chunk, probe_block) // probe_block * probe_block).withColumnRenamed("block_idx", "chunk"), probe_block, ["entry_idx", "chunk"], "data")
-            means = B.mean_entropy(B.block_entropy(pieces, ["entry_idx", "chunk", "block_idx"]), ["entry_idx"])
-            tried = tried.join(means, "entry_idx").filter(~S.incompressible(F.col("mean_entropy"), 7.5)).drop("mean_entropy")
         columns = ["entry_idx", "block_idx", "raw_off", "raw_len", "crc32", "body"]
-        chunks = tree.contents(tried, chunk).join(tried.select("entry_idx", "size"), "entry_idx").withColumn("crc32", F.crc32("data"))
-        packed = save(chunks.withColumn("body", C.deflate_part(F.col("data"), F.col("raw_off") + F.col("raw_len") == F.col("size"), level)).select(columns), "packed")
-        sums = packed.groupBy("entry_idx").agg(F.sum(F.octet_length("body")).alias("_out"), F.sum("raw_len").alias("_in"))
-        shrunk = save(sums.filter("_out < _in").select("entry_idx"), "shrunk")
-        plain = tree.contents(entries.join(shrunk, "entry_idx", "left_anti"), chunk).withColumn("crc32", F.crc32("data")).withColumnRenamed("data", "body")
-        blocks = packed.join(shrunk, "entry_idx", "left_semi").select(columns).unionByName(save(plain.select(columns), "stored"))
+        parts, smaller = [], []
+        for k, wave in _waves(entries, scratch):
+            tried = wave.filter("NOT is_directory AND size > 0") if level > 0 else wave.limit(0)
+            if probe and level > 0:
+                pieces = B.split_blocks(tree.contents(tried, max(chunk, probe_block) // probe_block * probe_block).withColumnRenamed("block_idx", "chunk"), probe_block, ["entry_idx", "chunk"], "data")
+                means = B.mean_entropy(B.block_entropy(pieces, ["entry_idx", "chunk", "block_idx"]), ["entry_idx"])
+                tried = tried.join(means, "entry_idx").filter(~S.incompressible(F.col("mean_entropy"), 7.5)).drop("mean_entropy")
+            chunks = tree.contents(tried, chunk).join(tried.select("entry_idx", "size"), "entry_idx").withColumn("crc32", F.crc32("data"))
+            packed = save(chunks.withColumn("body", C.deflate_part(F.col("data"), F.col("raw_off") + F.col("raw_len") == F.col("size"), level)).select(columns), f"packed-{k}")
+            sums = packed.groupBy("entry_idx").agg(F.sum(F.octet_length("body")).alias("_out"), F.sum("raw_len").alias("_in"))
+            shrunk = save(sums.filter("_out < _in").select("entry_idx"), f"shrunk-{k}")
+            plain = tree.contents(wave.join(shrunk, "entry_idx", "left_anti"), chunk).withColumn("crc32", F.crc32("data")).withColumnRenamed("data", "body")
+            parts += [packed.join(shrunk, "entry_idx", "left_semi").select(columns), save(plain.select(columns), f"stored-{k}")]
+            smaller.append(shrunk)
+        blocks, shrunk = _union(parts), _union(smaller)
         method = F.when(F.col("_s").isNotNull(), "deflate").otherwise("stored")
         rows = entries.join(fold_crc32(blocks, ["entry_idx"]).drop("size"), "entry_idx", "left").join(shrunk.withColumn("_s", F.lit(1)), "entry_idx", "left")
         rows = rows.select("entry_idx", "name", "is_directory", "unix_mode", "mtime", method.alias("method"), F.lit(0).cast("long").alias("block_size"), F.col("size").alias("uncompressed_size"), F.coalesce("crc32", F.lit(0)).alias("crc32"))

@@ -136,7 +136,9 @@ def contents(entries: DataFrame, block_size: int | None = None) -> DataFrame:
 
     from ..operators.blocks import block_ranges
 
-    ranges = block_ranges(files, block_size, ["entry_idx", "path"]).repartition("entry_idx", "block_idx")
+    # a given number, as ranges are so short that adaptive plans would put the reading of them all into a few tasks
+    tasks = 2 * entries.sparkSession.sparkContext.defaultParallelism
+    ranges = block_ranges(files, block_size, ["entry_idx", "path"]).repartition(tasks, "entry_idx", "block_idx")
 
     def cut(batches):
         import pyarrow as pa
@@ -150,3 +152,18 @@ def contents(entries: DataFrame, block_size: int | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([row.column(0), *row.columns[2:], pa.array([file.read(length)], pa.binary())], names=["entry_idx", "block_idx", "raw_off", "raw_len", "data"])
 
     return ranges.mapInArrow(cut, "entry_idx long, block_idx int, raw_off long, raw_len long, data binary")
+
+
+def discard(entries: DataFrame) -> None:
+    """Removes the files of a scratch tree; its folders stay."""
+
+    def drop(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if os.path.lexists(path):  # else an earlier try of this task has removed it
+                    os.remove(path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    entries.filter("NOT is_directory").select("path").mapInArrow(drop, "n long").agg(F.sum("n")).first()
